@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_id, near_dup, packing, quality, secrets
+from . import html_text, lang_id, near_dup, packing, quality, secrets, sentencepiece_backend, warc
 from .common import table
 
+#: The tokenizer model to encode with; its path is a parameter, the file is no part of this repository.
+MODEL_PATH = os.environ.get("QUAYMARK_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
 
 def op3_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
@@ -26,6 +34,15 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentencepiece_backend.read_model(spark, MODEL_PATH)
+    return sentencepiece_backend.encode_report(table(spark, sf_dir, "documents"), model)
+
+
+def op9_consensus_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -39,10 +56,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_warc_round_trip,
         op3_quality_mcd,
         op4_rank_order_language,
         op5_best_fit_packing,
         op7_near_duplicates,
+        op8_sentencepiece_encoding,
+        op9_consensus_main_text,
         op10_secret_scan,
         pipeline,
     )
