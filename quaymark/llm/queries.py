@@ -7,13 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, lang_id, near_dup, packing, quality, secrets, sentencepiece_backend, warc
+from . import ann, html_text, lang_id, near_dup, packing, pii, quality, secrets, sentencepiece_backend, warc
 from .common import table
 
 #: The tokenizer model to encode with; its path is a parameter, the file is no part of this repository.
 MODEL_PATH = os.environ.get("QUAYMARK_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+def op1_anisotropic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -30,6 +34,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -56,10 +64,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_anisotropic_neighbours,
         op2_warc_round_trip,
         op3_quality_mcd,
         op4_rank_order_language,
         op5_best_fit_packing,
+        op6_pii_disclosure,
         op7_near_duplicates,
         op8_sentencepiece_encoding,
         op9_consensus_main_text,
