@@ -46,7 +46,7 @@ PLACEHOLDERS = {
     "true", "false", "null", "none", "undefined", "example", "changeme", "change_me", "password",
     "secret", "token", "your_password", "your_token", "xxxxxxxx", "todo", "redacted", "placeholder",
 }
-MIN_SCORE = 4.0
+MIN_SCORE = 3.5
 LEAST_LITERAL = 8
 
 NAME = r"[A-Za-z_$][A-Za-z0-9_$.-]{0,127}"

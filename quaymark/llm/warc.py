@@ -199,9 +199,10 @@ def read_records(source: IO) -> Iterator[tuple[dict[str, str], bytes]]:
         block = _take(inflater, int(fields["content-length"]))
         if _take(inflater, 4) != b"\r\n\r\n":
             raise ValueError("record is longer than its Content-Length")
-        while inflater.more():
-            if inflater.held:
-                raise ValueError("more than one record in a gzip member")
+        while not inflater.held and inflater.more():
+            pass
+        if inflater.held:
+            raise ValueError("more than one record in a gzip member")
         if inflater.engine.eof:
             inflater.next_member()
         wanted = fields.get("warc-block-digest", "")
