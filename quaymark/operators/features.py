@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quaymark.functions import windows as w
 from quaymark.operators.runs import run_length
@@ -36,24 +39,86 @@ def fair_path(rows: DataFrame, panels: list[str] | None = None) -> DataFrame:
 def rails(rows: DataFrame, panels: list[str] | None = None, q: float = RAIL_Q, lookback: int | None = None) -> DataFrame:
     """Add ``_gap, _lower, _upper`` around each path: the quantile of |ln(close / path)|.
 
-    Over all values so far, or over the last ``lookback`` rows.
+    Over the last ``lookback`` rows, as a window; or over all values so far,
+    as a grouped map: a growing window would sort the whole past at each row,
+    while the sorted past of a code takes one more value at a time.
     """
     names = panels or list(PANELS)
-    over = w.so_far() if lookback is None else w.last_rows(lookback)
     gaps = rows.withColumns({f"{p}_gap": F.col("ln_c") - F.log(f"{p}_path") for p in names})
-    sizes = gaps.withColumns({f"_{p}": F.abs(f"{p}_gap") for p in names})
-    deltas = sizes.withColumns({f"{p}_delta": w.expanding_quantile(f"_{p}", q, RAIL_LEAST, over) for p in names})
+    if lookback is None:
+        deltas = _growing_quantiles(gaps, {f"{p}_gap": f"{p}_delta" for p in names}, q)
+    else:
+        over = w.last_rows(lookback)
+        sizes = gaps.withColumns({f"_{p}": F.abs(f"{p}_gap") for p in names})
+        deltas = sizes.withColumns({f"{p}_delta": w.expanding_quantile(f"_{p}", q, RAIL_LEAST, over) for p in names})
+        deltas = deltas.drop(*[f"_{p}" for p in names])
     out = deltas.withColumns(
         {f"{p}_lower": F.col(f"{p}_path") * F.exp(-F.col(f"{p}_delta")) for p in names}
         | {f"{p}_upper": F.col(f"{p}_path") * F.exp(F.col(f"{p}_delta")) for p in names}
     )
-    return out.drop(*[f"_{p}" for p in names], *[f"{p}_delta" for p in names])
+    return out.drop(*[f"{p}_delta" for p in names])
+
+
+def _growing_quantiles(rows: DataFrame, columns: dict[str, str], q: float) -> DataFrame:
+    """Add the quantile so far of the absolute values of some columns, by code in date order."""
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(name, T.DoubleType()) for name in columns.values()]])
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("d", ignore_index=True)
+        return g.assign(**{new: g[old].abs().expanding(min_periods=RAIL_LEAST).quantile(q) for old, new in columns.items()})
+
+    return rows.groupBy("code").applyInPandas(run, schema)
+
+
+def _sums(x: np.ndarray, n: int) -> np.ndarray:
+    """Sum of each row and the n - 1 before it."""
+    total = np.concatenate(([0.0], np.cumsum(x)))
+    return total[1:] - total[np.maximum(np.arange(1, len(x) + 1) - n, 0)]
+
+
+def trailing_fit(y: np.ndarray, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fitted value at each row and slope of the linear fit of the last n rows, from running sums."""
+    known = ~np.isnan(y)
+    x = np.arange(len(y)) - (len(y) - 1) / 2
+    mid = y[known].mean() if known.any() else 0.0
+    v, z = np.where(known, x, 0.0), np.where(known, y - mid, 0.0)
+    k, sx, sy, sxy, sxx = (_sums(c, n) for c in (known.astype(float), v, z, v * z, v * v))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        slope = (k * sxy - sx * sy) / (k * sxx - sx * sx)
+        fitted = mid + (sy - slope * sx) / k + slope * x
+    short = k < least
+    return np.where(short, np.nan, fitted), np.where(short, np.nan, slope)
+
+
+def paths_and_rails(rows: DataFrame, names: list[str], q: float = RAIL_Q) -> DataFrame:
+    """Add ``_path, _g, _gap, _lower, _upper`` of each panel in one grouped map by code.
+
+    Equal to ``fair_path`` and ``rails``, whose window frames are read anew
+    for each row; here each row costs the same however long the panel is.
+    """
+    parts = ("path", "g", "gap", "lower", "upper")
+    fields = [T.StructField(f"{p}_{part}", T.DoubleType()) for p in names for part in parts]
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("d", ignore_index=True)
+        ln = g["ln_c"].to_numpy(float)
+        new = {}
+        for p in names:
+            fitted, slope = trailing_fit(ln, *PANELS[p])
+            gap = ln - fitted
+            delta = pd.Series(np.abs(gap)).expanding(min_periods=RAIL_LEAST).quantile(q).to_numpy()
+            path = np.exp(fitted)
+            values = (path, np.exp(252 * slope) - 1, gap, path * np.exp(-delta), path * np.exp(delta))
+            new |= {f"{p}_{part}": v for part, v in zip(parts, values, strict=True)}
+        return g.assign(**new)
+
+    return rows.groupBy("code").applyInPandas(run, T.StructType([*rows.schema.fields, *fields]))
 
 
 def multi_scale(bars: DataFrame, panels: list[str] | None = None, q: float = RAIL_Q) -> DataFrame:
     """Bars with path, growth, rails, gap, touches and side of each panel."""
     names = panels or list(PANELS)
-    rows = rails(fair_path(with_logs(bars), names), names, q)
+    rows = paths_and_rails(with_logs(bars), names, q)
     flags: dict[str, Column] = {}
     for p in names:
         close = F.col("close")
@@ -121,7 +186,7 @@ def coverage(rows: DataFrame, panel: str = "fig9") -> DataFrame:
 
     ``rows`` need rails and ``vol_state``. Clustered states have no upper limit.
     """
-    inside = F.col("close").between(F.col(f"{panel}_lower"), F.col(f"{panel}_upper")).cast("double")
+    inside = F.col("close").between(F.col(f"{panel}_lower") * (1 - TOUCH), F.col(f"{panel}_upper") * (1 + TOUCH)).cast("double")
     known = rows.where(F.col(f"{panel}_lower").isNotNull()).select(
         F.year("d").cast("string").alias("year"), F.col("vol_state").alias("state"), inside.alias("inside")
     )

@@ -135,7 +135,7 @@ def signed_gap_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     pct AS (SELECT *, CASE WHEN len(h) >= 60 AND rv IS NOT NULL THEN len(list_filter(h, lambda v: v <= rv)) / len(h) END AS rv_pct FROM held),
     known AS (SELECT CAST(year(d) AS VARCHAR) AS y, CASE WHEN rv_pct <= 0.3 THEN 'calm' WHEN rv_pct < 0.7 THEN 'normal'
               WHEN rv_pct < 0.9 THEN 'cluster' WHEN rv_pct IS NOT NULL THEN 'extreme' END AS st,
-              CASE WHEN close BETWEEN fig9_lower AND fig9_upper THEN 1.0 ELSE 0.0 END AS i FROM pct WHERE fig9_lower IS NOT NULL),
+              CASE WHEN close BETWEEN fig9_lower * (1 - 1e-9) AND fig9_upper * (1 + 1e-9) THEN 1.0 ELSE 0.0 END AS i FROM pct WHERE fig9_lower IS NOT NULL),
     cov AS (SELECT 'all' AS kind, '-' AS value, count(*) AS n, avg(i) AS coverage FROM known
             UNION ALL SELECT 'year', coalesce(y, '-'), count(*), avg(i) FROM known GROUP BY y
             UNION ALL SELECT 'state', coalesce(st, '-'), count(*), avg(i) FROM known GROUP BY st),

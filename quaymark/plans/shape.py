@@ -13,7 +13,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def tidy(df: DataFrame, spec: str) -> DataFrame:
-    """Columns of ``spec`` (name:kind ...): d dates as text, i whole numbers and flags, f rounded numbers, s text."""
+    """Columns of ``spec`` (name:kind ...): d dates as text, i whole numbers and flags, f numbers, m large sums, s text."""
     out = []
     for item in spec.split():
         name, kind = item.split(":")
@@ -23,7 +23,9 @@ def tidy(df: DataFrame, spec: str) -> DataFrame:
         elif kind == "i":
             c = c.cast("long")
         elif kind == "f":
-            c = F.round(c.cast("double"), 6) + F.lit(0.0)
+            c = F.round(c.cast("double"), 4) + F.lit(0.0)
+        elif kind == "m":
+            c = F.round(c.cast("double"), 1) + F.lit(0.0)
         out.append(c.alias(name))
     return df.select(*out)
 
@@ -37,7 +39,8 @@ def tidy_sql(body: str, spec: str) -> str:
             {
                 "d": f"CAST(CAST({name} AS DATE) AS VARCHAR) AS {name}",
                 "i": f"CAST({name} AS BIGINT) AS {name}",
-                "f": f"ROUND(CAST({name} AS DOUBLE), 6) + 0.0 AS {name}",
+                "f": f"ROUND(CAST({name} AS DOUBLE), 4) + 0.0 AS {name}",
+                "m": f"ROUND(CAST({name} AS DOUBLE), 1) + 0.0 AS {name}",
                 "s": f"{name} AS {name}",
             }[kind]
         )

@@ -16,7 +16,7 @@ def _micros(ts: Column) -> Column:
 
 
 @query(
-    "flag:s status:s n:i qty:f price:f disc:f",
+    "flag:s status:s n:i qty:m price:f disc:f",
     """final AS (SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n, sum(l_quantity) AS qty, avg(l_extendedprice) AS price, avg(l_discount) AS disc
     FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-09-01' GROUP BY 1, 2)""",
 )
@@ -28,7 +28,7 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "nation:s orders:i total:f",
+    "nation:s orders:i total:m",
     """final AS (SELECT n_name AS nation, count(o_orderkey) AS orders, sum(o_totalprice) AS total FROM nation
     JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY 1)""",
 )
@@ -53,7 +53,7 @@ def returned_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "nation:s rank:i customer:i total:f",
+    "nation:s rank:i customer:i total:m",
     """t AS (SELECT c_nationkey, c_custkey, sum(o_totalprice) AS total FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY total DESC, c_custkey) AS rank FROM t),
     final AS (SELECT n_name AS nation, rank, c_custkey AS customer, total FROM r JOIN nation ON c_nationkey = n_nationkey WHERE rank <= 3)""",
@@ -109,7 +109,7 @@ def previous_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "user:i session_no:i start:d n:i total:f",
+    "user:i session_no:i start:d n:i total:m",
     """b AS (SELECT *, CASE WHEN coalesce(epoch(ts) - epoch(lag(ts) OVER w) > 86400, true) THEN 1 ELSE 0 END AS nw FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     s AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_no FROM b),
     final AS (SELECT user_id AS user, session_no, min(ts) AS start, count(*) AS n, sum(value) AS total FROM s GROUP BY 1, 2)""",
@@ -141,7 +141,7 @@ def last_event_before_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "key:i status:s total:f",
+    "key:i status:s total:m",
     """old AS (SELECT o_orderkey AS key, o_orderstatus AS status, o_totalprice AS total FROM orders WHERE o_orderkey % 3 <> 0),
     nw AS (SELECT o_orderkey AS key, 'X' AS status, o_totalprice * 2 AS total FROM orders WHERE o_orderkey % 2 = 0),
     final AS (SELECT * FROM nw UNION ALL SELECT * FROM old WHERE key NOT IN (SELECT key FROM nw))""",
@@ -179,7 +179,7 @@ def customer_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "year:s priority:s n:i total:f",
+    "year:s priority:s n:i total:m",
     """final AS (SELECT CASE WHEN grouping(year(o_orderdate)) = 1 THEN 'all' ELSE CAST(year(o_orderdate) AS VARCHAR) END AS year,
     CASE WHEN grouping(o_orderpriority) = 1 THEN 'all' ELSE o_orderpriority END AS priority, count(*) AS n, sum(o_totalprice) AS total
     FROM orders GROUP BY GROUPING SETS ((), (year(o_orderdate)), (o_orderpriority)))""",
@@ -191,7 +191,7 @@ def order_totals_by_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "priority:s f:f o:f p:f",
+    "priority:s f:m o:m p:m",
     """final AS (SELECT o_orderpriority AS priority, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS f, sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS o,
     sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END) AS p FROM orders GROUP BY 1)""",
 )

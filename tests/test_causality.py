@@ -52,3 +52,14 @@ def test_cooldown_counts_from_the_last_kept(spark):
 def test_independent_trades(spark, closes, reason):
     rows = spark.createDataFrame([("A", i, float(c), i == 0) for i, c in enumerate(closes)], "code string, d int, close double, s boolean")
     assert signals.signal_trades(rows, "s").first()["reason"] == reason
+
+
+def test_grouped_map_equals_windows(spark, sf_dir):
+    rows = features.with_logs(derive_bars(spark, sf_dir)).where("code = 'C1'")
+    names = ["fig9", "fig11"]
+    a = features.paths_and_rails(rows, names).orderBy("d").toPandas()
+    b = features.rails(features.fair_path(rows, names), names).orderBy("d").toPandas()
+    for p in names:
+        for part in ("path", "g", "gap", "lower", "upper"):
+            x, y = a[f"{p}_{part}"], b[f"{p}_{part}"]
+            assert x.isna().equals(y.isna()) and ((x - y).abs() / y.abs().clip(lower=1)).max() < 1e-9
