@@ -16,10 +16,14 @@ pair whose exact weighted Jaccard similarity is at least ``threshold``. Groups
 are the connected components of links and of exact copies.
 
 Buckets are never expanded into all pairs. First each text of a bucket is
-compared with the bucket's least member. When the components of those links
-leave a bucket with several components, the texts outside its largest
-component are compared with the bucket's texts of other components, so no
-link that could join two components is lost.
+compared with the bucket's least member. Where the components of those links
+leave a bucket with several components, the weight S of each text's shingles
+that any other such text has is counted: a pair's similarity is at most
+m / (W + W' - m) with m the lesser S and W, W' the total weights. The member
+of the largest S / W is the second centre of comparison, and then the texts
+outside a bucket's largest component are compared with those texts of its
+other components that this bound admits. So no link that could join two
+components of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -294,13 +298,24 @@ def _grouped(docs: DataFrame, threshold: float) -> DataFrame:
     texts = keep(texts, "texts")
     close = F.least("w", "wa") >= F.lit(threshold * 0.999) * F.greatest("w", "wa")
     stars = keep(shared.where((F.col("id") != F.col("a")) & close).select("a", F.col("id").alias("b")).distinct(), "stars")
-    first = keep(links(stars, texts, idf, threshold), "links")
-    labels = components(first)
-    rest = keep(_cross_pairs(shared, labels, threshold).join(stars, ["a", "b"], "left_anti"), "rest")
-    same_id = _same_id(signed)
-    if not rest.isEmpty() or not same_id.isEmpty():
-        more = links(rest, texts, idf, threshold)
-        labels = components(keep(first.unionByName(more).unionByName(same_id), "links"))
+    found = keep(links(stars, texts, idf, threshold), "links")
+    labels = components(found)
+    mixed = keep(_mixed(shared, labels), "mixed")
+    if not mixed.isEmpty():
+        support = keep(_support(texts.join(mixed.select("id").distinct(), "id", "left_semi"), idf), "support")
+        again = keep(_central_pairs(mixed.join(support, "id"), threshold).join(stars, ["a", "b"], "left_anti"), "stars")
+        found = keep(found.unionByName(links(again, texts, idf, threshold)), "links")
+        labels = components(found)
+        left = _mixed(mixed.select("band", "key", "id", "w"), labels).join(support, "id")
+        done = stars.unionByName(again)
+        rest = keep(_cross_pairs(left, threshold).join(done, ["a", "b"], "left_anti"), "rest")
+        same_id = _same_id(signed)
+        if not rest.isEmpty() or not same_id.isEmpty():
+            labels = components(keep(found.unionByName(links(rest, texts, idf, threshold)).unionByName(same_id), "links"))
+    else:
+        same_id = _same_id(signed)
+        if not same_id.isEmpty():
+            labels = components(keep(found.unionByName(same_id), "links"))
     grouped = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "hi", "lo", "rep", F.coalesce("label", "rep").alias("label")
     )
@@ -317,21 +332,62 @@ def _same_id(signed: DataFrame) -> DataFrame:
     return spread.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def _cross_pairs(shared: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Pairs that may still join two components of one bucket."""
-    named = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
-        "band", "key", "id", "w", F.coalesce("label", "id").alias("label")
-    )
+def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components: ``band, key, id, w, label, top``."""
+    named = shared.select("band", "key", "id", "w").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    named = named.withColumn("label", F.coalesce("label", "id"))
     sizes = named.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("band", "key").agg(
-        F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("parts")
-    ).where("parts > 1").select("band", "key", F.col("top.label").alias("top"))
-    inside = named.join(mixed, ["band", "key"])
-    outside = inside.where("label <> top").select(
-        "band", "key", F.col("id").alias("u"), F.col("w").alias("wu"), F.col("label").alias("lu")
+        F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("parts")
+    ).where("parts > 1").select("band", "key", F.col("most.label").alias("top"))
+    return named.join(mixed, ["band", "key"])
+
+
+def _support(texts: DataFrame, idf) -> DataFrame:
+    """``id, s``: the weight of each text's shingles that another of ``texts`` has too."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = idf.value
+        for batch in batches:
+            for begin in range(0, len(batch), 200):
+                some = batch.iloc[begin : begin + 200]
+                bags = [shingles(word_ids(t)) for t in some["text"]]
+                h = np.concatenate([b[0] for b in bags])
+                w = np.concatenate([weights(*b, table) for b in bags])
+                ids = np.repeat(some["id"].to_numpy(), [len(b[0]) for b in bags])
+                yield pd.DataFrame({"id": ids, "h": h.view(np.int64), "w": w.astype(np.float64)})
+
+    rows = keep(texts.mapInPandas(run, "id long, h long, w double"), "shingles")
+    several = rows.groupBy("h").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("h")
+    return rows.join(several, "h").groupBy("id").agg(F.sum("w").alias("s"))
+
+
+def _bound(w1: str, s1: str, w2: str, s2: str, threshold: float) -> F.Column:
+    """Whether the shared weights allow two texts to be similar enough."""
+    most = F.least(s1, s2, w1, w2)
+    return most >= F.lit(threshold * 0.999) * (F.col(w1) + F.col(w2) - most)
+
+
+def _central_pairs(mixed: DataFrame, threshold: float) -> DataFrame:
+    """Each bucket's member of the largest shared share, with the members of other components."""
+    order = F.struct((F.col("s") / F.col("w")).alias("share"), (-F.col("id")).alias("nid"))
+    centre = mixed.groupBy("band", "key").agg(F.max_by(F.struct("id", "w", "s", "label"), order).alias("c"))
+    centre = centre.select("band", "key", F.col("c.id").alias("c"), F.col("c.w").alias("wc"), F.col("c.s").alias("sc"), F.col("c.label").alias("lc"))
+    return (
+        mixed.join(centre, ["band", "key"])
+        .where((F.col("lc") != F.col("label")) & _bound("w", "s", "wc", "sc", threshold))
+        .select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct()
+    )
+
+
+def _cross_pairs(mixed: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that may still join two components of one bucket."""
+    able = mixed.where(F.col("s") >= F.lit(threshold * 0.999) * F.col("w"))
+    outside = able.where("label <> top").select(
+        "band", "key", F.col("id").alias("u"), F.col("w").alias("wu"), F.col("s").alias("su"), F.col("label").alias("lu")
     )
     return (
-        outside.join(inside.drop("top"), ["band", "key"])
-        .where((F.col("lu") != F.col("label")) & (F.least("w", "wu") >= F.lit(threshold * 0.999) * F.greatest("w", "wu")))
+        outside.join(able.drop("top"), ["band", "key"])
+        .where((F.col("lu") != F.col("label")) & _bound("w", "s", "wu", "su", threshold))
         .select(F.least("u", "id").alias("a"), F.greatest("u", "id").alias("b")).distinct()
     )
