@@ -20,10 +20,11 @@ compared with the bucket's least member. Where the components of those links
 leave a bucket with several components, the weight S of each text's shingles
 that any other such text has is counted: a pair's similarity is at most
 m / (W + W' - m) with m the lesser S and W, W' the total weights. The member
-of the largest S / W is the second centre of comparison, and then the texts
-outside a bucket's largest component are compared with those texts of its
-other components that this bound admits. So no link that could join two
-components of a bucket is lost.
+of the largest S / W is the second centre of comparison, such a member outside
+the bucket's largest component the third. Then the texts outside the largest
+component are compared with those texts of its other components that a finer
+bound admits: m is the sum of lesser weights over HIST parts of the shingles.
+So no link that could join two components of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ BANDS = 12
 ROWS = 3
 SKETCH_BITS = 18
 IDF_SHARE = 0.5
+HIST = 128
 TABLE = 1 << 14
 MIX = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 200_000
@@ -303,12 +305,14 @@ def _grouped(docs: DataFrame, threshold: float) -> DataFrame:
     mixed = keep(_mixed(shared, labels), "mixed")
     if not mixed.isEmpty():
         support = keep(_support(texts.join(mixed.select("id").distinct(), "id", "left_semi"), idf), "support")
-        again = keep(_central_pairs(mixed.join(support, "id"), threshold).join(stars, ["a", "b"], "left_anti"), "stars")
-        found = keep(found.unionByName(links(again, texts, idf, threshold)), "links")
-        labels = components(found)
-        left = _mixed(mixed.select("band", "key", "id", "w"), labels).join(support, "id")
-        done = stars.unionByName(again)
-        rest = keep(_cross_pairs(left, threshold).join(done, ["a", "b"], "left_anti"), "rest")
+        done = stars
+        for outside in (False, True):
+            again = keep(_central_pairs(mixed.join(support, "id"), threshold, outside).join(done, ["a", "b"], "left_anti"), "stars")
+            done = done.unionByName(again)
+            found = keep(found.unionByName(links(again, texts, idf, threshold)), "links")
+            labels = components(found)
+            mixed = keep(_mixed(mixed.select("band", "key", "id", "w"), labels), "mixed")
+        rest = keep(_cross_pairs(mixed.join(support, "id"), threshold).join(done, ["a", "b"], "left_anti"), "rest")
         same_id = _same_id(signed)
         if not rest.isEmpty() or not same_id.isEmpty():
             labels = components(keep(found.unionByName(links(rest, texts, idf, threshold)).unionByName(same_id), "links"))
@@ -344,7 +348,7 @@ def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _support(texts: DataFrame, idf) -> DataFrame:
-    """``id, s``: the weight of each text's shingles that another of ``texts`` has too."""
+    """``id, s, hist``: the weight of each text's shingles that another of ``texts`` has too, in all and by part."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = idf.value
@@ -357,9 +361,18 @@ def _support(texts: DataFrame, idf) -> DataFrame:
                 ids = np.repeat(some["id"].to_numpy(), [len(b[0]) for b in bags])
                 yield pd.DataFrame({"id": ids, "h": h.view(np.int64), "w": w.astype(np.float64)})
 
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hist = [np.bincount(p, w, HIST) for p, w in zip(batch["parts"], batch["ws"], strict=True)]
+            yield pd.DataFrame({"id": batch["id"], "s": [x.sum() for x in hist], "hist": hist})
+
     rows = keep(texts.mapInPandas(run, "id long, h long, w double"), "shingles")
     several = rows.groupBy("h").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("h")
-    return rows.join(several, "h").groupBy("id").agg(F.sum("w").alias("s"))
+    part = F.col("h").bitwiseAND(F.lit(HIST - 1)).cast("int")
+    held = rows.join(several, "h").groupBy("id").agg(F.collect_list(F.struct(part.alias("p"), "w")).alias("x"))
+    return held.select("id", F.col("x.p").alias("parts"), F.col("x.w").alias("ws")).mapInPandas(
+        sums, "id long, s double, hist array<double>"
+    )
 
 
 def _bound(w1: str, s1: str, w2: str, s2: str, threshold: float) -> F.Column:
@@ -368,13 +381,24 @@ def _bound(w1: str, s1: str, w2: str, s2: str, threshold: float) -> F.Column:
     return most >= F.lit(threshold * 0.999) * (F.col(w1) + F.col(w2) - most)
 
 
-def _central_pairs(mixed: DataFrame, threshold: float) -> DataFrame:
-    """Each bucket's member of the largest shared share, with the members of other components."""
+def _overlap(w1: str, hist1: str, w2: str, hist2: str, threshold: float) -> F.Column:
+    """The same with the weights shared in each part of the shingles."""
+    most = F.aggregate(F.zip_with(hist1, hist2, lambda x, y: F.least(x, y)), F.lit(0.0), lambda total, x: total + x)
+    share = F.lit(threshold * 0.999)
+    return most * (F.lit(1.0) + share) >= share * (F.col(w1) + F.col(w2))
+
+
+def _central_pairs(mixed: DataFrame, threshold: float, outside: bool) -> DataFrame:
+    """Each bucket's member of the largest shared share, with the members of other components.
+
+    With ``outside`` the member is one outside the bucket's largest component.
+    """
     order = F.struct((F.col("s") / F.col("w")).alias("share"), (-F.col("id")).alias("nid"))
-    centre = mixed.groupBy("band", "key").agg(F.max_by(F.struct("id", "w", "s", "label"), order).alias("c"))
+    able = mixed.where("label <> top") if outside else mixed
+    centre = able.groupBy("band", "key").agg(F.max_by(F.struct("id", "w", "s", "label"), order).alias("c"))
     centre = centre.select("band", "key", F.col("c.id").alias("c"), F.col("c.w").alias("wc"), F.col("c.s").alias("sc"), F.col("c.label").alias("lc"))
     return (
-        mixed.join(centre, ["band", "key"])
+        mixed.drop("hist").join(centre, ["band", "key"])
         .where((F.col("lc") != F.col("label")) & _bound("w", "s", "wc", "sc", threshold))
         .select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct()
     )
@@ -384,10 +408,11 @@ def _cross_pairs(mixed: DataFrame, threshold: float) -> DataFrame:
     """Pairs that may still join two components of one bucket."""
     able = mixed.where(F.col("s") >= F.lit(threshold * 0.999) * F.col("w"))
     outside = able.where("label <> top").select(
-        "band", "key", F.col("id").alias("u"), F.col("w").alias("wu"), F.col("s").alias("su"), F.col("label").alias("lu")
-    )
+        "band", "key", F.col("id").alias("u"), F.col("w").alias("wu"), F.col("s").alias("su"),
+        F.col("label").alias("lu"), F.col("hist").alias("hu"),
+    )
     return (
         outside.join(able.drop("top"), ["band", "key"])
-        .where((F.col("lu") != F.col("label")) & _bound("w", "s", "wu", "su", threshold))
+        .where((F.col("lu") != F.col("label")) & _bound("w", "s", "wu", "su", threshold) & _overlap("w", "hist", "wu", "hu", threshold))
         .select(F.least("u", "id").alias("a"), F.greatest("u", "id").alias("b")).distinct()
     )
