@@ -13,7 +13,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def tidy(df: DataFrame, spec: str) -> DataFrame:
-    """Columns of ``spec`` (name:kind ...): d dates as text, i whole numbers and flags, f numbers, m large sums, s text."""
+    """Columns of ``spec`` (name:kind ...): d dates as text, i whole numbers and flags, f numbers, m large sums, e exact sums, s text."""
     out = []
     for item in spec.split():
         name, kind = item.split(":")
@@ -26,6 +26,8 @@ def tidy(df: DataFrame, spec: str) -> DataFrame:
             c = F.round(c.cast("double"), 4) + F.lit(0.0)
         elif kind == "m":
             c = F.round(c.cast("double"), 1) + F.lit(0.0)
+        elif kind == "e":
+            c = c.cast("double")
         out.append(c.alias(name))
     return df.select(*out)
 
@@ -41,6 +43,7 @@ def tidy_sql(body: str, spec: str) -> str:
                 "i": f"CAST({name} AS BIGINT) AS {name}",
                 "f": f"ROUND(CAST({name} AS DOUBLE), 4) + 0.0 AS {name}",
                 "m": f"ROUND(CAST({name} AS DOUBLE), 1) + 0.0 AS {name}",
+                "e": f"CAST({name} AS DOUBLE) AS {name}",
                 "s": f"{name} AS {name}",
             }[kind]
         )

@@ -11,25 +11,30 @@ from quaymark.sources.sinks import backfill, upsert
 from quaymark.streaming.bars import bars as event_bars
 
 
+def _money(name: str) -> Column:
+    """Prices in cents, so that sums are exact in any order."""
+    return F.col(name).cast("decimal(18,2)")
+
+
 def _micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
 @query(
-    "flag:s status:s n:i qty:m price:f disc:f",
-    """final AS (SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n, sum(l_quantity) AS qty, avg(l_extendedprice) AS price, avg(l_discount) AS disc
+    "flag:s status:s n:i qty:e price:f disc:f",
+    """final AS (SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n, sum(CAST(l_quantity AS DECIMAL(18,2))) AS qty, avg(l_extendedprice) AS price, avg(l_discount) AS disc
     FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-09-01' GROUP BY 1, 2)""",
 )
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("2000-09-01").cast("timestamp"))
     return rows.groupBy(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")).agg(
-        F.count("*").alias("n"), F.sum("l_quantity").alias("qty"), F.avg("l_extendedprice").alias("price"), F.avg("l_discount").alias("disc")
+        F.count("*").alias("n"), F.sum(_money("l_quantity")).alias("qty"), F.avg("l_extendedprice").alias("price"), F.avg("l_discount").alias("disc")
     )
 
 
 @query(
-    "nation:s orders:i total:m",
-    """final AS (SELECT n_name AS nation, count(o_orderkey) AS orders, sum(o_totalprice) AS total FROM nation
+    "nation:s orders:i total:e",
+    """final AS (SELECT n_name AS nation, count(o_orderkey) AS orders, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS total FROM nation
     JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY 1)""",
 )
 def orders_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +42,7 @@ def orders_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     joined = people.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).join(done, F.col("o_custkey") == F.col("c_custkey"), "left")
-    return joined.groupBy(F.col("n_name").alias("nation")).agg(F.count("o_orderkey").alias("orders"), F.sum("o_totalprice").alias("total"))
+    return joined.groupBy(F.col("n_name").alias("nation")).agg(F.count("o_orderkey").alias("orders"), F.sum(_money("o_totalprice")).alias("total"))
 
 
 @query("segment:s n:i", "final AS (SELECT c_mktsegment AS segment, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL) GROUP BY 1)")
@@ -53,13 +58,13 @@ def returned_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "nation:s rank:i customer:i total:m",
-    """t AS (SELECT c_nationkey, c_custkey, sum(o_totalprice) AS total FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2),
+    "nation:s rank:i customer:i total:e",
+    """t AS (SELECT c_nationkey, c_custkey, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS total FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY total DESC, c_custkey) AS rank FROM t),
     final AS (SELECT n_name AS nation, rank, c_custkey AS customer, total FROM r JOIN nation ON c_nationkey = n_nationkey WHERE rank <= 3)""",
 )
 def top_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spent = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("total"))
+    spent = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum(_money("o_totalprice")).alias("total"))
     named = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(spent, "c_custkey")
     rank = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("total"), "c_custkey"))
     best = named.withColumn("rank", rank).where("rank <= 3")
@@ -179,24 +184,24 @@ def customer_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "year:s priority:s n:i total:m",
+    "year:s priority:s n:i total:e",
     """final AS (SELECT CASE WHEN grouping(year(o_orderdate)) = 1 THEN 'all' ELSE CAST(year(o_orderdate) AS VARCHAR) END AS year,
-    CASE WHEN grouping(o_orderpriority) = 1 THEN 'all' ELSE o_orderpriority END AS priority, count(*) AS n, sum(o_totalprice) AS total
+    CASE WHEN grouping(o_orderpriority) = 1 THEN 'all' ELSE o_orderpriority END AS priority, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS total
     FROM orders GROUP BY GROUPING SETS ((), (year(o_orderdate)), (o_orderpriority)))""",
 )
 def order_totals_by_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.year("o_orderdate").cast("string").alias("y"), F.col("o_orderpriority").alias("p"), "o_totalprice")
-    sets = rows.groupingSets([[], ["y"], ["p"]], "y", "p").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"), F.grouping("y").alias("gy"), F.grouping("p").alias("gp"))
+    sets = rows.groupingSets([[], ["y"], ["p"]], "y", "p").agg(F.count("*").alias("n"), F.sum(_money("o_totalprice")).alias("total"), F.grouping("y").alias("gy"), F.grouping("p").alias("gp"))
     return sets.select(F.when(F.col("gy") == 1, "all").otherwise(F.col("y")).alias("year"), F.when(F.col("gp") == 1, "all").otherwise(F.col("p")).alias("priority"), "n", "total")
 
 
 @query(
-    "priority:s f:m o:m p:m",
-    """final AS (SELECT o_orderpriority AS priority, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS f, sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS o,
-    sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END) AS p FROM orders GROUP BY 1)""",
+    "priority:s f:e o:e p:e",
+    """final AS (SELECT o_orderpriority AS priority, sum(CASE WHEN o_orderstatus = 'F' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS f, sum(CASE WHEN o_orderstatus = 'O' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS o,
+    sum(CASE WHEN o_orderstatus = 'P' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS p FROM orders GROUP BY 1)""",
 )
 def status_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pivoted = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("priority")).pivot("o_orderstatus", ["F", "O", "P"]).sum("o_totalprice")
+    pivoted = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("priority")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.sum(_money("o_totalprice")))
     return pivoted.toDF("priority", "f", "o", "p")
 
 
