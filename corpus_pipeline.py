@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaymark.llm import lang_id, near_dup, packing, quality, secrets
-from quaymark.llm.common import shared_dir, table
+from quaymark.llm.common import shared_dir, small_batches, table
 
 #: A text whose best profile is hardly nearer than none has no language.
 LEAST_SCORE = 0.1
@@ -16,6 +16,7 @@ LEAST_SCORE = 0.1
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without a language; lang becomes the predicted one."""
+    small_batches(spark)
     profiles = lang_id.learn_profiles(docs.where(~lang_id.held_out("doc_id")))
     found = lang_id.identify(docs, profiles)
     known = found.where((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
@@ -24,21 +25,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts that fail the base rule or are robust outliers of their language and source."""
+    small_batches(spark)
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the least doc_id of each near-duplicate group."""
+    small_batches(spark)
     return near_dup.one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets in the texts; n_chars follows."""
+    small_batches(spark)
     return secrets.redact_secrets(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the texts into bins: one row for each piece of a document."""
+    small_batches(spark)
     return packing.pack(docs)
 
 
