@@ -56,7 +56,7 @@ class _WordIds(dict):
     """64-bit hashes of words, kept while they fit a bounded cache."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return value
@@ -353,13 +353,14 @@ def _support(texts: DataFrame, idf) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = idf.value
         for batch in batches:
-            for begin in range(0, len(batch), 200):
-                some = batch.iloc[begin : begin + 200]
-                bags = [shingles(word_ids(t)) for t in some["text"]]
-                h = np.concatenate([b[0] for b in bags])
-                w = np.concatenate([weights(*b, table) for b in bags])
-                ids = np.repeat(some["id"].to_numpy(), [len(b[0]) for b in bags])
-                yield pd.DataFrame({"id": ids, "h": h.view(np.int64), "w": w.astype(np.float64)})
+            held, size = [], 0
+            for i, (doc, text) in enumerate(zip(batch["id"], batch["text"], strict=True)):
+                h, tf = shingles(word_ids(text))
+                held.append((np.full(len(h), doc), h.view(np.int64), weights(h, tf, table).astype(np.float64)))
+                size += len(h)
+                if size >= CHUNK or i + 1 == len(batch):
+                    yield pd.DataFrame({n: np.concatenate(x) for n, x in zip(("id", "h", "w"), zip(*held, strict=True), strict=True)})
+                    held, size = [], 0
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
