@@ -9,8 +9,11 @@ all lines of the corpus,
     PMI = log2(n_et * N / (n_e * n_t)),   IC = log2(N / n_e),
 
 is 1 for a term that occurs nowhere else and 0 for one independent of the
-entity. Terms of at least ``DISCLOSURE`` that share ``SUPPORT`` or more
-distinct lines with the entity are reported on its lines with kind ``term``;
+entity. Every entity is scored, whatever its number of lines. Terms of at
+least ``DISCLOSURE`` are reported on its lines with kind ``term`` unless their
+meeting may be chance: a pair on fewer than ``SUPPORT`` distinct lines needs a
+probability of ``CHANCE`` at most, by the Chernoff bound
+2 ^ -(n_et * (PMI - log2 e)) of that many common lines of independent ones.
 ``sanitise`` generalises entities to their kind and removes the terms.
 
 Everything is a DataFrame expression. The patterns have possessive
@@ -20,6 +23,8 @@ linear in long runs of one character class.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +38,9 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 WORD = r"\p{L}{3,}+"
 KINDS = ("email", "ip", "card", "phone", "term")
 
+#: Pairs on so many distinct lines need no test against chance.
 SUPPORT = 3
+CHANCE = 0.001
 DISCLOSURE = 0.9
 #: Term lists up to this many rows are broadcast; longer ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -148,23 +155,24 @@ def _sized(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def disclosing_terms(docs: DataFrame, base: DataFrame, support: int = SUPPORT, least: float = DISCLOSURE) -> DataFrame:
     """``entity, term, disclosure`` of the terms that reveal an entity, over the whole corpus."""
     contexts = base.select(F.explode("contexts").alias("c")).select("c.entity", "c.line").distinct()
-    supported = contexts.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    entities = contexts.groupBy("entity").agg(F.count("*").alias("n_e"))
     words = F.array_distinct(F.transform(_matches(F.col("line"), WORD), F.lower))
     pairs = keep(
-        contexts.join(supported, "entity").select("entity", "n_e", F.explode(words).alias("term"))
-        .groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support),
+        contexts.join(entities, "entity").select("entity", "n_e", F.explode(words).alias("term"))
+        .groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")),
         "pii-pairs",
     )
     terms = pairs.select("term").distinct()
     lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
     total = F.broadcast(lines.agg(F.count("*").alias("lines")))
     seen = lines.select(F.explode(F.array_distinct(F.transform(_matches(F.col("line"), WORD), F.lower))).alias("term"))
-    counts = seen.join(_sized(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    counts = keep(seen.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi"), "pii-counts")
     pmi = F.log2(F.col("n_et") * F.col("lines") / (F.col("n_e") * F.col("n_t")))
-    rated = pairs.join(counts, "term").join(total).where("lines > n_e").withColumn(
+    rated = pairs.join(_sized(counts), "term").join(total).where("lines > n_e").withColumn(
         "disclosure", pmi / F.log2(F.col("lines") / F.col("n_e"))
     )
-    return keep(rated.where(F.col("disclosure") >= least).select("entity", "term", "disclosure"), "pii-terms")
+    sure = (F.col("n_et") >= support) | (F.col("n_et") * (pmi - math.log2(math.e)) >= -math.log2(CHANCE))
+    return keep(rated.where((F.col("disclosure") >= least) & sure).select("entity", "term", "disclosure"), "pii-terms")
 
 
 def _term_spans(base: DataFrame, terms: DataFrame) -> DataFrame:

@@ -106,6 +106,13 @@ def test_terms_join_the_spans_and_are_removed(spark):
     assert len(clean) == len(corpus())
 
 
+def test_entities_on_one_line_are_scored(spark):
+    docs = make(spark, [(0, "Mail solo@y.org about badger", "en", "s")] + [(i, f"the report about day {i}", "en", "s") for i in range(1, 4000)])
+    found = {r["doc_id"]: r for r in pii.find_pii(docs).collect()}
+    assert found[0]["spans"] == "term:0:4,email:5:15,term:22:28"
+    assert not any(found[i]["n_term"] for i in range(1, 4000))
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     found = pii.find_pii(odd_docs).collect()
     assert sorted(r["base_sha256"] for r in found) == sorted(hashlib.sha256(base(r["text"]).encode()).hexdigest() for r in odd_docs.collect())
