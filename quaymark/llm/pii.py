@@ -2,8 +2,8 @@
 
 The patterns find e-mail and IP addresses, card and phone numbers. Each found
 value is a protected entity. Terms (words of three or more letters) that
-appear on its lines may reveal it: over all distinct lines of an entity and
-all lines of the corpus,
+appear on its lines may reveal it: over the distinct lines of the corpus, so
+that copies of a text change nothing,
 
     disclosure(entity, term) = PMI(entity; term) / IC(entity),
     PMI = log2(n_et * N / (n_e * n_t)),   IC = log2(N / n_e),
@@ -163,10 +163,12 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, support: int = SUPPORT, l
         "pii-pairs",
     )
     terms = pairs.select("term").distinct()
-    lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-    total = F.broadcast(lines.agg(F.count("*").alias("lines")))
-    seen = lines.select(F.explode(F.array_distinct(F.transform(_matches(F.col("line"), WORD), F.lower))).alias("term"))
-    counts = keep(seen.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi"), "pii-counts")
+    lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).distinct()
+    # Every line also counts for the empty term: its count is the number of lines.
+    seen = lines.select(F.explode(F.array_append(words, F.lit(""))).alias("term"))
+    every = keep(seen.groupBy("term").agg(F.count("*").alias("n_t")), "pii-counts")
+    total = F.broadcast(every.where("term = ''").select(F.col("n_t").alias("lines")))
+    counts = every.join(terms, "term", "left_semi")
     pmi = F.log2(F.col("n_et") * F.col("lines") / (F.col("n_e") * F.col("n_t")))
     rated = pairs.join(_sized(counts), "term").join(total).where("lines > n_e").withColumn(
         "disclosure", pmi / F.log2(F.col("lines") / F.col("n_e"))

@@ -113,6 +113,14 @@ def test_entities_on_one_line_are_scored(spark):
     assert not any(found[i]["n_term"] for i in range(1, 4000))
 
 
+@pytest.mark.parametrize("copies", [1, 50])
+def test_copies_of_texts_change_no_disclosure(spark, copies):
+    rows = [(i, f"Mail jo@x.org about falcon number{i}", "en", "s") for i in range(3)] * copies
+    docs = make(spark, rows + [(i, f"the report about day {i}", "en", "s") for i in range(3, 300)])
+    found = {r["term"]: r["disclosure"] for r in pii.disclosing_terms(docs, pii.base_spans(docs)).collect()}
+    assert found["falcon"] == pytest.approx(1) and "about" not in found
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     found = pii.find_pii(odd_docs).collect()
     assert sorted(r["base_sha256"] for r in found) == sorted(hashlib.sha256(base(r["text"]).encode()).hexdigest() for r in odd_docs.collect())
