@@ -10,8 +10,8 @@ that copies of a text change nothing,
 
 is 1 for a term that occurs nowhere else and 0 for one independent of the
 entity. Every entity is scored, whatever its number of lines. Terms of at
-least ``DISCLOSURE`` are reported on its lines with kind ``term`` unless their
-meeting may be chance: a pair on fewer than ``SUPPORT`` distinct lines needs a
+least ``DISCLOSURE`` are reported with kind ``term`` on every line of every document
+that holds the entity, unless their meeting may be chance: a pair on fewer than ``SUPPORT`` distinct lines needs a
 probability of ``CHANCE`` at most, by the Chernoff bound
 2 ^ -(n_et * (PMI - log2 e)) of that many common lines of independent ones.
 ``sanitise`` generalises entities to their kind and removes the terms.
@@ -116,10 +116,10 @@ def _listed(spans: Column) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """``id, text_hash, spans, contexts`` of each row, written once.
+    """``id, text_hash, spans, contexts, text`` of each row, written once.
 
     spans: (s, k, e, m) by start and kind. contexts: for each span, the value
-    as an entity, its line and the line's offset.
+    as an entity and its line. text: null where there is no span.
     """
     text = F.col("text")
     read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
@@ -134,7 +134,6 @@ def base_spans(docs: DataFrame) -> DataFrame:
         return F.struct(
             F.concat_ws(":", x["k"], value).alias("entity"),
             F.concat(before, after).alias("line"),
-            (x["e"] - F.length(before)).alias("offset"),
         )
 
     return keep(
@@ -143,6 +142,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
             F.xxhash64("text").alias("text_hash"),
             "spans",
             F.transform("spans", context).alias("contexts"),
+            F.when(F.size("spans") > 0, text).alias("text"),
         ),
         "pii-base",
     )
@@ -177,32 +177,43 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, support: int = SUPPORT, l
     return keep(rated.where((F.col("disclosure") >= least) & sure).select("entity", "term", "disclosure"), "pii-terms")
 
 
+def _lines(text: Column) -> Column:
+    """(line, offset) of each line."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<line:string,offset:int>>").alias("out"))
+
+    def step(acc: Column, line: Column) -> Column:
+        placed = F.struct(line.alias("line"), acc["at"].alias("offset"))
+        return F.struct((acc["at"] + F.length(line) + 1).alias("at"), F.array_append(acc["out"], placed).alias("out"))
+
+    return F.aggregate(F.split(text, "\n"), start, step, lambda acc: acc["out"])
+
+
 def _term_spans(base: DataFrame, terms: DataFrame) -> DataFrame:
-    """``id, text_hash, found``: spans of disclosing terms outside the pattern spans."""
-    at = base.where(F.size("contexts") > 0).select("id", "text_hash", "spans", F.explode("contexts").alias("c"))
-    revealing = terms.select("entity").distinct()
-    lines = at.join(revealing, F.col("c.entity") == F.col("entity"), "left_semi").select(
-        "id", "text_hash", "spans", F.col("c.entity").alias("entity"), F.col("c.line").alias("line"), F.col("c.offset").alias("offset")
-    )
-    placed = lines.select("id", "text_hash", "spans", "entity", "offset", F.explode(_placed(F.col("line"), _matches(F.col("line"), WORD))).alias("w"))
-    placed = placed.select(
-        "id", "text_hash", "spans", "entity", F.lower("w.m").alias("term"),
-        (F.col("w.s") + F.col("offset")).alias("s"), (F.col("w.e") + F.col("offset")).alias("e"), F.col("w.m").alias("m"),
+    """``key, text_hash, found``: occurrences of the terms that reveal an entity of the row, on all its lines."""
+    key = F.coalesce("id", F.lit(-(1 << 63))).alias("key")
+    held = base.select(key, "text_hash", F.explode("contexts.entity").alias("entity")).distinct()
+    held = held.join(terms.select("entity").distinct(), "entity", "left_semi")
+    texts = base.where("text is not null").select(key, "text_hash", "text").join(held, ["key", "text_hash"], "left_semi")
+    lines = texts.select("key", "text_hash", F.explode(_lines(F.col("text"))).alias("l"))
+    placed = lines.select("key", "text_hash", "l.offset", F.explode(_placed(F.col("l.line"), _matches(F.col("l.line"), WORD))).alias("w"))
+    span = F.struct(
+        (F.col("w.s") + F.col("offset")).alias("s"), F.lit(KINDS.index("term")).alias("k"),
+        (F.col("w.e") + F.col("offset")).alias("e"), F.col("w.m").alias("m"),
     )
-    free = ~F.exists("spans", lambda x: (x["s"] < F.col("e")) & (F.col("s") < x["e"]))
-    found = placed.join(terms.select("entity", "term"), ["entity", "term"], "left_semi").where(free)
-    span = F.struct(F.col("s"), F.lit(KINDS.index("term")).alias("k"), F.col("e"), F.col("m"))
-    key = F.coalesce("id", F.lit(-(1 << 63)))
-    return found.groupBy(key.alias("key"), "text_hash").agg(F.collect_set(span).alias("found"))
+    words = placed.select("key", "text_hash", F.lower("w.m").alias("term"), span.alias("span"))
+    # By term first: an entity of many documents never meets all its terms in each of them.
+    found = words.join(_sized(terms.select("entity", "term")), "term").join(held, ["key", "text_hash", "entity"], "left_semi")
+    return found.groupBy("key", "text_hash").agg(F.collect_set("span").alias("found"))
 
 
 def all_spans(docs: DataFrame, support: int = SUPPORT, least: float = DISCLOSURE) -> DataFrame:
-    """``id, text_hash, spans, found``: pattern spans and term spans of each row."""
+    """``id, text_hash, spans, found``: pattern spans, and term spans outside them, of each row."""
     base = base_spans(docs)
     found = _term_spans(base, disclosing_terms(docs, base, support, least))
     key = F.coalesce("id", F.lit(-(1 << 63)))
+    free = F.filter("found", lambda w: ~F.exists("spans", lambda x: (x["s"] < w["e"]) & (w["s"] < x["e"])))
     return base.withColumn("key", key).join(found, ["key", "text_hash"], "left").select(
-        "id", "text_hash", "spans", F.coalesce("found", F.slice("spans", 1, 0)).alias("found")
+        "id", "text_hash", "spans", F.coalesce(free, F.slice("spans", 1, 0)).alias("found")
     )
 
 

@@ -121,6 +121,16 @@ def test_copies_of_texts_change_no_disclosure(spark, copies):
     assert found["falcon"] == pytest.approx(1) and "about" not in found
 
 
+def test_terms_are_found_on_other_lines_of_the_document(spark):
+    text = "Of falcons a\n\nno Falcon 😀 falcon\n" + corpus()[0][1] + "\nfalcon"
+    docs = make(spark, [(99, text, "en", "s"), *corpus()[1:]] + [(i, f"the report of day {i}", "en", "s") for i in range(100, 2100)])
+    found = {r["doc_id"]: r for r in pii.find_pii(docs).collect()}
+    at = [m.start() for m in re.finditer(r"(?i)\bfalcon\b", text)]
+    assert len(at) == 4 and {f"term:{a}:{a + 6}" for a in at} <= set(found[99]["spans"].split(","))
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert re.findall(r"(?i)falcons?", clean[99]) == ["falcons"]
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     found = pii.find_pii(odd_docs).collect()
     assert sorted(r["base_sha256"] for r in found) == sorted(hashlib.sha256(base(r["text"]).encode()).hexdigest() for r in odd_docs.collect())
