@@ -4,7 +4,7 @@ The patterns find assignments to sensitive names, access key ids and long hex
 runs. The lexer reads source and configuration syntax line by line into
 (name, literal) pairs: ``name = "x"``, ``name: x``, ``name := 'x'``,
 ``"name": "x"``, ``<name>x</name>``, ``--name x``, ``name => "x"``, with
-typed and dotted names. A value that is a bare name is looked up among the
+typed and dotted names, private keys over several lines. A value that is a bare name is looked up among the
 literals assigned earlier in the text, so a constant that reaches a sensitive
 name through other names is found where its literal stands. A literal scores
 by the sensitive words in its target's name plus its own randomness; scores
@@ -47,16 +47,26 @@ PLACEHOLDERS = {
     "secret", "token", "your_password", "your_token", "xxxxxxxx", "todo", "redacted", "placeholder",
 }
 MIN_SCORE = 3.5
+#: Under names of this score a literal may hold white space, as passphrases do.
+STRONG = 3
 LEAST_LITERAL = 8
 
-NAME = r"[A-Za-z_$][A-Za-z0-9_$.-]{0,127}"
-LITERAL = r"\"(?:[^\"\\\n]|\\.){0,4096}\"|'(?:[^'\\\n]|\\.){0,4096}'|`[^`\n]{0,4096}`|[^\s\"'`,;(){}\[\]<>]{1,4096}"
-PAIR = re.compile(
-    rf"(?<![A-Za-z0-9_$.-])(?P<q>[\"']?)(?P<name>{NAME})(?P=q)(?:[ \t]*:[ \t]*[A-Za-z_][A-Za-z0-9_<>\[\]]{{0,40}})?"
-    rf"[ \t]*(?::=|=>|=(?![=~])|:(?![:/]))[ \t]*(?P<value>{LITERAL})"
+# Names and literals have no greatest length; possessive quantifiers keep the cost linear.
+NAME = r"[A-Za-z_$][A-Za-z0-9_$.-]*+"
+LITERAL = r"\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|`[^`\n]*+`|[^\s\"'`,;(){}\[\]<>]++"
+TARGET = (
+    rf"(?<![A-Za-z0-9_$.-])(?P<q>[\"']?)(?P<name>{NAME})(?P=q)(?:[ \t]*+:[ \t]*+[A-Za-z_][A-Za-z0-9_<>\[\]]*+)?"
+    r"[ \t]*+(?::=|=>|=(?![=~])|:(?![:/]))[ \t]*+"
 )
-TAG = re.compile(rf"<(?P<name>{NAME})>(?P<value>[^<>\n]{{1,4096}})</(?P=name)>")
-FLAG = re.compile(rf"(?<!\S)--(?P<name>{NAME})[ \t]+(?P<value>{LITERAL})")
+PAIR = re.compile(rf"{TARGET}(?P<value>{LITERAL})")
+TAG = re.compile(rf"<(?P<name>{NAME})>(?P<value>[^<>\n]++)</(?P=name)>")
+FLAG = re.compile(rf"(?<!\S)--(?P<name>{NAME})[ \t]++(?P<value>{LITERAL})")
+PRIVATE = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----"
+# A key with unescaped line breaks, in quotes, as a YAML block or as an element.
+PEM = r"(?P<value>" + PRIVATE + r"(?!\\)(?:[^-]++|-(?!----))*+-----END [A-Z0-9 ]*-----)"
+PEM_PAIR = re.compile(rf"{TARGET}(?:[|>][+-]?)?\s*+[\"'`]{{0,3}}+\s*+{PEM}")
+PEM_TAG = re.compile(rf"<(?P<name>{NAME})>\s*+{PEM}\s*+</(?P=name)>")
+IS_PRIVATE = re.compile(PRIVATE)
 IS_NAME = re.compile(rf"{NAME}\Z")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
@@ -72,9 +82,13 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
-def literal_score(value: str) -> float:
-    """0 for placeholders, short, wordy or repeated values; up to 2 for random ones."""
-    if len(value) < LEAST_LITERAL or value.lower() in PLACEHOLDERS or re.search(r"\s|\$\{|\{\{|%\(", value):
+def literal_score(value: str, spaced: bool = False) -> float:
+    """0 for placeholders, short or repeated values, and wordy ones unless ``spaced``; up to 2 for random ones and private keys."""
+    if IS_PRIVATE.match(value):
+        return 2.0
+    if len(value) < LEAST_LITERAL or "_".join(value.lower().split()) in PLACEHOLDERS or re.search(r"\$\{|\{\{|%\(", value):
+        return 0.0
+    if not spaced and re.search(r"\s", value):
         return 0.0
     kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
     return min(2.0, max(0.0, entropy(value) - 2.0)) * (0.5 + 0.25 * min(kinds, 2))
@@ -86,6 +100,7 @@ def pairs(text: str) -> list[tuple[str, str, int, int, bool]]:
     patterns = [PAIR] if "=" in text or ":" in text else []
     patterns += [TAG] if "</" in text else []
     patterns += [FLAG] if "--" in text else []
+    patterns += [PEM_PAIR, PEM_TAG] if "PRIVATE KEY" in text else []
     for pattern in patterns:
         for m in pattern.finditer(text):
             start, end = m.span("value")
@@ -103,7 +118,7 @@ def named_literals(text: str) -> list[tuple[int, int, float]]:
         literal = source or (value, start, end)
         known[name] = literal  # a later assignment replaces an earlier one
         sensitive = name_score(name)
-        if sensitive >= 2 and (random := literal_score(literal[0])) >= 0.5:
+        if sensitive >= 2 and (random := literal_score(literal[0], sensitive >= STRONG)) >= 0.5:
             at = literal[1:]
             best[at] = max(best.get(at, 0.0), sensitive + random)
     return [(*at, score) for at, score in sorted(best.items()) if score >= MIN_SCORE]
