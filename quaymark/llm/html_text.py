@@ -5,8 +5,9 @@ a stack of open elements. Menus, headers, footers, asides, adverts, notices,
 forms, comments, scripts and styles are passed over by tag, role, class or
 id. Each container of the rest is scored by the share of the page's text
 outside links that it holds; the page votes, with that share, for the deepest
-container of at least ``COVER`` (its article or main element, if it lies in
-one). Votes are added up for each host and generalised tag-class path in
+container of at least ``COVER``: its article or main element, if it lies in
+one, else the container of all text outside links that is in no other
+article. Votes are added up for each host and generalised tag-class path in
 Spark, and every page is read again with its host's winning path. A page
 that lacks that path uses its own best container.
 """
@@ -51,6 +52,9 @@ PASSED_WORDS = set(
     "notification popup modal newsletter subscribe share sharing social related recommended breadcrumb breadcrumbs "
     "pagination pager widget toolbar login signup search header gdpr overlay".split()
 )
+#: Elements that may be voted for, besides custom ones and cells of several blocks.
+CONTAINERS = set("html body main article section div center".split()) | {""}
+HREF = re.compile(r"(?<![\w-])href\s*=", re.I)
 CONTENT_WORDS = set("article post entry story title main content body text".split())
 ARTICLE_WORDS = set("article post entry story".split())
 CLOSES = {  # an opening tag ends these open elements, up to the scope
@@ -97,7 +101,7 @@ def _opened(tag: str, attrs: str, parent: Element | None) -> Element:
             or "display:none" in found.get("style", "").replace(" ", "").lower()
             or bool(words & PASSED_WORDS and not (words & PASSED_WORDS == {"header"} and words & CONTENT_WORDS))
         )
-    linked = tag == "a" or (parent is not None and parent.linked)
+    linked = (tag == "a" and bool(HREF.search(attrs))) or (parent is not None and parent.linked)
     return Element(tag, ".".join([tag, *classes]), parent, passed, article or inside, linked)
 
 
@@ -159,29 +163,51 @@ def blocks(html: str | None) -> list[tuple[Element, str, float]]:
 
 
 def best_container(found: list[tuple[Element, str, float]]) -> tuple[Element, float] | None:
-    """The deepest container of at least COVER of the weight, and the share it holds."""
+    """The page's main container and the share of the weight it holds.
+
+    That is the outermost article around the deepest element of at least
+    COVER, or without one the container that holds all weight outside other
+    articles. A page without weight has its root, so all its blocks.
+    """
     total = sum(w for _, _, w in found)
     if not total:
-        return (found[0][0], 0.0) if found else None
+        at = found[0][0] if found else None
+        while at is not None and at.parent is not None:
+            at = at.parent
+        return (at, 0.0) if found else None
     weights: dict[Element, float] = {}
+    apart: dict[Element, float] = {}  # outside articles
+    count: dict[Element, int] = {}
     for element, _, w in found:
         at = element
         while at is not None:
             weights[at] = weights.get(at, 0.0) + w
+            apart[at] = apart.get(at, 0.0) + (0.0 if element.article else w)
+            count[at] = count.get(at, 0) + 1
             at = at.parent
     depth = {e: len(e.path()) for e in weights if weights[e] >= COVER * total}
     best = max(depth, key=lambda e: (e.path().count(">"), weights[e]))
-    at = best
+    article, at = None, best
     while at is not None:  # the outermost article that it lies in
         if at.article:
+            article = at
+        at = at.parent
+    if article:
+        return article, weights[article] / total
+    at = best.parent
+    while at is not None:  # the highest one that adds text
+        if apart[at] > apart[best]:
             best = at
         at = at.parent
+    while not (best.tag in CONTAINERS or "-" in best.tag or (best.tag in ("td", "th") and count[best] > 1)):
+        best = best.parent
     return best, weights[best] / total
 
 
 def vote(html: str | None) -> tuple[str, float] | None:
+    """Path and share of the page's main container; a page without weight or container has no vote."""
     best = best_container(blocks(html))
-    return (best[0].path(), best[1]) if best else None
+    return (best[0].path(), best[1]) if best and best[1] and best[0].tag else None
 
 
 def main_text(html: str | None, path: str | None = None) -> str:

@@ -49,6 +49,32 @@ def test_hosts_agree_on_a_path(spark):
     assert h.main_text(odd).startswith("a much longer")
 
 
+LONG, SHORT = "one long paragraph of many words " * 20, "a short one"
+
+
+@pytest.mark.parametrize(
+    "html, texts",
+    [
+        (f"<body><div id=content><h1>Head</h1><p>{LONG}</p><p>{SHORT}</p></div><footer>us</footer></body>", ["Head", LONG.strip(), SHORT]),
+        (f"<body><ul><li>{LONG}</li><li>{SHORT}</li></ul><blockquote>q</blockquote></body>", [LONG.strip(), SHORT, "q"]),
+        (f"<body><div><h1>Head</h1></div><div><p>{LONG}</p></div><div class=ad>buy</div></body>", ["Head", LONG.strip()]),
+        (f"<table><tr><td><p>{LONG}</p></td><td>{SHORT}</td></tr></table>", [LONG.strip(), SHORT]),
+        (f"<body><a name=top><h1>Head</h1><p>{LONG}</p><p>{SHORT}</p></body>", ["Head", LONG.strip(), SHORT]),
+        ("<body><a href='/x'><h1>Head</h1><p>b</p><div><p>c</p></div></body>", ["Head", "b", "c"]),
+    ],
+)
+def test_pages_without_article_lose_no_text(html, texts):
+    assert h.main_text(html) == "\n\n".join(texts)
+
+
+def test_hosts_never_vote_for_one_paragraph(spark):
+    lone = f"<html><body><div><p>{LONG}</p></div></body></html>"
+    full = f"<html><body><div><h2>Head</h2><p>{SHORT}</p><ul><li>item</li></ul></div></body></html>"
+    rows = [(i, f"https://b.org/{i}", lone) for i in range(3)] + [(9, "https://b.org/9", full)]
+    found = {r["page_id"]: r["text"] for r in h.extract(pages(spark, rows)).collect()}
+    assert found[9] == f"Head\n\n{SHORT}\n\nitem" and found[0] == LONG.strip()
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None), (2, "no host", ""), (None, "http://h/", PAGE), (3, "http://h/x", PAGE), (3, "http://h/x", PAGE)]
     found = h.extract(pages(spark, rows)).collect()
