@@ -246,12 +246,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
 
 
-def _own_id() -> F.Column:
+def own_id() -> F.Column:
     """doc_id, or without one an id of the text, past all doc_ids."""
     own = F.xxhash64("text").bitwiseOR(F.lit(1 << 62)).bitwiseAND(F.lit((1 << 63) - 1))
     return F.coalesce(F.col("doc_id"), own)
 
 
+def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``id, group_id``: the group of each own id, once."""
+    return _grouped(docs, threshold).groupBy("id").agg(F.min("label").alias("group_id"))
+
+
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, that of the least doc_id.
 
@@ -261,7 +266,7 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         _grouped(docs, threshold).where("id = label").groupBy("id").agg(F.count("*").alias("n")), "chosen"
     )
     row = F.struct(*[F.col(c) for c in docs.columns])
-    rows = docs.select(row.alias("row"), _own_id().alias("id"))
+    rows = docs.select(row.alias("row"), own_id().alias("id"))
     once = rows.join(chosen.where("n = 1"), "id", "left_semi").select("row")
     if chosen.where("n > 1").isEmpty():
         return once.select("row.*")
@@ -272,7 +277,7 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def _grouped(docs: DataFrame, threshold: float) -> DataFrame:
     """Each row's ``id, real, rep, label``: own id, class and group."""
     spark = docs.sparkSession
-    base = docs.select(_own_id().alias("id"), "text", F.col("doc_id").isNotNull().alias("real"))
+    base = docs.select(own_id().alias("id"), "text", F.col("doc_id").isNotNull().alias("real"))
     idf = spark.sparkContext.broadcast(shingle_idf(base))
     signed = keep(
         base.mapInPandas(

@@ -8,7 +8,7 @@ open bins are kept ordered by residual, each carries a bitmap of its sources
 and one of its clusters, and the search goes from the first bin large enough
 to its successors until a compatible one is found. If none is, a bin opens.
 
-Rows are dealt to shards by a hash of doc_id, about ``shard_docs`` to a shard,
+Rows are dealt to shards by a hash of doc_id and place in the input, about ``shard_docs`` to a shard,
 and each shard is packed alone: bins never span shards, a shard's size does
 not grow with the data, and no source or cluster gathers in one task.
 """
@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .near_dup import groups, own_id
+
 CAPACITY = 2048
 SHARD_DOCS = 2000
 
@@ -104,30 +106,35 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             {
                 "doc_id": batch["doc_id"],
                 "source": batch["source"],
+                "id": batch["id"],
+                "row": batch["row"],
                 "n_tokens": [len(w) for w in words],
                 "cluster": [xxhash.xxh3_128_hexdigest(" ".join(w).lower().encode("utf-8", "surrogatepass")) if w else None for w in words],
             }
         )
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS, near: bool = False) -> DataFrame:
     """Pack every row of ``docs`` (doc_id, text, source); tokens are white-space words.
 
     A duplicate cluster is the set of documents with the same words, whatever
-    their case. Returns ``doc_id, piece, first_token, n_tokens, bin_id, place``:
+    their case; with ``near`` it is the near-duplicate group.
+    Returns ``doc_id, piece, first_token, n_tokens, bin_id, place``:
     the pieces of a row cover all its tokens, a bin holds at most ``capacity``.
-    A null or empty text is one piece of 0 tokens. A null source conflicts
+    A null or empty text is one piece of 0 tokens, in no cluster. A null source conflicts
     with no source. A repeated row is packed again, in another bin.
     An empty table gives no rows.
     """
-    base = docs.select("doc_id", "source", "text").mapInPandas(
-        _measure, "doc_id long, source string, n_tokens long, cluster string"
-    )
+    # The place in the input, which a retried task repeats, spreads the rows of one doc_id.
+    rows = docs.select("doc_id", "source", "text", own_id().alias("id"), F.monotonically_increasing_id().alias("row"))
+    base = rows.mapInPandas(_measure, "doc_id long, source string, id long, row long, n_tokens long, cluster string")
+    if near:
+        base = base.join(groups(docs), "id", "left").withColumn(
+            "cluster", F.when(F.col("cluster").isNotNull(), F.col("group_id").cast("string"))
+        )
     shards = max(1, -(-docs.count() // shard_docs))
-    # Rows without a doc_id are dealt by their place in the input, which a retried task repeats.
-    key = F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id()))
-    sharded = base.withColumn("shard", F.pmod(key, F.lit(shards)))
-    return sharded.groupBy("shard").applyInPandas(
+    sharded = base.withColumn("shard", F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)))
+    return sharded.select("doc_id", "source", "n_tokens", "cluster", "shard").groupBy("shard").applyInPandas(
         _pack(capacity),
         "doc_id long, piece long, first_token long, n_tokens long, bin_id long, place long",
     )

@@ -31,7 +31,7 @@ def op4_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), near=True)
 
 
 def op6_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:

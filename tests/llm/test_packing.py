@@ -60,6 +60,19 @@ def test_pieces_cover_texts_and_bins_keep_the_rules(spark):
         assert all(n == 1 for n in clusters.values())
 
 
+def test_near_copies_share_no_bin(spark):
+    rng = random.Random(8)
+    text = words(rng, 200)
+    rows = [(i, f"{text} more{i}", "en", f"s{i}") for i in range(5)] + [(9, words(rng, 200), "en", "t"), (10, None, "en", "u"), (11, "", "en", "v")]
+    found = p.pack(make(spark, rows), near=True).collect()
+    assert len({r["bin_id"] for r in found if r["doc_id"] < 5}) == 5 and len({r["bin_id"] for r in found}) == 5
+
+
+def test_rows_of_one_doc_id_spread_over_shards(spark):
+    found = p.pack(make(spark, [(1, f"word{i}", "en", None) for i in range(200)]), shard_docs=20).collect()
+    assert len({r["bin_id"] >> 32 for r in found}) > 5
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     found = p.pack(odd_docs).collect()
     want = sum(len((r["text"] or "").split()) for r in odd_docs.collect())
