@@ -112,3 +112,25 @@ def hill(rows: DataFrame, tail: float = 0.925) -> DataFrame:
     limit = losses.groupBy("code").agg(F.percentile("x", tail).alias("u"))
     beyond = losses.join(limit, "code").where(F.col("x") > F.col("u"))
     return beyond.groupBy("code").agg(F.count("*").alias("n"), (1 / F.avg(F.log(F.col("x") / F.col("u")))).alias("alpha"))
+
+
+def event_matches(events: DataFrame, alerts: DataFrame, lead: int = 3, horizon: int = 10) -> DataFrame:
+    """``code, bar, onset, delay, kind`` for each alert (code, bar, score) against events (code, bar).
+
+    Events in order use up all alerts within lead bars before and horizon bars
+    after, so an alert belongs to the earliest event that reaches it; of an
+    event's alerts the nearest (then earliest, then highest) is the match and
+    the others are duplicates. Each alert meets the lead + horizon + 1 bars
+    whose events reach it: an equi-join.
+    """
+    reach = alerts.select("code", "bar", "score", F.explode(F.sequence(F.col("bar") - horizon, F.col("bar") + lead)).alias("onset"))
+    onsets = events.select("code", F.col("bar").alias("onset")).distinct()
+    first = reach.join(onsets, ["code", "onset"]).groupBy("code", "bar", "score").agg(F.min("onset").alias("onset"))
+    found = alerts.join(first, ["code", "bar", "score"], "left")
+    order = Window.partitionBy("code", "onset").orderBy(F.abs(F.col("bar") - F.col("onset")), "bar", F.desc("score"))
+    ranked = found.withColumn("n", F.when(F.col("onset").isNotNull(), F.row_number().over(order)))
+    best = F.col("n") == 1
+    kind = F.when(F.col("onset").isNull(), "false_alarm").when(best, "match").otherwise("duplicate")
+    return ranked.select(
+        "code", "bar", F.when(best, F.col("onset")).alias("onset"), F.when(best, F.col("bar") - F.col("onset")).alias("delay"), kind.alias("kind")
+    )

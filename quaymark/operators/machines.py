@@ -6,7 +6,7 @@ is bounded by the days of a listing, not by the number of codes.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -106,7 +106,8 @@ def rule_trades(
     A buy fills at the next close. The peak counts from the fill bar; a trend
     day suppresses sells from then on until the exit; the trailing stop works
     strictly after the fill bar; an exit is recorded only if another bar
-    follows. Weight lags the target by a bar, and turnover pays ``cost``.
+    follows. Weight lags the target by a bar; a change of the target pays
+    ``cost`` on its own bar, a bar before the weight follows.
     """
     n = len(close)
     target = np.zeros(n + 1)
@@ -131,9 +132,10 @@ def rule_trades(
             fill = -1
         else:
             target[i + 1] = 1
-    weight = np.concatenate(([0.0], target[: n - 1]))[:n]
+    held = target[:n]
+    weight = np.concatenate(([0.0], held[:-1]))[:n]
     move = np.concatenate(([0.0], close[1:] / close[:-1] - 1))
-    turn = np.abs(np.diff(np.concatenate(([0.0], weight))))
+    turn = np.abs(np.diff(np.concatenate(([0.0], held))))
     if fill >= 0:
         trades.append({"signal": signal, "entry": fill if fill < n else -1, "exit": -1, "reason": "open" if fill < n else "pending"})
     return trades, weight, np.cumprod(1 + weight * move - turn * cost)
@@ -243,58 +245,35 @@ def squash_labels(rows: DataFrame, label: str, least: int = 10) -> DataFrame:
     return by_code(rows, run, schemas.LABELS)
 
 
+def guarded(close: np.ndarray, mean: np.ndarray, labels: list[str], guard: int = 2) -> list[str]:
+    """Up labels with the guard: see ``sticky_guard``."""
+    out, below, wait, peak = [], 0, 0, np.nan
+    for x, m, now in zip(close, mean, labels, strict=True):
+        known = np.isfinite(x) and np.isfinite(m)
+        if now != "up":
+            below, wait, peak = 0, 0, np.nan
+        elif wait:
+            now, below, peak = "range", 0, np.nan
+            wait -= bool(known and x >= m)
+        else:
+            peak = np.fmax(peak, x) if np.isfinite(x) else peak
+            below = below + 1 if known and x < m else 0
+            deep = np.isfinite(x) and peak > 0 and x / peak - 1 <= -0.18
+            if below >= 3 or (below and deep):
+                now, below, wait, peak = "range", 0, guard, np.nan
+        out.append(now)
+    return out
+
+
 def sticky_guard(rows: DataFrame, label: str, guard: int = 2) -> DataFrame:
-    """An up label falls to range after three closes below the mean, or one with an 18 % drawdown; ``guard`` closes above restore it."""
+    """An up label falls to range after three closes below the mean, or one with an 18 % drawdown from the run's peak.
+
+    From then on up labels stay range until ``guard`` closes at or above the
+    mean have passed, the last of these included; any other label ends the guard.
+    """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        c, m, raw = g["close"].to_numpy(float), g["ma20"].to_numpy(float), g[label].fillna("range").tolist()
-        out, below, wait, peak = [], 0, 0, 0.0
-        for x, mean, now in zip(c, m, raw, strict=True):
-            if now != "up":
-                below, wait, peak = 0, 0, 0.0
-                out.append(now)
-                continue
-            peak = max(peak, x)
-            under = not np.isnan(mean) and x < mean
-            below = below + 1 if under else 0
-            if wait:
-                wait -= not under
-                out.append("range" if wait else "up")
-            elif below >= 3 or (below >= 1 and x / peak - 1 <= -0.18):
-                wait, peak = guard, x
-                out.append("range")
-            else:
-                out.append("up")
-        return pd.DataFrame({"code": g["code"], "d": g["d"], "label": out})
+        labels = guarded(g["close"].to_numpy(float), g["ma20"].to_numpy(float), g[label].fillna("range").tolist(), guard)
+        return pd.DataFrame({"code": g["code"], "d": g["d"], "label": labels})
 
     return by_code(rows, run, schemas.LABELS)
-
-
-def match_events(events: pd.DataFrame, alerts: pd.DataFrame, lead: int, horizon: int) -> Iterator[tuple]:
-    """Greedy one-to-one match of one code's alerts to events by (distance, bar, -score); others near are duplicates."""
-    used: set[int] = set()
-    for onset in sorted(events["bar"]):
-        near = [
-            (abs(b - onset), b, -s, i)
-            for i, (b, s) in enumerate(zip(alerts["bar"], alerts["score"], strict=True))
-            if i not in used and onset - lead <= b <= onset + horizon
-        ]
-        for k, (_, b, _, i) in enumerate(sorted(near)):
-            used.add(i)
-            yield i, onset if k == 0 else None, b - onset if k == 0 else None, "match" if k == 0 else "duplicate"
-    for i in range(len(alerts)):
-        if i not in used:
-            yield i, None, None, "false_alarm"
-
-
-def event_matches(events: DataFrame, alerts: DataFrame, lead: int = 3, horizon: int = 10) -> DataFrame:
-    """``code, bar, onset, delay, kind`` for each alert (code, bar, score) against events (code, bar)."""
-
-    def run(key: tuple, e: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        a = a.sort_values(["bar", "score"], ignore_index=True)
-        found = [(key[0], a["bar"][i], onset, delay, kind) for i, onset, delay, kind in match_events(e, a, lead, horizon)]
-        return pd.DataFrame(found, columns=["code", "bar", "onset", "delay", "kind"]).astype(object)
-
-    return events.groupBy("code").cogroup(alerts.groupBy("code")).applyInPandas(
-        run, "code string, bar long, onset long, delay long, kind string"
-    )

@@ -92,7 +92,10 @@ def plain_returns(bars: DataFrame) -> DataFrame:
 
 
 def quote_factor(raw: str, prev: str, pre_close: str, pct: str) -> Column:
-    """struct(factor, reason) that brings a raw quote to the adjusted level."""
+    """struct(factor, reason) that brings a raw quote to the adjusted level; 1 without a positive previous and raw close."""
+    def usable(name: str) -> Column:
+        return F.coalesce((F.col(name) > 0) & (F.col(name) < float("inf")), F.lit(False))
+
     cliff = F.abs(F.col(raw) / F.col(prev) - 1) > CLIFF
     by_pct = F.col(prev) * (1 + F.col(pct) / 100) / F.col(raw)
 
@@ -101,9 +104,9 @@ def quote_factor(raw: str, prev: str, pre_close: str, pct: str) -> Column:
 
     one = F.lit(1.0)
     return (
-        F.when(F.col(prev).isNull(), out(one, "no_qlib_prev"))
-        .when(F.col(pre_close) > 0, out(F.col(prev) / F.col(pre_close), "pre_close"))
-        .when(F.col(pct).isNotNull() & (F.col(raw) > 0), out(by_pct, "pct_chg"))
+        F.when(~usable(prev) | ~usable(raw), out(one, "no_qlib_prev"))
+        .when(usable(pre_close), out(F.col(prev) / F.col(pre_close), "pre_close"))
+        .when(F.col(pct).between(-100, 1e300) & (by_pct > 0), out(by_pct, "pct_chg"))
         .otherwise(out(one, F.when(cliff, "cliff_unaligned").otherwise("same_scale")))
     )
 

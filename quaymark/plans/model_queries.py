@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quaymark.functions import windows as w
 from quaymark.operators import cluster, features, labels, machines, regimes
-from quaymark.plans.shape import BY, bars_sql, mean_sql, over, query, ratio_sql
+from quaymark.plans.shape import BY, bars_sql, fold_sql, mean_sql, over, panels_sql, query, ratio_sql
 from quaymark.sources.bars import derive_bars
 
 BARS = bars_sql()
@@ -194,23 +194,61 @@ def pool_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.compare_pools(top.where("y = 1998"), top.where("y = 1999"))
 
 
-@query("code:s d:d sigma:f lower:f upper:f")
+VAR_NOW = "CASE WHEN s.v IS NULL THEN CASE WHEN s.last > 0 THEN s.last END ELSE 0.94 * s.v + 0.06 * s.last END"
+EWMA = fold_sql(
+    "ew", "feat", "fig9_gap AS g, fig9_path AS mid", {"v": "CAST(NULL AS DOUBLE)", "last": "x.g * x.g"},
+    {"v": VAR_NOW, "last": "coalesce(x.g * x.g, s.last)"},
+)
+
+
+@query(
+    "code:s d:d sigma:f lower:f upper:f",
+    f"""{BARS}, {panels_sql(['fig9'])}, {EWMA}, z AS (SELECT *, sqrt(v) AS sigma, abs(g / CASE WHEN v > 0 THEN sqrt(v) END) AS z FROM ew),
+    q AS (SELECT *, CASE WHEN z IS NOT NULL AND count(z) OVER o >= 63 THEN quantile_cont(z, 0.95) OVER o * sigma END AS wd FROM z WINDOW o AS (PARTITION BY code ORDER BY d ROWS UNBOUNDED PRECEDING)),
+    final AS (SELECT code, d, sigma, mid * exp(-wd) AS lower, mid * exp(wd) AS upper FROM q)""",
+)
 def ewma_rails(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features.rails(features.fair_path(features.with_logs(derive_bars(spark, sf_dir)), ["fig9"]), ["fig9"])
     return machines.ewma_rails(rows.select("code", "d", "fig9_gap", "fig9_path"), "fig9_gap", "fig9_path")
 
 
-@query("code:s d:d path:f drift:f forecast:f")
+# Predicted level and covariance, then the update by the observed log close.
+P00, P01, P11, LEVEL = "(s.p00 + 2 * s.p01 + s.p11 + x.q1)", "(s.p01 + s.p11)", "(s.p11 + x.q2)", "(s.level + s.slope)"
+K0, K1, MISS = f"({P00} / ({P00} + x.rn))", f"({P01} / ({P00} + x.rn))", f"(x.y - {LEVEL})"
+KALMAN = fold_sql(
+    "kf", "kn", "y, rn, q1, q2", {"level": "x.y", "slope": "CAST(0 AS DOUBLE)", "p00": "CAST(1 AS DOUBLE)", "p01": "CAST(0 AS DOUBLE)", "p11": "CAST(1 AS DOUBLE)"},
+    {"level": f"{LEVEL} + {K0} * {MISS}", "slope": f"s.slope + {K1} * {MISS}", "p00": f"{P00} * (1 - {K0})", "p01": f"{P01} * (1 - {K0})", "p11": f"{P11} - {K1} * {P01}"},
+)
+
+
+@query(
+    "code:s d:d path:f drift:f forecast:f",
+    f"""{BARS}, ky AS (SELECT code, d, ln(close) AS y, ln(close) - lag(ln(close)) {BY} AS u, row_number() {BY} AS b FROM bars),
+    ks AS (SELECT *, u - avg(u) OVER (PARTITION BY code) AS c, u - lag(u) {BY} AS du FROM ky WHERE b BETWEEN 2 AND 505),
+    kc AS (SELECT *, c * lag(c) {BY} AS cc FROM ks),
+    kv AS (SELECT code, count(*) AS n, greatest(-avg(cc), 1e-10) AS rn, var_pop(u) AS vu, var_pop(du) AS vd FROM kc GROUP BY code),
+    kq AS (SELECT *, greatest(vu - 2 * rn, 1e-10) AS q1 FROM kv),
+    kn AS (SELECT y.code, y.d, y.y, CASE WHEN n >= 20 THEN rn ELSE 1e-4 END AS rn, CASE WHEN n >= 20 THEN q1 ELSE 1e-5 END AS q1,
+      CASE WHEN n >= 20 THEN greatest(vd - 2 * q1 - 6 * rn, 1e-12) ELSE 1e-8 END AS q2 FROM ky y JOIN kq USING (code)),
+    {KALMAN}, final AS (SELECT code, d, exp(level) AS path, exp(252 * slope) - 1 AS drift, exp(level + slope) AS forecast FROM kf)""",
+)
 def kalman_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return machines.kalman_trend(derive_bars(spark, sf_dir).select("code", "d", "close"))
 
 
-@query("code:s bar:i onset:i delay:i kind:s")
+@query(
+    "code:s bar:i onset:i delay:i kind:s",
+    f"""{PROB}, nb AS (SELECT *, row_number() {BY} AS bar FROM pr), lu AS (SELECT code, bar, bar - lag(bar) OVER (PARTITION BY code ORDER BY bar) AS gap FROM nb WHERE label_up),
+    ev AS (SELECT code, bar AS onset FROM lu WHERE gap IS NULL OR gap > 5), al AS (SELECT code, bar, p AS score FROM nb WHERE p >= 0.9),
+    nr AS (SELECT al.code, al.bar, al.score, min(onset) AS onset FROM al LEFT JOIN ev ON al.code = ev.code AND al.bar BETWEEN onset - 3 AND onset + 10 GROUP BY ALL),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY code, onset ORDER BY abs(bar - onset), bar, -score) AS n FROM nr),
+    final AS (SELECT code, bar, CASE WHEN n = 1 THEN onset END AS onset, CASE WHEN n = 1 THEN bar - onset END AS delay, CASE WHEN onset IS NULL THEN 'false_alarm' WHEN n = 1 THEN 'match' ELSE 'duplicate' END AS kind FROM rk)""",
+)
 def alert_event_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scored(spark, sf_dir).withColumn("bar", w.bar_no())
     events = rows.where("label_up").withColumn("gap", F.col("bar") - F.lag("bar").over(w.by_code())).where("gap is null or gap > 5").select(F.col("code").alias("code"), F.col("bar").alias("bar"))
     alerts = rows.where("p >= 0.9").select(F.col("code").alias("code"), F.col("bar").alias("bar"), F.col("p").alias("score"))
-    return machines.event_matches(events, alerts)
+    return labels.event_matches(events, alerts)
 
 
 @query(

@@ -47,7 +47,7 @@ def tidy_sql(body: str, spec: str) -> str:
                 "s": f"{name} AS {name}",
             }[kind]
         )
-    return f"WITH {body} SELECT {', '.join(out)} FROM final"
+    return f"WITH RECURSIVE {body} SELECT {', '.join(out)} FROM final"
 
 
 def query(spec: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -120,3 +120,11 @@ def over(n: int) -> str:
 
 def ratio_sql(name: str, n: int) -> str:
     return f"({name} / lag({name}, {n}) {BY} - 1)"
+
+
+def fold_sql(name: str, source: str, columns: str, first: dict[str, str], step: dict[str, str]) -> str:
+    """Table ``name``: rows of ``source`` with state columns, each from the row before (``s``) and its own values (``x``)."""
+    begin = ", ".join(f"{v} AS {k}" for k, v in first.items())
+    after = ", ".join(f"{v} AS {k}" for k, v in step.items())
+    return f"""{name}_n AS MATERIALIZED (SELECT code, d, {columns}, row_number() OVER (PARTITION BY code ORDER BY d) AS i, count(*) OVER (PARTITION BY code) AS n_rows FROM {source}),
+    {name} AS (SELECT x.*, {begin} FROM {name}_n x WHERE i = 1 UNION ALL SELECT x.*, {after} FROM {name} s JOIN {name}_n x ON x.code = s.code AND x.i = s.i + 1)"""

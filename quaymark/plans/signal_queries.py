@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quaymark.functions import windows as w
 from quaymark.operators import features, machines, regimes, signals
-from quaymark.plans.shape import BY, bars_sql, mean_sql, over, panels_sql, query, ratio_sql
+from quaymark.plans.shape import BY, bars_sql, fold_sql, mean_sql, over, panels_sql, query, ratio_sql
 from quaymark.sources.bars import derive_bars
 
 BARS = bars_sql()
@@ -83,17 +83,56 @@ def daily_rule_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rules(spark, sf_dir)
 
 
-@query("code:s trade_no:i signal_d:d entry_d:d exit_d:d entry_px:f exit_px:f reason:s bars_held:i ret:f")
+# State after each bar: fill bar or NULL, signal bar, peak, trend seen; entry, signal and reason of an exit decided on it.
+TREND_NOW = "(s.tr OR x.keep_trend)"
+PEAK_NOW = "CASE WHEN x.i >= s.fi THEN greatest(coalesce(s.pk, x.close), x.close) ELSE s.pk END"
+WHY = f"CASE WHEN s.fi IS NULL THEN NULL WHEN x.i >= s.fi AND x.ae_sell AND NOT {TREND_NOW} THEN 'sell' WHEN x.i > s.fi AND x.close <= ({PEAK_NOW}) * (1 - 0.10) THEN 'trail' END"
+OUT = f"(({WHY}) IS NOT NULL AND x.i < x.n_rows)"
+MACHINE = fold_sql(
+    "mc", "rl", "close, ae_buy, ae_sell, keep_trend",
+    {"fi": "CASE WHEN x.ae_buy THEN 2 END", "sg": "CASE WHEN x.ae_buy THEN 1 END", "pk": "CAST(NULL AS DOUBLE)", "tr": "false",
+     "xe": "CAST(NULL AS BIGINT)", "xs": "CAST(NULL AS BIGINT)", "why": "CAST(NULL AS VARCHAR)"},
+    {"fi": f"CASE WHEN s.fi IS NULL THEN CASE WHEN x.ae_buy THEN x.i + 1 END WHEN {OUT} THEN NULL ELSE s.fi END",
+     "sg": "CASE WHEN s.fi IS NULL THEN CASE WHEN x.ae_buy THEN x.i END ELSE s.sg END",
+     "pk": f"CASE WHEN s.fi IS NULL THEN NULL ELSE {PEAK_NOW} END", "tr": f"CASE WHEN s.fi IS NULL THEN false ELSE {TREND_NOW} END",
+     "xe": f"CASE WHEN {OUT} THEN s.fi END", "xs": f"CASE WHEN {OUT} THEN s.sg END", "why": f"CASE WHEN {OUT} THEN {WHY} END"},
+)
+
+
+@query(
+    "code:s trade_no:i signal_d:d entry_d:d exit_d:d entry_px:f exit_px:f reason:s bars_held:i ret:f",
+    f"""{RULES}, {MACHINE},
+    tr AS (SELECT code, xs AS si, xe AS ei, i + 1 AS xi, why AS reason FROM mc WHERE why IS NOT NULL
+      UNION ALL SELECT code, sg, CASE WHEN fi <= n_rows THEN fi END, NULL, CASE WHEN fi <= n_rows THEN 'open' ELSE 'pending' END FROM mc WHERE i = n_rows AND fi IS NOT NULL),
+    final AS (SELECT t.code, row_number() OVER (PARTITION BY t.code ORDER BY si) AS trade_no, a.d AS signal_d, e.d AS entry_d, z.d AS exit_d, e.close AS entry_px, z.close AS exit_px,
+      reason, xi - ei AS bars_held, z.close / e.close - 1 AS ret FROM tr t JOIN mc_n a ON a.code = t.code AND a.i = si LEFT JOIN mc_n e ON e.code = t.code AND e.i = ei LEFT JOIN mc_n z ON z.code = t.code AND z.i = xi)""",
+)
 def rule_machine_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return machines.run_rules(_rules(spark, sf_dir).select("code", "d", "close", "ae_buy", "ae_sell", "keep_trend"), "ae_buy", "ae_sell", "keep_trend")
 
 
-@query("code:s d:d weight:f equity:f")
+@query(
+    "code:s d:d weight:f equity:f",
+    f"""{RULES}, {MACHINE}, hd AS (SELECT code, d, i, close, coalesce(lag(CASE WHEN fi IS NOT NULL THEN 1.0 ELSE 0 END) OVER (PARTITION BY code ORDER BY i), 0) AS held FROM mc),
+    mv AS (SELECT *, coalesce(lag(held) OVER o, 0) AS weight, coalesce(close / lag(close) OVER o - 1, 0) AS r, abs(held - coalesce(lag(held) OVER o, 0)) AS turn FROM hd WINDOW o AS (PARTITION BY code ORDER BY i)),
+    final AS (SELECT code, d, weight, exp(sum(ln(1 + weight * r - turn * 0.0005)) OVER (PARTITION BY code ORDER BY i)) AS equity FROM mv)""",
+)
 def rule_machine_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return machines.rule_equity(_rules(spark, sf_dir).select("code", "d", "close", "ae_buy", "ae_sell", "keep_trend"), "ae_buy", "ae_sell", "keep_trend")
 
 
-@query("code:s trade_no:i signal_d:d entry_d:d exit_d:d entry_px:f exit_px:f reason:s bars_held:i ret:f")
+@query(
+    "code:s trade_no:i signal_d:d entry_d:d exit_d:d entry_px:f exit_px:f reason:s bars_held:i ret:f",
+    f"""{CHECK}, px AS MATERIALIZED (SELECT code, d, open, low, close, stop, fig10_path AS target, b1 AND b2 AS go, row_number() {BY} AS i, count(*) OVER (PARTITION BY code) AS n_rows FROM ck),
+    sg AS (SELECT * FROM px WHERE go AND stop IS NOT NULL AND i < n_rows),
+    hit AS (SELECT a.code, a.i, b.i AS x, CASE WHEN b.low <= a.stop THEN 'stop' WHEN b.close >= a.target THEN 'target' WHEN b.i - a.i >= 40 THEN 'hold' WHEN b.i = b.n_rows THEN 'end' END AS why,
+      least(a.stop, b.open) AS stop_px, b.close AS c FROM sg a JOIN px b ON a.code = b.code AND b.i BETWEEN a.i + 1 AND a.i + 40),
+    one AS MATERIALIZED (SELECT code, i, min(x) AS x, arg_min(why, x) AS reason, arg_min(CASE WHEN why = 'stop' THEN stop_px ELSE c END, x) AS exit_px FROM hit WHERE why IS NOT NULL GROUP BY 1, 2),
+    ch AS (SELECT o.*, 1 AS trade_no FROM one o WHERE i = (SELECT min(i) FROM one z WHERE z.code = o.code)
+      UNION ALL SELECT o.*, c.trade_no + 1 FROM ch c JOIN one o ON o.code = c.code AND o.i = (SELECT min(z.i) FROM one z WHERE z.code = c.code AND z.i > c.x)),
+    final AS (SELECT ch.code, trade_no, a.d AS signal_d, e.d AS entry_d, z.d AS exit_d, e.open AS entry_px, exit_px, reason, ch.x - ch.i - 1 AS bars_held, exit_px / e.open - 1 AS ret
+      FROM ch JOIN px a ON a.code = ch.code AND a.i = ch.i JOIN px e ON e.code = ch.code AND e.i = ch.i + 1 JOIN px z ON z.code = ch.code AND z.i = ch.x)""",
+)
 def stop_target_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _checklist(spark, sf_dir).withColumn("go", F.col("b1") & F.col("b2"))
     return machines.stop_target_trades(rows.select("code", "d", "open", "low", "close", "go", "stop", F.col("fig10_path").alias("target")), "go", "stop", "target")
@@ -299,17 +338,50 @@ def ensemble_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regimes.vote(rows.withColumns({"side": side, "mo": mo}), {"raw": 0.5, "side": 0.3, "mo": 0.2})
 
 
-@query("code:s d:d label:s")
+RUN_NOW = "CASE WHEN x.raw = s.want THEN s.run + 1 ELSE 1 END"
+HYST = fold_sql(
+    "hy", "rw", "raw", {"run": "1", "want": "x.raw", "label": "'range'"},
+    {"run": RUN_NOW, "want": "x.raw", "label": f"CASE WHEN x.raw <> s.label AND {RUN_NOW} >= CASE WHEN x.raw = 'range' THEN 3 ELSE 2 END THEN x.raw ELSE s.label END"},
+)
+
+
+@query("code:s d:d label:s", f"{REG}, {HYST}, final AS (SELECT * FROM hy)")
 def hysteresis_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return machines.hysteresis_labels(_regimes(spark, sf_dir).select("code", "d", "raw"), "raw")
 
 
-@query("code:s d:d label:s")
+def squash_sql(name: str, source: str, label: str, least: int) -> str:
+    """Short runs take the last long run's label, else that of the second run, else range."""
+    o = "OVER (PARTITION BY code ORDER BY d)"
+    return f"""{name}_a AS (SELECT code, d, {label} AS lb, CASE WHEN {label} IS DISTINCT FROM lag({label}) {o} THEN 1 ELSE 0 END AS ch FROM {source}),
+    {name}_b AS (SELECT *, sum(ch) {o} AS run FROM {name}_a),
+    {name}_c AS (SELECT code, run, min(lb) AS lb, count(*) AS n FROM {name}_b GROUP BY 1, 2),
+    {name}_d AS (SELECT code, run, coalesce(last_value(CASE WHEN n >= {least} THEN lb END IGNORE NULLS) OVER (PARTITION BY code ORDER BY run), max(CASE WHEN run = 2 THEN lb END) OVER (PARTITION BY code), 'range') AS new FROM {name}_c),
+    {name} AS (SELECT b.code, b.d, new AS label FROM {name}_b b JOIN {name}_d USING (code, run))"""
+
+
+QUIET = f"""qr AS (SELECT code, d, CASE WHEN sum(CASE WHEN coalesce(vol_pct < 0.35, false) THEN 1 ELSE 0 END) {over(15)} >= 10
+      AND NOT coalesce(abs(p60) >= 0.12 OR abs(p20) >= 0.08, false) THEN 'range' ELSE raw END AS calmed FROM rw)"""
+
+
+@query("code:s d:d label:s", f"{REG}, {QUIET}, {squash_sql('s1', 'qr', 'calmed', 10)}, {squash_sql('s2', 's1', 'label', 10)}, final AS (SELECT * FROM s2)")
 def squashed_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return machines.squash_labels(regimes.low_vol_range(_regimes(spark, sf_dir), "raw").select("code", "d", "calmed"), "calmed")
 
 
-@query("code:s d:d label:s")
+PEAK_UP = "greatest(coalesce(s.pk, x.close), x.close)"
+BELOW_UP = "CASE WHEN x.m20 IS NOT NULL AND x.close < x.m20 THEN s.bl + 1 ELSE 0 END"
+SOFT = f"({BELOW_UP} >= 3 OR ({BELOW_UP} >= 1 AND x.close / {PEAK_UP} - 1 <= -0.18))"
+GUARD = fold_sql(
+    "gu", "rw", "close, m20, raw", {"bl": "0", "wt": "0", "pk": "CASE WHEN x.raw = 'up' THEN x.close END", "label": "x.raw"},
+    {"bl": f"CASE WHEN x.raw <> 'up' OR s.wt > 0 THEN 0 WHEN {SOFT} THEN 0 ELSE {BELOW_UP} END",
+     "wt": f"CASE WHEN x.raw <> 'up' THEN 0 WHEN s.wt > 0 THEN s.wt - CASE WHEN x.close >= x.m20 THEN 1 ELSE 0 END WHEN {SOFT} THEN 2 ELSE 0 END",
+     "pk": f"CASE WHEN x.raw <> 'up' OR s.wt > 0 THEN NULL WHEN {SOFT} THEN NULL ELSE {PEAK_UP} END",
+     "label": f"CASE WHEN x.raw <> 'up' THEN x.raw WHEN s.wt > 0 OR {SOFT} THEN 'range' ELSE 'up' END"},
+)
+
+
+@query("code:s d:d label:s", f"{REG}, {GUARD}, final AS (SELECT * FROM gu)")
 def guarded_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _regimes(spark, sf_dir).select("code", "d", "close", F.col("m20").alias("ma20"), "raw")
     return machines.sticky_guard(rows, "raw")

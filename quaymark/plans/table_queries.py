@@ -45,9 +45,10 @@ def orders_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy(F.col("n_name").alias("nation")).agg(F.count("o_orderkey").alias("orders"), F.sum(_money("o_totalprice")).alias("total"))
 
 
-@query("segment:s n:i", "final AS (SELECT c_mktsegment AS segment, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL) GROUP BY 1)")
-def customers_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    idle = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+@query("segment:s n:i", "final AS (SELECT c_mktsegment AS segment, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT') GROUP BY 1)")
+def customers_without_urgent_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    idle = table(spark, sf_dir, "customer").join(urgent.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
     return idle.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"))
 
 
@@ -78,15 +79,17 @@ def dearest_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "user:i kind:s first_value:f last_value:f n:i mean:f p90:f w_mean:f",
-    """final AS (SELECT user_id AS user, event_type AS kind, arg_min(value, event_id) AS first_value, arg_max(value, event_id) AS last_value, count(*) AS n, avg(value) AS mean,
-    quantile_cont(value, 0.9) AS p90, sum(value * (event_id % 7 + 1)) / sum(event_id % 7 + 1) AS w_mean FROM events GROUP BY 1, 2)""",
+    "user:i kind:s first_value:f last_value:f n:i mean:e p90:f w_mean:e",
+    """v AS (SELECT *, CAST(value AS DECIMAL(18,2)) AS cents, CAST(event_id % 7 + 1 AS DECIMAL(9,0)) AS w FROM events),
+    final AS (SELECT user_id AS user, event_type AS kind, arg_min(value, event_id) AS first_value, arg_max(value, event_id) AS last_value, count(*) AS n,
+    CAST(sum(cents) AS DOUBLE) / count(cents) AS mean, quantile_cont(value, 0.9) AS p90, CAST(sum(cents * w) AS DOUBLE) / CAST(sum(w) AS DOUBLE) AS w_mean FROM v GROUP BY 1, 2)""",
 )
 def event_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weight = F.col("event_id") % 7 + 1
+    weight = (F.col("event_id") % 7 + 1).cast("decimal(9,0)")
+    exact, total = F.sum(_money("value")).cast("double"), F.sum(weight).cast("double")
     return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("user"), F.col("event_type").alias("kind")).agg(
         F.min_by("value", "event_id").alias("first_value"), F.max_by("value", "event_id").alias("last_value"), F.count("*").alias("n"),
-        F.avg("value").alias("mean"), F.percentile("value", 0.9).alias("p90"), (F.sum(F.col("value") * weight) / F.sum(weight)).alias("w_mean"),
+        (exact / F.count("value")).alias("mean"), F.percentile("value", 0.9).alias("p90"), (F.sum(_money("value") * weight).cast("double") / total).alias("w_mean"),
     )
 
 
@@ -114,10 +117,10 @@ def previous_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "user:i session_no:i start:d n:i total:m",
+    "user:i session_no:i start:d n:i total:e",
     """b AS (SELECT *, CASE WHEN coalesce(epoch(ts) - epoch(lag(ts) OVER w) > 86400, true) THEN 1 ELSE 0 END AS nw FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     s AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_no FROM b),
-    final AS (SELECT user_id AS user, session_no, min(ts) AS start, count(*) AS n, sum(value) AS total FROM s GROUP BY 1, 2)""",
+    final AS (SELECT user_id AS user, session_no, min(ts) AS start, count(*) AS n, sum(CAST(value AS DECIMAL(18,2))) AS total FROM s GROUP BY 1, 2)""",
 )
 def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("user").orderBy("ts", "event_id")
@@ -125,7 +128,7 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = _micros(F.col("ts")) / 1e6 - _micros(F.lag("ts").over(order)) / 1e6
     marked = rows.withColumn("nw", F.coalesce(gap > 86400, F.lit(True)).cast("int"))
     numbered = marked.withColumn("session_no", F.sum("nw").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("user", "session_no").agg(F.min("ts").alias("start"), F.count("*").alias("n"), F.sum("value").alias("total"))
+    return numbered.groupBy("user", "session_no").agg(F.min("ts").alias("start"), F.count("*").alias("n"), F.sum(_money("value")).alias("total"))
 
 
 @query(

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from quaymark.operators import cluster, machines
+from quaymark.operators import cluster, labels, machines
 
 
 def masks(n, *on):
@@ -53,10 +53,27 @@ def test_short_segments_take_the_label_before():
     assert machines.squash_short(["down"] + ["up"] * 4, 2) == ["up"] * 5
 
 
-def test_event_matching_is_one_to_one():
-    events, alerts = pd.DataFrame({"bar": [10]}), pd.DataFrame({"bar": [8, 10, 30], "score": [0.5, 0.6, 0.9]})
-    found = {i: kind for i, _, _, kind in machines.match_events(events, alerts, 3, 10)}
-    assert found == {0: "duplicate", 1: "match", 2: "false_alarm"}
+def test_event_matching_is_one_to_one(spark):
+    events = spark.createDataFrame([("a", 10), ("a", 12)], "code string, bar long")
+    alerts = spark.createDataFrame([("a", 8, 0.5), ("a", 10, 0.6), ("a", 21, 0.7), ("a", 30, 0.9)], "code string, bar long, score double")
+    found = {r["bar"]: (r["onset"], r["kind"]) for r in labels.event_matches(events, alerts).collect()}
+    assert found == {8: (None, "duplicate"), 10: (10, "match"), 21: (12, "match"), 30: (None, "false_alarm")}
+
+
+def test_guard_holds_range_until_its_last_bar_has_passed():
+    close = np.array([10.0, 9, 9, 9, 11, 11, 11, 9.5, 11])
+    mean = np.full(9, 10.0)
+    up = ["up"] * 9
+    assert machines.guarded(close, mean, up) == ["up", "up", "up", "range", "range", "range", "up", "up", "up"]
+    assert machines.guarded(close, mean, [*up[:4], "down", *up[5:]])[4:6] == ["down", "up"]
+    mean[4] = np.nan
+    assert machines.guarded(close, mean, up)[3:8] == ["range"] * 4 + ["up"]
+
+
+def test_turnover_is_paid_on_the_bar_of_the_target():
+    close = np.full(5, 10.0)
+    _, weight, equity = machines.rule_trades(close, masks(5, 0), masks(5), masks(5), cost=0.01)
+    assert weight.tolist() == [0, 0, 1, 1, 1] and equity.tolist() == pytest.approx([1, 0.99, 0.99, 0.99, 0.99])
 
 
 def test_ward_cut():
