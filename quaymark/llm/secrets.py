@@ -1,14 +1,22 @@
 """Secret scans: fixed patterns, and assignment-aware lexing.
 
 The patterns find assignments to sensitive names, access key ids and long hex
-runs. The lexer reads source and configuration syntax line by line into
-(name, literal) pairs: ``name = "x"``, ``name: x``, ``name := 'x'``,
-``"name": "x"``, ``<name>x</name>``, ``--name x``, ``name => "x"``, with
-typed and dotted names, private keys over several lines. A value that is a bare name is looked up among the
-literals assigned earlier in the text, so a constant that reaches a sensitive
-name through other names is found where its literal stands. A literal scores
-by the sensitive words in its target's name plus its own randomness; scores
-of ``MIN_SCORE`` or more are reported with kind ``named``.
+runs. The lexer cuts source and configuration syntax into tokens (plain,
+triple-quoted and prefixed strings, private keys over several lines, names,
+assignment signs, elements, flags) and reads bindings from them: one or more
+targets (``a = b = "x"``, typed and dotted names, ``"name": "x"``,
+``d["name"] = "x"``, ``<name>x</name>``, ``--name x``) and a value. A value is
+a string, a bare word, a YAML block, a list of strings, or a concatenation of
+strings and names. What a string holds is lexed again, as connection strings
+hold assignments.
+
+A name in a value stands for its last binding before, or without one its
+first binding after. Constants propagate from the targets: the score of a
+sensitive name passes along these references to each binding they reach, once,
+so the cost is linear in the text. A literal scores by the most sensitive
+target it reaches plus its own randomness (of all pieces of its
+concatenation); scores of ``MIN_SCORE`` or more are reported with kind
+``named``, each piece where it stands. Nothing has a greatest length.
 """
 
 from __future__ import annotations
@@ -16,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -50,22 +59,32 @@ MIN_SCORE = 3.5
 #: Under names of this score a literal may hold white space, as passphrases do.
 STRONG = 3
 LEAST_LITERAL = 8
+#: Names of a lesser score are not sensitive.
+LEAST_NAME = 2
 
-# Names and literals have no greatest length; possessive quantifiers keep the cost linear.
+# Possessive quantifiers keep the cost linear in hostile texts.
 NAME = r"[A-Za-z_$][A-Za-z0-9_$.-]*+"
-LITERAL = r"\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|`[^`\n]*+`|[^\s\"'`,;(){}\[\]<>]++"
-TARGET = (
-    rf"(?<![A-Za-z0-9_$.-])(?P<q>[\"']?)(?P<name>{NAME})(?P=q)(?:[ \t]*+:[ \t]*+[A-Za-z_][A-Za-z0-9_<>\[\]]*+)?"
-    r"[ \t]*+(?::=|=>|=(?![=~])|:(?![:/]))[ \t]*+"
-)
-PAIR = re.compile(rf"{TARGET}(?P<value>{LITERAL})")
-TAG = re.compile(rf"<(?P<name>{NAME})>(?P<value>[^<>\n]++)</(?P=name)>")
-FLAG = re.compile(rf"(?<!\S)--(?P<name>{NAME})[ \t]++(?P<value>{LITERAL})")
+OPEN = r"(?<![A-Za-z0-9_\\])(?:(?:[bBfFrRuU]{1,2}|@|\$)(?=[\"']))?"
+TRIPLE = r"(?:\"{3}(?P<t1>(?:[^\"\\]++|\\.|\"(?!\"\"))*+)\"{3}|'{3}(?P<t2>(?:[^'\\]++|\\.|'(?!''))*+)'{3})"
+STRING = r"(?:\"(?P<s1>(?:[^\"\\\n]++|\\.)*+)\"|'(?P<s2>(?:[^'\\\n]++|\\.)*+)'|`(?P<s3>[^`\n]*+)`)"
 PRIVATE = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----"
-# A key with unescaped line breaks, in quotes, as a YAML block or as an element.
-PEM = r"(?P<value>" + PRIVATE + r"(?!\\)(?:[^-]++|-(?!----))*+-----END [A-Z0-9 ]*-----)"
-PEM_PAIR = re.compile(rf"{TARGET}(?:[|>][+-]?)?\s*+[\"'`]{{0,3}}+\s*+{PEM}")
-PEM_TAG = re.compile(rf"<(?P<name>{NAME})>\s*+{PEM}\s*+</(?P=name)>")
+PEM = r"(?P<pem>" + PRIVATE + r"(?!\\)(?:[^-]++|-(?!----))*+-----END [A-Z0-9 ]*-----)"
+ASSIGNED = r"(?P<op>:=|=>|=(?![=~])|:(?![:/]))"
+TOKEN = re.compile(
+    rf"{OPEN}(?:{TRIPLE}|{STRING})|(?<![A-Za-z0-9_$.-])(?P<name>{NAME})[ \t]*+{ASSIGNED}"
+    rf"|<(?P<tag>{NAME})(?:[ \t][^<>]*+)?>|(?<!\S)--(?P<flag>{NAME})[ \t]++(?=\S)",
+    re.S,
+)
+AFTER = re.compile(rf"[ \t]*+\]?[ \t]*+{ASSIGNED}")
+CHAIN = re.compile(rf"(?P<name>{NAME})[ \t]*+(?::=|=(?![=~>]))")
+TYPE = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*+(?:<[^<>\n=]*+>|\[[^\[\]\n=]*+\])?[ \t]*+=(?![=~>])")
+LITERAL = re.compile(rf"[\"'`]?{PEM}|{OPEN}(?:{TRIPLE}|{STRING})|(?P<bare>[^\s\"'`,;(){{}}\[\]<>]++)", re.S)
+SPACE = re.compile(r"(?:[ \t]|\\\n)*+(?:\n\s*+(?=[\"'`]|-----BEGIN ))?")
+JOIN = re.compile(r"(?:\s|\\\n)*+(?:\+|\|\||\.\.|&|(?<=\s)\.(?=\s))(?:\s|\\\n)*+(?=[\"'`A-Za-z_$(])")
+BESIDE = re.compile(r"[ \t]*+(?:\\\n\s*+)?(?=[bBfFrRuU]{0,2}[\"'])")
+BESIDE_LINES = re.compile(r"\s*+(?=[bBfFrRuU]{0,2}[\"'])")
+BLOCK = re.compile(r"[|>][+\-0-9]{0,2}[ \t]*+(?:#[^\n]*+)?\n")
+COMMA = re.compile(r"\s*+,\s*+(?=[bBfFrRuU]{0,2}[\"'])")
 IS_PRIVATE = re.compile(PRIVATE)
 IS_NAME = re.compile(rf"{NAME}\Z")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -94,34 +113,165 @@ def literal_score(value: str, spaced: bool = False) -> float:
     return min(2.0, max(0.0, entropy(value) - 2.0)) * (0.5 + 0.25 * min(kinds, 2))
 
 
-def pairs(text: str) -> list[tuple[str, str, int, int, bool]]:
-    """(name, value, start, end, quoted) in text order; the span is the value without quotes."""
-    found = []
-    patterns = [PAIR] if "=" in text or ":" in text else []
-    patterns += [TAG] if "</" in text else []
-    patterns += [FLAG] if "--" in text else []
-    patterns += [PEM_PAIR, PEM_TAG] if "PRIVATE KEY" in text else []
-    for pattern in patterns:
-        for m in pattern.finditer(text):
-            start, end = m.span("value")
-            quoted = text[start] in "\"'`" and end - start >= 2
-            found.append((m["name"], text[start + quoted : end - quoted], start + quoted, end - quoted, quoted))
-    return sorted(found, key=lambda x: (x[2], x[3]))
+class Binding:
+    """Targets and the value they get: its literal pieces (start, end) and the names in it."""
+
+    __slots__ = ("names", "pieces", "refs")
+
+    def __init__(self, names: list[str]) -> None:
+        self.names, self.pieces, self.refs = names, [], []
+
+
+def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    piece = text[start:end]
+    return start + len(piece) - len(piece.lstrip()), end - (len(piece) - len(piece.rstrip()))
+
+
+def _inside(m: re.Match) -> tuple[int, int]:
+    """Span of what a string token holds; of triple-quoted ones without the blanks around it."""
+    for group in ("t1", "t2"):
+        if m[group] is not None:
+            return _trimmed(m.string, *m.span(group))
+    return m.span(next(g for g in ("s1", "s2", "s3") if m[g] is not None))
+
+
+def _block(text: str, at: int, key: int, end: int) -> tuple[int, int, int]:
+    """Start, end and next position of the YAML block at ``at``: its lines are indented more than the key's line."""
+    line = text[text.rfind("\n", 0, key) + 1 : key]
+    indent = len(line) - len(line.lstrip(" -"))
+    stop = at
+    while stop < end:
+        close = text.find("\n", stop, end)
+        close = end if close < 0 else close
+        row = text[stop:close]
+        if row.strip() and len(row) - len(row.lstrip(" ")) <= indent:
+            break
+        stop = min(close + 1, end)
+    return *_trimmed(text, at, stop), stop
+
+
+def _value(text: str, at: int, end: int, op: str, key: int, found: Binding) -> tuple[int, list[tuple[int, int]]]:
+    """Read the value at ``at`` into ``found``: the position after it, and spans of strings in it."""
+    done, held, depth = at, [], 0
+    at = SPACE.match(text, at, end).end()
+    if op == ":" and (m := BLOCK.match(text, at, end)):
+        start, stop, after = _block(text, m.end(), key, end)
+        if start < stop:
+            found.pieces.append((start, stop))
+        return after, held
+    if op == ":" and (m := TYPE.match(text, at, end)):
+        at = SPACE.match(text, m.end(), end).end()
+    while m := CHAIN.match(text, at, end):
+        found.names.append(m["name"])
+        done = at = SPACE.match(text, m.end(), end).end()
+    listed = text.startswith("[", at)
+    while at < end and text[at] in "([":
+        depth += 1
+        more = BESIDE_LINES.match(text, at + 1, end)
+        at = more.end() if more else at + 1
+    while m := LITERAL.match(text, at, end):
+        bare = m["bare"]
+        if bare is None:
+            span = m.span("pem") if m["pem"] else _inside(m)
+            found.pieces.append(span)
+            held.append(span)
+        elif bare.endswith(":") or bare in ("+", "&", "|") or (m.end() < end and text[m.end()] in "(["):
+            break  # another key, an operator, a call or a subscript
+        elif IS_NAME.match(bare):
+            found.refs.append((bare, m.start(), m.end()))
+        else:
+            found.pieces.append(m.span("bare"))
+        done = at = m.end()
+        if more := JOIN.match(text, at, end):
+            at = more.end()
+            while at < end and text[at] == "(":
+                depth, at = depth + 1, at + 1
+        elif listed and (more := COMMA.match(text, at, end)):
+            at = more.end()
+        elif bare is None and (more := (BESIDE_LINES if depth else BESIDE).match(text, at, end)):
+            at = more.end()
+        else:
+            break
+    return done, held
+
+
+def bindings(text: str) -> list[Binding]:
+    """The bindings of a text in order, those inside strings after those around them."""
+    found: list[Binding] = []
+    ranges = [(0, len(text))]
+    for begin, end in ranges:  # grows by what strings hold
+        at = begin
+        while m := TOKEN.search(text, at, end):
+            at, name, op = m.end(), m["name"] or m["flag"], m["op"]
+            inner: list[tuple[int, int]] = []
+            if m["tag"]:
+                close = text.find("<", at, end)
+                if text.startswith(f"</{m['tag']}", close) and text[at:close].strip():
+                    whole = Binding([m["tag"]])
+                    whole.pieces.append(_trimmed(text, at, close))
+                    found.append(whole)
+                continue
+            if name is None:  # a string: a key, or text to look into
+                span = _inside(m)
+                after = AFTER.match(text, at, end)
+                if after and ("]" not in after[0] or (m.start() > begin and text[m.start() - 1] == "[")):
+                    name, op, at = text[span[0] : span[1]], after["op"], after.end()
+                else:
+                    inner.append(span)
+            if name is not None:
+                bound = Binding([name])
+                at, inner = _value(text, at, end, op or " ", m.start(), bound)
+                if bound.pieces or bound.refs:
+                    found.append(bound)
+            ranges += [x for x in inner if x != (begin, end) and any(c in text[x[0] : x[1]] for c in "=:")]
+    return found
 
 
 def named_literals(text: str) -> list[tuple[int, int, float]]:
     """Spans of literals that reach a sensitive name, with their best score."""
-    known: dict[str, tuple[str, int, int]] = {}
+    found = bindings(text)
+    places: dict[str, list[int]] = {}
+    for i, bound in enumerate(found):
+        for name in bound.names:
+            places.setdefault(name, []).append(i)
+    own = [max(map(name_score, bound.names)) for bound in found]
+    reach: dict[int, float] = {}
+    pieces = [list(bound.pieces) for bound in found]
+    for first in sorted(range(len(found)), key=lambda i: -own[i]):
+        if own[first] < LEAST_NAME:
+            break
+        todo = [first]
+        while todo:
+            i = todo.pop()
+            if i in reach:
+                continue
+            reach[i] = own[first]
+            for name, start, end in found[i].refs:
+                at = places.get(name)
+                if at is None:  # a bare word that names nothing is a literal
+                    pieces[i].append((start, end))
+                    continue
+                k = bisect_left(at, i)
+                if k:
+                    todo.append(at[k - 1])
+                else:
+                    todo += [j for j in at[:2] if j != i][:1]
     best: dict[tuple[int, int], float] = {}
-    for name, value, start, end, quoted in pairs(text):
-        source = known.get(value) if not quoted and IS_NAME.match(value) else None
-        literal = source or (value, start, end)
-        known[name] = literal  # a later assignment replaces an earlier one
-        sensitive = name_score(name)
-        if sensitive >= 2 and (random := literal_score(literal[0], sensitive >= STRONG)) >= 0.5:
-            at = literal[1:]
-            best[at] = max(best.get(at, 0.0), sensitive + random)
-    return [(*at, score) for at, score in sorted(best.items()) if score >= MIN_SCORE]
+    for i, sensitive in reach.items():
+        joined = "".join(text[a:b] for a, b in sorted(pieces[i]))
+        if (random := literal_score(joined, sensitive >= STRONG)) >= 0.5 and sensitive + random >= MIN_SCORE:
+            for span in pieces[i]:
+                if span[0] < span[1]:
+                    best[span] = max(best.get(span, 0.0), sensitive + random)
+    return [(*span, score) for span, score in sorted(best.items())]
+
+
+def may_name(text: str) -> bool:
+    """Whether a text has an assignment and a part of a sensitive name at all."""
+    if not any(sign in text for sign in ("=", ":", "</", "--")):
+        return False
+    low = text.lower()
+    return any(word in low for word in SENSITIVE)
 
 
 def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
@@ -131,7 +281,8 @@ def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
     if "AKIA" in text:
         spans += [(*m.span(), "access") for m in ACCESS.finditer(text)]
     spans += [(*m.span(), "hex") for m in HEX.finditer(text)]
-    spans += [(start, end, "named") for start, end, _ in named_literals(text)]
+    if may_name(text):
+        spans += [(start, end, "named") for start, end, _ in named_literals(text)]
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

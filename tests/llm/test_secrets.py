@@ -49,6 +49,39 @@ def test_constants_propagate():
     assert named(text) == ["qW9eR8tY7uI6"]
 
 
+SECRET = "qW9eR8tY7uI6"
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        (f'token_holder = alias = "{SECRET}"', [SECRET]),
+        (f'pwd = K\nx = 1\nK = "{SECRET}"', [SECRET]),
+        (f'K = "nothing"\npwd = K\nK = "{SECRET}"', []),
+        (f'A = B\nB = C\npassword = A\nC = "{SECRET}"\n', [SECRET]),
+        (f'pwd = """{SECRET}"""', [SECRET]), (f"pwd = '''\n{SECRET}\n'''", [SECRET]),
+        (f"pwd: >\n  {SECRET}\nother: x", [SECRET]), (f"a:\n  pwd: |-\n    {SECRET}\n  b: 1", [SECRET]),
+        (f'password = "{SECRET[:6]}" + "{SECRET[6:]}"', [SECRET[:6], SECRET[6:]]),
+        (f'password = ("{SECRET[:6]}"\n    "{SECRET[6:]}")', [SECRET[:6], SECRET[6:]]),
+        (f'H = "{SECRET[:6]}"\npassword = H + "{SECRET}"', [SECRET]),
+        (f'config["db_password"] = b"{SECRET}"', [SECRET]), (f"let auth_token: Option<String> = '{SECRET}';", [SECRET]),
+        (f'url = "Server=db;Pwd={SECRET};Port=1"', [SECRET]), (f'secrets = ["{SECRET}", "{SECRET}x"]', [SECRET, SECRET + "x"]),
+        ("password = read_password()\ntoken = tokens[0]", []), (f"it's the password = {SECRET} that's", [SECRET]),
+        (f'<conf a="1"><password kind="x">{SECRET}</password></conf>', [SECRET]), (f'if password == "{SECRET}": pass', []),
+        (f'password: "{SECRET * 500}"', [SECRET * 500]), (f"client_secret=abc+d{SECRET}/==", [f"abc+d{SECRET}/=="]),
+        (f"secret_key={SECRET}.", [f"{SECRET}."]), (f"password: '{SECRET}', user: 'x'", [SECRET]),
+    ],
+)
+def test_bindings(text, want):
+    assert named(text) == want
+
+
+def test_cycles_and_long_chains_end():
+    assert named("password = a\na = b\nb = a\n") == []
+    chain = "".join(f"v{i} = v{i + 1}\n" for i in range(20_000))
+    assert named(f'secret_token = v0\n{chain}v20000 = "{SECRET}"') == [SECRET]
+
+
 def test_placeholders_and_plain_names_pass():
     assert named('password = "changeme"; password = "${SECRET_VALUE}"; colour = "qW9eR8tY7uI6"; token = "aaaaaaaaaaaa"') == []
     assert named("Thus the token of this: wide and ordinary prose: here.") == []
