@@ -1,30 +1,41 @@
 """Main text of web pages by consensus host paths.
 
 A page is cut into tags and text by one regular expression and read once with
-a stack of open elements. Menus, headers, footers, asides, adverts, notices,
-forms, comments, scripts and styles are passed over by tag, role, class or
-id. Each container of the rest is scored by the share of the page's text
-outside links that it holds; the page votes, with that share, for the deepest
-container of at least ``COVER``: its article or main element, if it lies in
-one, else the container of all text outside links that is in no other
-article. Votes are added up for each host and generalised tag-class path in
-Spark, and every page is read again with its host's winning path. A page
-that lacks that path uses its own best container.
+a stack of open elements, however deep. Menus, headers, footers, asides, forms, scripts and
+styles are passed over by tag or role, and hidden elements. Words of classes
+and ids (sidebar, advert, comments, ...) only make an element suspect: it is
+left out unless it holds more than half of the page's text outside links; one
+whose name says nothing else, as ``comments``, only counts as text where hardly
+any other is there, or, comments aside, an article lies in it. Each page votes for its container: its
+article or main element, or the innermost element around all articles of size,
+else the innermost container of all text outside links. Votes count by the share of
+the text they hold and are added up for each host and generalised tag-class
+path in Spark, and every page is read again with its host's winning path. A
+page that lacks that path uses its own best container.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep
 
-COVER = 0.6
+#: Articles count if together they hold this share of the text outside links.
+COVER = 0.4
+#: Articles of at least this share of the largest one are parts of the main text.
+PART = 0.25
+#: A suspect element with more than this share of the text is none.
+MOST = 0.5
+#: A plainly named one of this many characters is none if at most so much of the text is elsewhere.
+LONG, REST = 200, 0.05
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -52,6 +63,20 @@ PASSED_WORDS = set(
     "notification popup modal newsletter subscribe share sharing social related recommended breadcrumb breadcrumbs "
     "pagination pager widget toolbar login signup search header gdpr overlay".split()
 )
+COMMENT_WORDS = set("comment comments disqus respond replies".split())
+#: Beside these, a class word still says nothing else; before a word, the others only tell of the page's state.
+NEUTRAL_WORDS = set(
+    "site page top bottom left right box list block section area wrap wrapper container inner outer bar item items links "
+    "link primary secondary global region module panel col column row group".split()
+)
+STATE_WORDS = set("with has no without is".split())
+COMMENT_WORDS = set("comment comments disqus respond replies".split())
+#: Beside these, a class word still says nothing else; before a word, the others only tell of the page's state.
+NEUTRAL_WORDS = set(
+    "site page top bottom left right box list block section area wrap wrapper container inner outer bar item items links "
+    "link primary secondary global region module panel col column row group".split()
+)
+STATE_WORDS = set("with has no without is".split())
 #: Elements that may be voted for, besides custom ones and cells of several blocks.
 CONTAINERS = set("html body main article section div center".split()) | {""}
 HREF = re.compile(r"(?<![\w-])href\s*=", re.I)
@@ -65,12 +90,16 @@ SCOPE = set("table ul ol dl div article section main body td th blockquote".spli
 
 
 class Element:
-    __slots__ = ("tag", "name", "parent", "passed", "article", "weight", "linked")
+    __slots__ = ("tag", "name", "parent", "depth", "key", "passed", "suspect", "article", "linked", "dropped", "weight", "apart", "count", "holds")
 
-    def __init__(self, tag: str, name: str, parent: Element | None, passed: bool, article: bool, linked: bool) -> None:
-        self.tag, self.name, self.parent = tag, name, parent
-        self.passed, self.article, self.linked = passed, article, linked
-        self.weight = 0.0
+    def __init__(self, tag: str, name: str, parent: Element | None, passed: bool, suspect: int, article: bool, linked: bool) -> None:
+        self.tag, self.name, self.parent, self.passed, self.suspect = tag, name, parent, passed, suspect
+        self.article, self.linked = article, linked
+        self.depth = parent.depth + 1 if parent else 0
+        self.key = path_key(name, parent.key if parent else 0)
+        self.dropped = False
+        self.weight = self.apart = 0.0  # text outside links; of that, outside articles
+        self.count, self.holds = 0, False  # text blocks; whether an article that is not suspect lies in it
 
     def path(self) -> str:
         names, at = [], self
@@ -80,35 +109,62 @@ class Element:
         return ">".join(reversed(names))
 
 
-def _opened(tag: str, attrs: str, parent: Element | None) -> Element:
+def path_key(name: str, above: int = 0) -> int:
+    return xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass"), above)
+
+
+def _suspicion(tag: str, names: list[str]) -> int:
+    """0: no class word; 1: some; 2: a name that says nothing else; 3: comments."""
+    tokens = [[w.lower() for w in WORD.findall(name)] for name in names]
+    tokens = [t for t in tokens if t and not (len(t) > 1 and t[0] in STATE_WORDS)]
+    words = {w for t in tokens for w in t}
+    passed = words & PASSED_WORDS
+    if not passed or (passed == {"header"} and words & CONTENT_WORDS):
+        return 0
+    plain = [bool(set(t) & PASSED_WORDS) and set(t) <= PASSED_WORDS | NEUTRAL_WORDS for t in tokens]
+    if tag in ("article", "main"):
+        return (3 if words & COMMENT_WORDS else 2) if all(plain) else 0
+    if words & COMMENT_WORDS:
+        return 3
+    return 2 if any(plain) and not words & CONTENT_WORDS else 1
+
+
+def _opened(tag: str, attrs: str, parent: Element) -> Element:
     found: dict[str, str] = {}
     if attrs and ("=" in attrs or "hidden" in attrs):
         for m in ATTR.finditer(attrs):
             found[(m[1] or m[5]).lower()] = m[2] or m[3] or m[4] or ""
-    classes = sorted({re.sub(r"\d+", "#", c) for c in found.get("class", "").split()})
-    words = {w.lower() for w in WORD.findall(found.get("class", "") + " " + found.get("id", ""))}
-    inside = parent is not None and parent.article
-    article = tag in ("article", "main") or found.get("role", "").lower() in ("main", "article")
-    article = article or (tag in ("div", "section", "td") and bool(words & ARTICLE_WORDS) and not words & PASSED_WORDS)
-    passed = parent is not None and parent.passed
+    names = found.get("class", "").split()
+    classes = sorted({re.sub(r"\d+", "#", c.replace(">", "")) for c in names})
+    role = found.get("role", "").lower()
+    if "id" in found:
+        names = [*names, found["id"]]
+    suspect = _suspicion(tag, names) if names and tag not in ("html", "body") else 0
+    article = tag in ("article", "main") or role in ("main", "article")
+    if not article and not suspect and tag in ("div", "section", "td"):
+        article = any(w.lower() in ARTICLE_WORDS for name in names for w in WORD.findall(name))
+    passed = parent.passed
     if not passed and tag not in ("html", "body", "main", "article"):
         passed = (
             tag in PASSED_TAGS
-            or (tag == "header" and not inside)
-            or found.get("role", "").lower() in PASSED_ROLES
+            or (tag == "header" and not parent.article)
+            or role in PASSED_ROLES
             or "hidden" in found
             or found.get("aria-hidden", "").lower() == "true"
             or "display:none" in found.get("style", "").replace(" ", "").lower()
-            or bool(words & PASSED_WORDS and not (words & PASSED_WORDS == {"header"} and words & CONTENT_WORDS))
         )
-    linked = (tag == "a" and bool(HREF.search(attrs))) or (parent is not None and parent.linked)
-    return Element(tag, ".".join([tag, *classes]), parent, passed, article or inside, linked)
+    linked = (tag == "a" and bool(HREF.search(attrs))) or parent.linked
+    return Element(tag, ".".join([tag, *classes]), parent, passed, suspect, article or parent.article, linked)
+
+
+Block = tuple[Element, str, float]
 
 
-def blocks(html: str | None) -> list[tuple[Element, str, float]]:
-    """The page's text blocks in order: the block element, its text, and its weight outside links."""
-    root = Element("", "", None, False, False, False)
-    stack, found = [root], []
+def _parsed(html: str | None) -> tuple[list[Element], list[Block]]:
+    """All elements, and the text blocks outside passed ones in order: element, text, weight outside links."""
+    root = Element("", "", None, False, 0, False, False)
+    stack, elements, found = [root], [root], []
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
     plain = 0
 
@@ -124,6 +180,10 @@ def blocks(html: str | None) -> list[tuple[Element, str, float]]:
             parts.clear()
         plain = 0
 
+    def close(at: int) -> None:
+        open_tags.subtract(e.tag for e in stack[at:])
+        del stack[at:]
+
     for m in TOKEN.finditer(html or ""):
         text, tag = m["text"], m["tag"]
         if text is not None:
@@ -137,96 +197,122 @@ def blocks(html: str | None) -> list[tuple[Element, str, float]]:
             if m["end"]:
                 if tag in BLOCKS:
                     flush()
-                at = len(stack) - 1
-                while at > 0 and stack[at].tag != tag:
-                    at -= 1
-                if at > 0:
-                    del stack[at:]
+                if open_tags[tag]:
+                    at = len(stack) - 1
+                    while stack[at].tag != tag:
+                        at -= 1
+                    close(at)
             else:
                 if tag in BLOCKS:
                     flush()
                 elif tag in ("br", "wbr", "img", "input"):
                     parts.append(" " if tag != "wbr" else "")
-                ended = CLOSES.get(tag) or ({"p"} if tag in BLOCKS else None)
-                if ended:
+                ended = CLOSES.get(tag) or ({"p"} if tag in BLOCKS else ())
+                if any(open_tags[t] for t in ended):
                     at = len(stack) - 1
                     while at > 0 and stack[at].tag not in ended and stack[at].tag not in SCOPE:
                         at -= 1
                     if at > 0 and stack[at].tag in ended:
-                        del stack[at:]
+                        close(at)
                 if tag not in VOID:
-                    stack.append(_opened(tag, m["attrs"], stack[-1]))
-                    if len(stack) > 512:  # deeper nesting than any page needs: stay at this level
-                        stack.pop()
+                    element = _opened(tag, m["attrs"], stack[-1])
+                    stack.append(element)
+                    elements.append(element)
+                    open_tags[tag] += 1
     flush()
-    return found
+    return elements, found
+
+
+def _summed(elements: list[Element], found: list[Block]) -> None:
+    """Weights and counts of each element with all in it: children come after their parents."""
+    for element in elements:
+        element.weight = element.apart = 0.0
+        element.count, element.holds = 0, False
+    for element, _, weight in found:
+        element.weight += weight
+        element.apart += 0.0 if element.article else weight
+        element.count += 1
+    for element in reversed(elements[1:]):
+        above = element.parent
+        above.weight += element.weight
+        above.apart += element.apart
+        above.count += element.count
+        above.holds = above.holds or element.holds or (element.article and not element.suspect and bool(element.weight))
+
+
+def blocks(html: str | None) -> tuple[list[Element], list[Block]]:
+    """All elements, with the weights of what stays, and the page's text blocks without suspect elements."""
+    elements, found = _parsed(html)
+    _summed(elements, found)
+    total = elements[0].weight
+    for element in elements[1:]:
+        drop = False
+        if element.suspect:
+            most = element.weight > MOST * total
+            lone = element.weight >= LONG and total - element.weight <= REST * total
+            drop = not (most and (element.suspect == 1 or lone or (element.suspect == 2 and element.holds)))
+        element.dropped = element.parent.dropped or drop
+    found = [block for block in found if not block[0].dropped]
+    _summed(elements, found)
+    return elements, found
+
+
+def _around(elements: list[Element], chosen: list[Element]) -> Element:
+    """The innermost element around all of ``chosen``."""
+    at = chosen[0]
+    for other in chosen[1:]:
+        while at is not other:
+            if at.depth >= other.depth:
+                at = at.parent
+            else:
+                other = other.parent
+    return at
 
 
-def best_container(found: list[tuple[Element, str, float]]) -> tuple[Element, float] | None:
+def best_container(elements: list[Element], found: list[Block]) -> tuple[Element, float] | None:
     """The page's main container and the share of the weight it holds.
 
-    That is the outermost article around the deepest element of at least
-    COVER, or without one the container that holds all weight outside other
+    That is its article, or the innermost element around its articles of size;
+    where they hold too little, the innermost container of all weight outside
     articles. A page without weight has its root, so all its blocks.
     """
-    total = sum(w for _, _, w in found)
-    if not total:
-        at = found[0][0] if found else None
-        while at is not None and at.parent is not None:
-            at = at.parent
-        return (at, 0.0) if found else None
-    weights: dict[Element, float] = {}
-    apart: dict[Element, float] = {}  # outside articles
-    count: dict[Element, int] = {}
-    for element, _, w in found:
-        at = element
-        while at is not None:
-            weights[at] = weights.get(at, 0.0) + w
-            apart[at] = apart.get(at, 0.0) + (0.0 if element.article else w)
-            count[at] = count.get(at, 0) + 1
-            at = at.parent
-    depth = {e: len(e.path()) for e in weights if weights[e] >= COVER * total}
-    best = max(depth, key=lambda e: (e.path().count(">"), weights[e]))
-    article, at = None, best
-    while at is not None:  # the outermost article that it lies in
-        if at.article:
-            article = at
-        at = at.parent
-    if article:
-        return article, weights[article] / total
-    at = best.parent
-    while at is not None:  # the highest one that adds text
-        if apart[at] > apart[best]:
-            best = at
-        at = at.parent
-    while not (best.tag in CONTAINERS or "-" in best.tag or (best.tag in ("td", "th") and count[best] > 1)):
+    root = elements[0]
+    if not root.weight:
+        return (root, 0.0) if found else None
+    articles = [e for e in elements[1:] if e.article and not e.parent.article and not e.dropped and e.weight]
+    if articles and sum(e.weight for e in articles) >= COVER * root.weight:
+        largest = max(e.weight for e in articles)
+        best = _around(elements, [e for e in articles if e.weight >= PART * largest])
+    else:
+        best = max((e for e in elements if e.apart == root.apart), key=lambda e: e.depth)
+    while not (best.tag in CONTAINERS or "-" in best.tag or (best.tag in ("td", "th") and best.count > 1)):
         best = best.parent
-    return best, weights[best] / total
+    return best, best.weight / root.weight
 
 
 def vote(html: str | None) -> tuple[str, float] | None:
     """Path and share of the page's main container; a page without weight or container has no vote."""
-    best = best_container(blocks(html))
+    best = best_container(*blocks(html))
     return (best[0].path(), best[1]) if best and best[1] and best[0].tag else None
 
 
 def main_text(html: str | None, path: str | None = None) -> str:
     """The text blocks in the containers of ``path``, else in the page's best one."""
-    found = blocks(html)
-    chosen: dict[Element, bool] = {}
-
-    def inside(element: Element | None) -> bool:
-        if element is None:
-            return False
-        if element not in chosen:
-            chosen[element] = element.path() == path or inside(element.parent)
-        return chosen[element]
-
-    texts = [text for element, text, _ in found if path and inside(element)]
-    if not texts and (best := best_container(found)):
-        chosen, path = {}, None
-        chosen[best[0]] = True
-        texts = [text for element, text, _ in found if inside(element)]
+    elements, found = blocks(html)
+    key = 0
+    for name in (path or "").split(">"):
+        key = path_key(name, key)
+
+    def inside(chosen: Callable[[Element], bool]) -> list[str]:
+        held: set[Element] = set()
+        for element in elements:
+            if element.parent in held or chosen(element):
+                held.add(element)
+        return [text for element, text, _ in found if element in held]
+
+    texts = inside(lambda e: e.key == key) if path else []
+    if not texts and (best := best_container(elements, found)):
+        texts = inside(lambda e: e is best[0])
     return "\n\n".join(texts)
 
 

@@ -25,3 +25,8 @@ def odd_docs(spark):
 @pytest.fixture(scope="session")
 def no_docs(spark):
     return make(spark, [])
+
+
+@pytest.fixture(scope="session")
+def pages_sample(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")

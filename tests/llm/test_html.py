@@ -67,6 +67,82 @@ def test_pages_without_article_lose_no_text(html, texts):
     assert h.main_text(html) == "\n\n".join(texts)
 
 
+@pytest.mark.parametrize(
+    "html, texts",
+    [
+        (f"<body><div class='content with-sidebar'><h1>Head</h1><p>{LONG}</p></div></body>", ["Head", LONG.strip()]),
+        (f"<body><nav>m</nav><div class='share-story related-body'><p>{LONG}</p><p>{SHORT}</p></div><div class=sidebar>s</div></body>", [LONG.strip(), SHORT]),
+        (f"<article class='post sidebar-right'><p>{LONG}</p></article><section id=comments><p>{LONG * 3}</p></section>", [LONG.strip()]),
+        (f"<div class=text><p>{LONG}</p></div><div class='post-comments'><article class=comment><p>{LONG * 3}</p></article></div>", [LONG.strip()]),
+        (f"<body><div class='layout sidebar'><main><p>{LONG}</p></main></div><div class=ad>{SHORT}</div></body>", [LONG.strip()]),
+        (f"<body><article><p>{LONG}</p></article><article><p>{LONG[:300]}</p></article><div class=promo>x</div></body>", [LONG.strip(), LONG[:300].strip()]),
+        (f"<body><div class=intro><p>{LONG}</p></div><div class=rest><p>{LONG[:300]}</p></div></body>", [LONG.strip(), LONG[:300].strip()]),
+        ("<article></article><div class='cookie-notice'>We use cookies</div>", []),
+    ],
+)
+def test_class_words_drop_no_main_text(html, texts):
+    assert h.main_text(html) == "\n\n".join(texts)
+
+
+def test_depth_has_no_limit():
+    deep = "<div>" * 2000 + "<nav>menu</nav><p>text</p>" + "</div>" * 2000
+    assert h.main_text(f"<body>{deep}<footer>f</footer></body>") == "text"
+    assert h.main_text("<div>" * 2000 + "<ul class=menu><li>menu</ul><p>text</p>") == "text"
+
+
+def test_extract_equals_a_plain_reading(spark, pages_sample):
+    """Against a reader of its own kind: the article of well-formed pages by an HTML parser."""
+    from html.parser import HTMLParser
+
+    inline = {"b", "i", "em", "strong", "a", "span", "code", "u", "sup", "sub", "small"}
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.depth = self.skip = 0
+            self.blocks, self.text = [], ""
+
+        def cut(self):
+            if text := " ".join(self.text.split()):
+                self.blocks.append(text)
+            self.text = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.text += " "
+                return
+            if tag not in inline:
+                self.cut()
+            if tag == "article":
+                self.depth += 1
+            names = dict(attrs).get("class") or ""
+            if self.skip or tag in ("script", "style", "nav", "aside", "form", "footer") or any(w in h.PASSED_WORDS for w in names.split()):
+                self.skip += tag not in h.VOID
+
+        def handle_endtag(self, tag):
+            if tag not in inline:
+                self.cut()
+            if self.skip:
+                self.skip -= 1
+            elif tag == "article":
+                self.depth -= 1
+
+        def handle_data(self, data):
+            if self.depth and not self.skip:
+                self.text += data
+
+    want = {}
+    for row in pages_sample.select("page_id", "html").collect():
+        if row["html"] and row["html"].count("<article") == row["html"].count("</article>") == 1:
+            reader = Reader()
+            reader.feed(row["html"])
+            want[row["page_id"]] = "\n\n".join(reader.blocks)
+    found = {r["page_id"]: r["text"] for r in h.extract(pages_sample).collect()}
+    assert len(want) >= 30
+    differ = [i for i, text in want.items() if text != found[i]]
+    assert not differ, differ[:10]
+
+
 def test_hosts_never_vote_for_one_paragraph(spark):
     lone = f"<html><body><div><p>{LONG}</p></div></body></html>"
     full = f"<html><body><div><h2>Head</h2><p>{SHORT}</p><ul><li>item</li></ul></div></body></html>"
