@@ -33,31 +33,54 @@ def test_counts(text):
     assert q.text_statistics(text)[:5] == counts(text)
 
 
-def brute(measured: pd.DataFrame):
-    """The same estimates in numpy, group by group."""
+def brute_mcd(x):
+    """Centre, scatter and scale of one group in numpy."""
     p = len(q.STATS)
-    floors = np.diag(np.square(q.FLOORS))
-    out = {}
-    for key, rows in measured.groupby("fit"):
-        x = rows[list(q.STATS)].to_numpy()
-        quart = np.quantile(x, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
-        mu, prec = quart[1], np.linalg.inv(np.diag(((quart[2] - quart[0]) / 1.349) ** 2) + floors)
-
-        def distance(x=x):
-            d = x - mu
-            return np.einsum("ij,jk,ik->i", d, prec, d)
-
-        def limit(share):
-            bins = np.floor(np.log2(np.maximum(distance(), 1e-12)) * q.BINS)
-            return bins, np.sort(bins)[int(np.ceil(len(bins) * share)) - 1]
-
+    floors = np.square(q.FLOORS)
+    quart = np.quantile(x, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
+    s = np.sqrt(((quart[2] - quart[0]) / 1.349) ** 2 + floors)
+    z = (x - quart[1]) / s
+    norm = (z**2).sum(axis=1, keepdims=True)
+    scores = [np.tanh(z), z / np.sqrt(np.where(norm > 0, norm, 1)), z / np.sqrt(1 + norm)]
+
+    def limit(mu, cov, share):
+        d = np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov), x - mu)
+        bins = np.floor(np.log2(np.maximum(d, 1e-12)) * q.BINS)
+        return bins, np.sort(bins)[int(np.ceil(len(bins) * share)) - 1]
+
+    ends = []
+    for y in [None, *scores]:
+        corr = np.eye(p)
+        if y is not None:
+            m = y.T @ y
+            d = np.sqrt(np.diag(m))
+            with np.errstate(all="ignore"):
+                corr = np.nan_to_num(m / np.outer(d, d))
+            np.fill_diagonal(corr, 1)
+            corr = (1 - q.RIDGE) * corr + q.RIDGE * np.eye(p)
+        mu, cov = quart[1], corr * np.outer(s, s)
         for _ in range(q.STEPS):
-            bins, top = limit(q.SHARE)
+            bins, top = limit(mu, cov, q.SHARE)
             near = x[bins <= top]
-            mu, prec = near.mean(axis=0), np.linalg.inv(np.cov(near.T) + floors)
-        _, mid = limit(0.5)
-        scale = max(1.0, 2 ** ((mid + 0.5) / q.BINS) / q.chi2_quantile(0.5, p))
-        out[key] = dict(zip(rows["doc_id"], distance() / scale, strict=True))
+            mu = near.mean(axis=0)
+            cov = (np.cov(near.T) if len(near) > 1 else np.zeros((p, p))) + np.diag(floors)
+        ends.append((np.linalg.slogdet(cov)[1], mu, cov))
+    _, mu, cov = min(ends, key=lambda e: round(e[0], 9))
+    _, mid = limit(mu, cov, 0.5)
+    return mu, cov, max(1.0, 2 ** ((mid + 0.5) / q.BINS) / q.chi2_quantile(0.5, p))
+
+
+def brute(frame: pd.DataFrame):
+    """Distances by doc_id: each language and source drawn towards its language and the corpus."""
+    x = frame[list(q.STATS)].to_numpy()
+    top, out = brute_mcd(x), {}
+    for _, of_lang in frame.groupby("lang"):
+        lang = q.drawn(len(of_lang), *brute_mcd(of_lang[list(q.STATS)].to_numpy()), top)
+        for _, rows in of_lang.groupby("source"):
+            values = rows[list(q.STATS)].to_numpy()
+            mu, cov, scale = q.drawn(len(rows), *brute_mcd(values), lang)
+            d = np.einsum("ij,jk,ik->i", values - mu, np.linalg.inv(cov), values - mu) / scale
+            out |= dict(zip(rows["doc_id"], d, strict=True))
     return out
 
 
@@ -78,19 +101,39 @@ def test_verdicts_equal_brute_force(spark):
     docs = make(spark, corpus())
     found = {r["doc_id"]: r for r in q.judge(docs).collect()}
     frame = pd.DataFrame([(i, lang, src, *q.text_statistics(t)[5]) for i, t, lang, src in corpus()], columns=["doc_id", "lang", "source", *q.STATS])
-    frame["fit"] = np.where(frame["source"] == "s", frame["lang"], "all")
-    want = brute(frame[frame["fit"] != "all"])
     limit = q.chi2_quantile(q.CUTOFF, len(q.STATS))
-    for rows in want.values():
-        for i, d in rows.items():
-            assert found[i]["distance"] == pytest.approx(d, rel=1e-6)
-            assert found[i]["kept"] == (d <= limit)
+    want = brute(frame)
+    assert len(want) == len(frame)
+    for i, d in want.items():
+        assert found[i]["distance"] == pytest.approx(d, rel=1e-6)
+        assert found[i]["kept"] == (d <= limit)
     junk = [i for i in range(200) if i % 20 in (3, 7)]
     assert not any(found[i]["kept"] for i in junk)
     assert all(found[i]["kept"] for i in range(200) if i not in junk)
     assert sorted(r["doc_id"] for r in q.keep_good(docs).select("doc_id").collect()) == sorted(i for i, r in found.items() if r["kept"])
 
 
+def test_sources_keep_their_own_ways(spark):
+    """One source writes with symbols; its texts are no outliers there, but would be elsewhere."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(600):
+        ws = words(rng, 120).split()
+        if i % 3 == 0 or i == 100:
+            ws = [w + "#" for w in ws]
+        rows.append((i, " ".join(ws), "en", "marks" if i % 3 == 0 else "plain"))
+    found = {r["doc_id"]: r["kept"] for r in q.judge(make(spark, rows)).collect()}
+    assert [i for i, kept in found.items() if not kept] == [100]
+
+
+def test_salted_join_gives_the_same(spark, monkeypatch):
+    docs = make(spark, corpus())
+    want = {r["doc_id"]: r["distance"] for r in q.judge(docs).collect()}
+    monkeypatch.setattr(q, "BROADCAST_ROWS", 0)
+    found = {r["doc_id"]: r["distance"] for r in q.judge(docs).collect()}
+    assert found == pytest.approx(want, rel=1e-9)
+
+
 def test_chi_square():
     assert q.chi2_quantile(0.5, 5) == pytest.approx(4.35146, abs=1e-5)
     assert q.chi2_quantile(0.999, 5) == pytest.approx(20.51501, abs=1e-4)
