@@ -65,7 +65,7 @@ class _WordIds(dict):
 _ids = _WordIds()
 
 
-def _scramble(h: np.ndarray) -> np.ndarray:
+def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
 
@@ -75,16 +75,21 @@ def word_ids(text: str | None) -> np.ndarray:
     return np.fromiter(map(_ids.__getitem__, words), np.uint64, len(words))
 
 
-def shingles(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes, sorted, and their counts; none for no words."""
+def shingle_hashes(ids: np.ndarray) -> np.ndarray:
+    """The hash of each run of five words in order; of fewer words, one of all; none for no words."""
     if not len(ids):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64)
     width = min(WORDS, len(ids))
     n = len(ids) - width + 1
     h = np.full(n, width, np.uint64)
     for i in range(width):
-        h = _scramble(h * MIX + ids[i : n + i])
-    return np.unique(h, return_counts=True)
+        h = mixed(h * MIX + ids[i : n + i])
+    return h
+
+
+def shingles(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes, sorted, and their counts."""
+    return np.unique(shingle_hashes(ids), return_counts=True)
 
 
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,7 +152,7 @@ class Sampler:
                 ln_a = np.maximum(lnc - r * (t - beta + np.float32(1)) + np.float32(128), np.float32(1e-3))
                 tag = (hk * MIX) ^ (t.astype(np.int64).astype(np.uint64) * np.uint64(0x94D049BB133111EB))
                 packed = (ln_a.view(np.uint32).astype(np.uint64) << np.uint64(32)) | ((tag >> np.uint64(20)) & low)
-                key = _scramble(key * MIX + (np.minimum.reduceat(packed, starts) & low))
+                key = mixed(key * MIX + (np.minimum.reduceat(packed, starts) & low))
             keys[:, band] = key.view(np.int64)
         return keys
 
@@ -252,11 +257,6 @@ def own_id() -> F.Column:
     return F.coalesce(F.col("doc_id"), own)
 
 
-def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``id, group_id``: the group of each own id, once."""
-    return _grouped(docs, threshold).groupBy("id").agg(F.min("label").alias("group_id"))
-
-
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, that of the least doc_id.
 

@@ -14,7 +14,7 @@ def slow(sizes, sources, clusters, capacity):
     for i in sorted(range(len(sizes)), key=lambda j: (-sizes[j], j)):
         fits = [
             (r, b) for b, (r, s, c, _) in enumerate(bins)
-            if r > 0 and r >= sizes[i] and (sources[i] < 0 or sources[i] not in s) and (clusters[i] < 0 or clusters[i] not in c)
+            if r > 0 and r >= sizes[i] and (sources[i] < 0 or sources[i] not in s) and not c & set(clusters[i])
         ]
         if not fits:
             bins.append([capacity, set(), set(), 0])
@@ -23,7 +23,7 @@ def slow(sizes, sources, clusters, capacity):
         placed[i] = (b, bins[b][3])
         bins[b][0] -= sizes[i]
         bins[b][1].add(sources[i])
-        bins[b][2].add(clusters[i])
+        bins[b][2] |= set(clusters[i])
         bins[b][3] += 1
     return placed
 
@@ -34,7 +34,7 @@ def test_best_fit_equals_looking_at_every_bin():
         n = rng.randint(0, 60)
         sizes = [rng.randint(0, 100) for _ in range(n)]
         sources = [rng.randint(-1, 4) for _ in range(n)]
-        clusters = [rng.randint(-1, 10) for _ in range(n)]
+        clusters = [[rng.randint(0, 10) for _ in range(rng.randint(0, 3))] for _ in range(n)]
         assert p.best_fit(sizes, sources, clusters, 100) == slow(sizes, sources, clusters, 100)
 
 
@@ -60,12 +60,34 @@ def test_pieces_cover_texts_and_bins_keep_the_rules(spark):
         assert all(n == 1 for n in clusters.values())
 
 
+def jaccard(a, b):
+    x, y = (set(zip(*(w[i:] for i in range(5)), strict=False)) for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
 def test_near_copies_share_no_bin(spark):
     rng = random.Random(8)
-    text = words(rng, 200)
-    rows = [(i, f"{text} more{i}", "en", f"s{i}") for i in range(5)] + [(9, words(rng, 200), "en", "t"), (10, None, "en", "u"), (11, "", "en", "v")]
-    found = p.pack(make(spark, rows), near=True).collect()
-    assert len({r["bin_id"] for r in found if r["doc_id"] < 5}) == 5 and len({r["bin_id"] for r in found}) == 5
+    rows = []
+    for g in range(60):
+        base = words(rng, 200).split()
+        for k in range(4):
+            edited = list(base)
+            if k:
+                edited[rng.randrange(200)] = f"edit{k}"
+            rows.append((len(rows), " ".join(edited), "en", f"s{len(rows)}"))
+    rows += [(900, None, "en", "u"), (901, "", "en", "v")]
+    bins = defaultdict(list)
+    for r in p.pack(make(spark, rows)).collect():
+        bins[r["bin_id"]].append(r["doc_id"])
+    assert len(bins) < 150
+    for held in bins.values():
+        held = [i for i in held if i < 900]
+        assert all(jaccard(rows[i][1], rows[j][1]) < 0.8 for i in held for j in held if i < j)
+
+
+def test_very_long_text(spark):
+    found = p.pack(make(spark, [(1, "word " * 400_000, "en", "s"), (2, "x" * 3_000_000, "en", "s")])).collect()
+    assert sum(r["n_tokens"] for r in found) == 400_001
 
 
 def test_rows_of_one_doc_id_spread_over_shards(spark):
