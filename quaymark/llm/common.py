@@ -14,24 +14,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Rows of an Arrow batch: whole texts may be long, and a Python worker holds a batch several times over.
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Let the session send Python workers batches of at most ``rows`` rows."""
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Let the session send Python workers batches of at most ``rows`` rows and about ``size`` bytes.
+
+    The settings stay with the session: later queries of it get the same batches, and the same results.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in local tests, a temporary folder
-    is made and set.
+    Where the session names none, a temporary folder is made and set under a
+    local master, as in tests; on a cluster that would be one machine's own, so it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = set_dir.get() if set_dir.isDefined() else None
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quaymark-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

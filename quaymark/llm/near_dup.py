@@ -3,11 +3,16 @@
 Texts are lower-cased, split on white space and cut into five-word shingles
 (a shorter text is one shingle). A shingle weighs
 
-    tf * (1 + IDF_SHARE * idf),   idf = ln(N / df) / ln(N)  in 0..1,
+    tf * (1 + IDF_SHARE * idf),   idf = min(1, ln(N / df) / ln(TOLD))  in 0..1,
 
-with N and df over all documents. df comes from a count sketch of a fixed
-number of buckets (2**SKETCH_BITS) filled by every document; the mean load of
-a bucket is subtracted, so rare shingles count as df 1 at any corpus size.
+with N and df over all documents: shingles in less than one of TOLD documents
+weigh the same, so the weights depend on shares of the corpus, not on its size.
+df comes from a count sketch of 2**SKETCH_BITS buckets filled by every
+document, less a bucket's median load; both grow with N, and at less than
+2**SKETCH_BITS / TOLD shingles a document the rest of a bucket stays below the
+least share told. The idf is smoothed and narrow for the sake of right
+results: under plain tf * idf the edited words of a near copy, which are rare, outweigh
+the shared ones, which its own group makes frequent (figures in the README).
 
 Each document gets BANDS x ROWS consistent weighted samples (Ioffe's scheme:
 two documents share a sample with a probability equal to their weighted
@@ -46,6 +51,9 @@ BANDS = 12
 ROWS = 3
 SKETCH_BITS = 18
 IDF_SHARE = 0.5
+TOLD = 128
+#: Pairs of one centre that are verified in one task.
+STAR = 256
 HIST = 128
 TABLE = 1 << 14
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -94,12 +102,18 @@ def shingles(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    docs = 0
+    held, size, docs = [], 0, 0
     for batch in batches:
         for text in batch["text"]:
             h, _ = shingles(word_ids(text))
-            np.add.at(counts, (h >> np.uint64(64 - SKETCH_BITS)).astype(np.intp), 1)
+            held.append((h >> np.uint64(64 - SKETCH_BITS)).astype(np.intp))
+            size += len(h)
             docs += 1
+            if size >= CHUNK:
+                counts += np.bincount(np.concatenate(held), minlength=len(counts))
+                held, size = [], 0
+    if size:
+        counts += np.bincount(np.concatenate(held), minlength=len(counts))
     used = np.flatnonzero(counts)
     yield pd.DataFrame({"bucket": np.append(used, -1), "n": np.append(counts[used], docs)})
 
@@ -114,8 +128,8 @@ def shingle_idf(docs: DataFrame) -> np.ndarray:
     inside = rows[rows["bucket"] >= 0]
     loads[inside["bucket"].to_numpy()] = inside["n"].to_numpy()
     total = max(2.0, float(rows.loc[rows["bucket"] < 0, "n"].sum()))
-    df = np.clip(loads - np.median(loads) - 4 * np.sqrt(np.median(loads)), 1, total)
-    return (np.log(total / df) / np.log(total)).astype(np.float32)
+    df = np.clip(loads - np.median(loads), 1, total)
+    return np.minimum(1, np.log(total / df) / np.log(TOLD)).astype(np.float32)
 
 
 def weights(h: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -225,18 +239,26 @@ def _verify(idf, threshold: float):
 
 
 def links(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """The ``pairs`` (a, b) whose texts are similar enough. ``texts``: id, text."""
+    """The ``pairs`` (a, b) whose texts are similar enough. ``texts``: id, text.
+
+    The pairs of one centre ``a`` are dealt to parts of about STAR pairs, each with a copy of its text, so a large star
+    is verified by many tasks.
+    """
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("parts"))
+    dealt = pairs.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts")).select("a", "b", "part")
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).join(sizes, "a")
+    left = left.select("a", "ta", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    joined = dealt.join(right, "b").join(left, ["a", "part"]).select("a", "b", "ta", "tb")
     return joined.mapInPandas(_verify(idf, threshold), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Groups of exact and near copies. One row per row of ``docs`` (doc_id, text).
 
-    Returns ``doc_id, class_id, group_id, kept``: class_id is the least doc_id
-    with the same words, group_id the least doc_id of the group, kept is true
+    Returns ``doc_id, class_id, group_id, n_links, kept``: class_id is the least doc_id
+    with the same words, group_id the least doc_id of the group, n_links the number of verified links of the
+    class to others (of a group at least those that connect it), kept is true
     for the rows that carry the group's id. Null and empty texts have no words
     and form one class. Rows that repeat a doc_id count as one document, so
     their groups are joined. A null doc_id stands for a document of its own
@@ -247,6 +269,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.when(F.col("real"), F.col("id")).alias("doc_id"),
         F.col("rep").alias("class_id"),
         F.col("label").alias("group_id"),
+        "n_links",
         (F.col("id") == F.col("label")).alias("kept"),
     )
 
@@ -275,7 +298,7 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, threshold: float) -> DataFrame:
-    """Each row's ``id, real, rep, label``: own id, class and group."""
+    """Each row's ``id, real, rep, label, n_links``: own id, class, group and links of the class."""
     spark = docs.sparkSession
     base = docs.select(own_id().alias("id"), "text", F.col("doc_id").isNotNull().alias("real"))
     idf = spark.sparkContext.broadcast(shingle_idf(base))
@@ -318,17 +341,18 @@ def _grouped(docs: DataFrame, threshold: float) -> DataFrame:
             labels = components(found)
             mixed = keep(_mixed(mixed.select("band", "key", "id", "w"), labels), "mixed")
         rest = keep(_cross_pairs(mixed.join(support, "id"), threshold).join(done, ["a", "b"], "left_anti"), "rest")
-        same_id = _same_id(signed)
-        if not rest.isEmpty() or not same_id.isEmpty():
-            labels = components(keep(found.unionByName(links(rest, texts, idf, threshold)).unionByName(same_id), "links"))
-    else:
-        same_id = _same_id(signed)
-        if not same_id.isEmpty():
-            labels = components(keep(found.unionByName(same_id), "links"))
-    grouped = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "hi", "lo", "rep", F.coalesce("label", "rep").alias("label")
+        if not rest.isEmpty():
+            found = keep(found.unionByName(links(rest, texts, idf, threshold)), "links")
+            labels = components(found)
+    same_id = _same_id(signed)
+    if not same_id.isEmpty():
+        labels = components(keep(found.unionByName(same_id), "links"))
+    ends = found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    grouped = (
+        classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(ends, "rep", "left")
+        .select("hi", "lo", "rep", F.coalesce("label", "rep").alias("label"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     )
-    return signed.join(grouped, ["hi", "lo"]).select("id", "real", "rep", "label")
+    return signed.join(grouped, ["hi", "lo"]).select("id", "real", "rep", "label", "n_links")
 
 
 def _same_id(signed: DataFrame) -> DataFrame:

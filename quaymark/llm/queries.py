@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ann, html_text, lang_id, near_dup, packing, pii, quality, secrets, sentencepiece_backend, warc
-from .common import table
+from .common import small_batches, table
 
 #: The tokenizer model to encode with; its path is a parameter, the file is no part of this repository.
 MODEL_PATH = os.environ.get("QUAYMARK_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -61,8 +61,21 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _batched(query: Query) -> Query:
+    """The query under ``small_batches``: some texts are very long."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: _batched(f)
     for f in (
         op1_anisotropic_neighbours,
         op2_warc_round_trip,

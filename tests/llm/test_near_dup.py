@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -43,8 +44,36 @@ def test_groups_equal_all_pairs(spark):
             i += 1
     rng.shuffle(rows)
     docs = make(spark, rows)
-    found = {r["doc_id"]: r["group_id"] for r in nd.near_duplicates(docs).collect()}
-    assert found == groups(spark, docs)
+    rows = nd.near_duplicates(docs).collect()
+    assert {r["doc_id"]: r["group_id"] for r in rows} == groups(spark, docs)
+    sizes = Counter(r["group_id"] for r in rows if r["doc_id"] == r["class_id"])
+    assert all((r["n_links"] > 0) == (sizes[r["group_id"]] > 1) for r in rows)
+
+
+def test_a_large_star_is_dealt_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(nd, "STAR", 4)
+    rng = random.Random(15)
+    base = words(rng, 120)
+    docs = make(spark, [(i, f"{base} end{i}" if i else base, "en", "s") for i in range(60)])
+    found = nd.near_duplicates(docs).collect()
+    assert {r["group_id"] for r in found} == {0} and max(r["n_links"] for r in found) == 59
+
+
+def test_weights_depend_on_shares_of_the_corpus(spark):
+    rng = random.Random(16)
+    texts = [words(rng, 40) + " one phrase of many texts here" if i % 4 == 0 else words(rng, 40) for i in range(200)]
+    small = make(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    large = make(spark, [(i, texts[i % 200], "en", "s") for i in range(2000)])
+    h, tf = nd.shingles(nd.word_ids("one phrase of many texts here"))
+    a, b = (nd.weights(h, tf, nd.shingle_idf(d)) for d in (small, large))
+    np.testing.assert_allclose(a, b, rtol=0.02)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(17)
+    long = " ".join(words(rng, 2000) for _ in range(100))
+    docs = make(spark, [(1, long, "en", "s"), (2, long + " more", "en", "s"), (3, "x" * 2_000_000, "en", "s")])
+    assert {r["doc_id"]: r["group_id"] for r in nd.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
 
 
 def test_samples_agree_as_often_as_texts_are_similar():
