@@ -1,16 +1,22 @@
 """Approximate nearest neighbours by score-aware quantisation and exact reranking.
 
 A vector is cut into pieces of ``PIECE`` numbers; each piece is coded by one
-of 16 centres (four bits). Codes and centres minimise the anisotropic loss of
+of 16 centres (four bits, two codes to a byte). Codes and centres minimise the anisotropic loss of
 maximum-inner-product search: the part of the residual parallel to the vector
 weighs eta = (d - 1) T^2 / (1 - T^2) times the rest, for the score threshold
 T. The centres are fitted on a bounded sample of ``TRAIN`` vectors; every
 vector is coded. Euclidean nearness ranks as q.x - |x|^2 / 2, whose norm is
-kept exactly, so a query scans 8-bit tables of its products with the centres,
-and the best ``SHORTLIST`` of each block are reranked by their exact distance.
-
-Equal vectors are searched as one, with their least ids. Vectors and queries
-meet in blocks: each task holds one block of vectors and one of queries.
+kept exactly, so a query scans 8-bit tables of its products with the centres.
+
+Vectors are assigned to leaves of about ``LEAF`` (at most ``LEAVES``), by centres fitted on the
+same sample, and a query scans the fewest leaves, nearest first, that held
+``REACH`` of the true neighbours within the sample: few where vectors form
+clusters, nearly all where they do not. Tasks hold codes, norms and ids of one
+part of a leaf, at most about ``BLOCK``, and a block of queries; vectors themselves are
+not shuffled for the scan. The best ``SHORTLIST`` of each query then meet their
+vectors by id and are ranked by exact distance. Equal vectors are searched as
+one, with their least ids; vectors of each length are searched apart, as no
+distance joins them.
 """
 
 from __future__ import annotations
@@ -31,6 +37,10 @@ TRAIN = 20_000
 ROUNDS = 5
 THRESHOLD = 0.2
 SHORTLIST = 192
+LEAF = 8_192
+LEAVES = 1_024
+REACH = 0.99
+PROBE_QUERIES = 200
 BLOCK = 16_384
 QUERY_BLOCK = 2_048
 
@@ -97,13 +107,13 @@ class Codebook:
             total += new - parallel[:, m]
             parallel[:, m] = new
 
-    def tables(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """8-bit product tables (query, piece, centre), and each query's step."""
+    def tables(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """8-bit product tables (query, piece, centre), each query's step, and the product that zeros stand for."""
         q = _pieces(queries, len(self.centres))
         exact = np.einsum("qmi,mki->qmk", q, self.centres)
         low = exact.min(axis=2, keepdims=True)
         step = np.maximum((exact.max(axis=2) - low[:, :, 0]).max(axis=1) / 255, 1e-30)
-        return np.round((exact - low) / step[:, None, None]).astype(np.uint8), step
+        return np.round((exact - low) / step[:, None, None]).astype(np.uint8), step, low.sum(axis=(1, 2))
 
 
 def _pieces(vectors: np.ndarray, pieces: int) -> np.ndarray:
@@ -120,45 +130,87 @@ def _chosen(r: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return r[np.arange(len(r)), codes]
 
 
-def search_block(
-    book: Codebook, codes: np.ndarray, vectors: np.ndarray, order: np.ndarray, queries: np.ndarray, k: int, shortlist: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """For each query, the ``k`` nearest rows of a block and their distances; ``order`` breaks ties.
+def packed(codes: np.ndarray) -> list[bytes]:
+    """Two codes to a byte."""
+    if codes.shape[1] % 2:
+        codes = np.hstack([codes, np.zeros((len(codes), 1), np.uint8)])
+    return [row.tobytes() for row in codes[:, ::2] | codes[:, 1::2] << 4]
 
-    Returns positions and distances, (query, k'), with k' = min(k, rows).
-    """
-    half = np.square(vectors).sum(axis=1) / 2
-    keep_n = min(shortlist, len(codes))
-    k = min(k, keep_n)
-    found = np.empty((len(queries), k), np.int64)
-    far = np.empty((len(queries), k))
-    columns = np.ascontiguousarray(codes.T)
+
+def unpacked(rows: pd.Series, pieces: int) -> np.ndarray:
+    """One row of codes for each piece."""
+    both = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1).T
+    codes = np.empty((2 * len(both), len(rows)), np.uint8)
+    codes[::2], codes[1::2] = both & 15, both >> 4
+    return codes[:pieces]
+
+
+def scan(book: Codebook, columns: np.ndarray, half: np.ndarray, queries: np.ndarray, shortlist: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the positions of the best ``shortlist`` codes and their approximate scores."""
+    n = columns.shape[1]
+    keep_n = min(shortlist, n)
+    found, near = np.empty((len(queries), keep_n), np.int64), np.empty((len(queries), keep_n))
     for begin in range(0, len(queries), 128):
         some = queries[begin : begin + 128]
-        tables, step = book.tables(some)
-        scores = np.zeros((len(some), len(codes)), np.uint16 if codes.shape[1] <= 256 else np.uint32)
+        tables, step, base = book.tables(some)
+        scores = np.zeros((len(some), n), np.uint16 if len(columns) <= 256 else np.uint32)
         for m, column in enumerate(columns):
             scores += tables[:, m].take(column, axis=1)
+        for i in range(len(some)):
+            score = scores[i] * step[i] + base[i] - half
+            short = np.argpartition(-score, keep_n - 1)[:keep_n] if keep_n < n else np.arange(n)
+            found[begin + i], near[begin + i] = short, score[short]
+    return found, near
+
+
+class Leaves:
+    """Centres of the coarse partition and the number of leaves a query scans."""
+
+    def __init__(self, centres: np.ndarray, probes: int) -> None:
+        self.centres, self.probes = centres, probes
+
+    @classmethod
+    def fit(cls, sample: np.ndarray, n: int, rounds: int = 6, seed: int = 11) -> Leaves:
+        k = min(LEAVES, max(1, -(-n // LEAF)), len(sample))
+        rng = np.random.default_rng(seed)
+        centres = sample[rng.choice(len(sample), k, replace=False)].copy()
+        found = cls(centres, 1)
+        for _ in range(rounds if k > 1 else 0):
+            at = found.nearest(sample, 1)[:, 0]
+            counts = np.bincount(at, minlength=k)
+            sums = np.stack([np.bincount(at, sample[:, j], k) for j in range(sample.shape[1])], axis=1)
+            centres[counts > 0] = sums[counts > 0] / counts[counts > 0, None]
+        if k > 1:
+            found.probes = found._probes(sample)
+        return found
+
+    def nearest(self, vectors: np.ndarray, probes: int) -> np.ndarray:
+        """The nearest leaves of each vector, nearest first."""
+        far = np.square(self.centres).sum(axis=1) - 2 * vectors @ self.centres.T
+        return np.argsort(far, axis=1, kind="stable")[:, :probes]
+
+    def _probes(self, sample: np.ndarray) -> int:
+        """The fewest leaves that hold REACH of the ten nearest of some sample vectors."""
+        some = sample[:PROBE_QUERIES]
+        home = self.nearest(sample, 1)[:, 0]
+        place = np.argsort(self.nearest(some, len(self.centres)), axis=1)  # of each leaf in a query's order
+        need = []
         for i, q in enumerate(some):
-            near = scores[i] * step[i] - half
-            short = np.argpartition(-near, keep_n - 1)[:keep_n] if keep_n < len(near) else np.arange(len(near))
-            d = np.sqrt(np.square(vectors[short] - q).sum(axis=1))
-            best = np.lexsort((order[short], d))[:k]
-            found[begin + i], far[begin + i] = short[best], d[best]
-    return found, far
+            d = np.square(sample - q).sum(axis=1)
+            d[i] = np.inf
+            need += place[i, home[np.argsort(d, kind="stable")[:K]]].tolist()
+        return int(np.sort(need)[int(np.ceil(REACH * len(need))) - 1]) + 1
 
 
 def valid_vectors(rows: DataFrame) -> DataFrame:
     """``vec_id, embedding`` of the rows that take part.
 
     Those without an id, a vector, or with null, NaN or infinite numbers or
-    only zeros take none, nor do vectors of another length than the most common.
+    only zeros take none.
     """
     ok = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists("embedding", lambda x: x != 0)
-    found = rows.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & F.coalesce(ok & some, F.lit(False)))
-    lengths = found.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return found.where(F.size("embedding") == (lengths["d"] if lengths else 0))
+    return rows.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & F.coalesce(ok & some, F.lit(False)))
 
 
 def _stacked(values: pd.Series) -> np.ndarray:
@@ -172,64 +224,88 @@ def nearest(rows: DataFrame, every: int = 100, k: int = K, shortlist: int = SHOR
     in double precision, ties go to the smaller vec_id. With fewer other
     vectors, all are returned; a table without valid vectors gives no rows. A
     repeated vec_id of the same vector is one candidate; of different vectors,
-    each is one.
+    each is one. Vectors of another length are no candidates.
     """
-    spark = rows.sparkSession
     valid = valid_vectors(rows).distinct()
+    lengths = sorted(r["d"] for r in valid.select(F.size("embedding").alias("d")).distinct().collect())
+    found = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for d in lengths:
+        found = found.unionByName(_nearest(valid.where(F.size("embedding") == d), every, k, shortlist))
+    return found
+
+
+def _nearest(valid: DataFrame, every: int, k: int, shortlist: int) -> DataFrame:
+    """The search among vectors of one length."""
+    spark = valid.sparkSession
     order = Window.partitionBy("embedding").orderBy("vec_id")
     firsts = valid.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
     grouped = firsts.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    grouped = keep(grouped.withColumn("rep", F.monotonically_increasing_id()), "ann-vectors")  # a key of the vector, written once
     sample = grouped.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(TRAIN).select("embedding").toPandas()
-    if sample.empty:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    book = spark.sparkContext.broadcast(Codebook.fit(_stacked(sample["embedding"])))
-    number = dict(rows.dtypes)["embedding"]
+    train = _stacked(sample["embedding"])
+    shared = spark.sparkContext.broadcast((Codebook.fit(train), Leaves.fit(train, grouped.count())))
+    number = dict(valid.dtypes)["embedding"]
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        book, leaves = shared.value
         for batch in batches:
             if len(batch):
-                codes = book.value.encode(_stacked(batch["embedding"]))
-                yield batch.assign(code=[c.tobytes() for c in codes])
+                x = _stacked(batch["embedding"])
+                yield pd.DataFrame({
+                    "rep": batch["rep"], "embedding": batch["embedding"], "ids": batch["ids"], "code": packed(book.encode(x)),
+                    "half": np.square(x).sum(axis=1) / 2, "leaf": leaves.nearest(x, 1)[:, 0],
+                })
 
-    index = keep(grouped.mapInPandas(coded, f"embedding {number}, ids array<long>, code binary"), "ann-index")
+    index = keep(grouped.mapInPandas(coded, f"rep long, embedding {number}, ids array<long>, code binary, half double, leaf int"), "ann-index")
     queries = keep(
-        valid.where(F.col("vec_id") % every == 0)
-        .join(index.select("embedding", F.col("ids")[0].alias("rep")), "embedding")
-        .select(F.col("vec_id").alias("query_id"), "rep"),
+        valid.where(F.col("vec_id") % every == 0).join(index.select("embedding", "rep"), "embedding").select(F.col("vec_id").alias("query_id"), "rep"),
         "ann-queries",
     )
-    asked = index.join(queries.select(F.col("rep").alias("ids_0")).distinct(), F.col("ids")[0] == F.col("ids_0"), "left_semi")
-    blocks = max(1, -(-index.count() // BLOCK))
-    query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    place = F.xxhash64(F.col("ids")[0])
-    left = index.select(
-        "embedding", "ids", "code", F.pmod(place, F.lit(blocks)).alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"),
+    asked = keep(index.join(queries.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("embedding").alias("asked")), "ann-asked")
+
+    def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        leaves = shared.value[1]
+        for batch in batches:
+            if len(batch):
+                yield batch.assign(leaves=list(leaves.nearest(_stacked(batch["asked"]), leaves.probes)))
+
+    # Parts of leaves and blocks of queries, by their counts: one row a leaf.
+    wanted = asked.mapInPandas(probed, f"rep long, asked {number}, leaves array<int>").select("rep", "asked", F.explode("leaves").alias("leaf"))
+    wanted = keep(wanted, "ann-wanted")
+    sizes = index.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    blocks = wanted.groupBy("leaf").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+    dealt = F.broadcast(sizes.join(blocks, "leaf"))
+    left = index.select("rep", "code", "half", "leaf").join(dealt, "leaf").select(
+        "rep", "code", "half", "leaf", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
     )
-    right = asked.select(
-        F.col("ids")[0].alias("rep"), F.col("embedding").alias("asked"),
-        F.pmod(place, F.lit(query_blocks)).cast("int").alias("query_block"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
+    right = wanted.join(dealt, "leaf").select(
+        F.col("rep").alias("query"), "asked", "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"),
     )
 
     def meet(key: tuple, vectors: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
         if vectors.empty or some.empty:
-            return pd.DataFrame({"rep": [], "ids": [], "score": []})
-        codes = np.frombuffer(b"".join(vectors["code"]), np.uint8).reshape(len(vectors), -1)
-        ids = vectors["ids"].to_numpy()
-        found, far = search_block(
-            book.value, codes, _stacked(vectors["embedding"]), np.array([x[0] for x in ids]),
-            _stacked(some["asked"]), k + 1, shortlist,
-        )
+            return pd.DataFrame({"query": [], "rep": [], "near": []})
+        book = shared.value[0]
+        columns = unpacked(vectors["code"], len(book.centres))
+        found, near = scan(book, columns, vectors["half"].to_numpy(), _stacked(some["asked"]), shortlist)
         return pd.DataFrame(
-            {"rep": np.repeat(some["rep"].to_numpy(), found.shape[1]), "ids": list(ids[found.ravel()]), "score": far.ravel()}
+            {"query": np.repeat(some["query"].to_numpy(), found.shape[1]), "rep": vectors["rep"].to_numpy()[found.ravel()], "near": near.ravel()}
         )
 
-    met = left.groupBy("block", "query_block").cogroup(right.groupBy("block", "query_block")).applyInPandas(
-        meet, "rep long, ids array<long>, score double"
-    )
-    near = met.select("rep", "score", F.explode("ids").alias("vec_id"))
-    best = near.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1)
-    own = best.join(queries, "rep").where("vec_id <> query_id")
-    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    keys = ["leaf", "part", "block"]
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query long, rep long, near double")
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "rep"))
+    short = met.withColumn("n", best).where(F.col("n") <= shortlist).select("query", "rep")
+
+    @F.pandas_udf("double")
+    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(np.sqrt(np.square(_stacked(x) - _stacked(y)).sum(axis=1)) if len(x) else [], dtype=float)
+
+    ranked = short.join(index.select("rep", "embedding", "ids"), "rep").join(asked.select(F.col("rep").alias("query"), "asked"), "query")
+    near = ranked.select("query", distance("embedding", "asked").alias("score"), F.explode("ids").alias("vec_id"))
+    top = near.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1)
+    own = top.join(queries, F.col("query") == F.col("rep")).where("vec_id <> query_id")
+    own = own.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+    return own.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from quaymark.llm import ann
@@ -39,6 +40,41 @@ def test_recall_and_scores(spark):
         assert r["score"] == np.sqrt(np.square(x32[r["vec_id"]] - x32[r["query_id"]]).sum())
 
 
+@pytest.mark.parametrize("spread", [0.3, 5.0])
+def test_leaves_and_parts_keep_the_recall(spark, monkeypatch, spread):
+    """Clusters need few leaves, isotropic vectors nearly all; parts and blocks change nothing."""
+    monkeypatch.setattr(ann, "LEAF", 100)
+    monkeypatch.setattr(ann, "BLOCK", 60)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(20, 16))[rng.integers(0, 20, 3000)] * 3 + spread * rng.normal(size=(3000, 16))
+    leaves = ann.Leaves.fit(x, len(x))
+    assert len(leaves.centres) == 30 and (leaves.probes <= 6 if spread < 1 else leaves.probes >= 15)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    want, found = brute(rows, 50), ann.nearest(table(spark, rows), every=50).collect()
+    assert len(found) == len(want)
+    near = {q: {v for (a, _), (v, _) in want.items() if a == q} for q, _ in want}
+    assert np.mean([r["vec_id"] in near[r["query_id"]] for r in found]) >= 0.95
+
+
+def test_each_length_is_searched_apart(spark):
+    rows = [(100 * i, [float(i), 1.0]) for i in range(1, 4)] + [(1000 * i, [float(i), 1.0, 2.0]) for i in range(1, 3)]
+    found = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.nearest(table(spark, rows)).collect()}
+    assert found == {(100, 1): (200, 1.0), (100, 2): (300, 2.0), (200, 1): (100, 1.0), (200, 2): (300, 1.0), (300, 1): (200, 1.0), (300, 2): (100, 2.0),
+                     (1000, 1): (2000, 1.0), (2000, 1): (1000, 1.0)}
+
+
+def test_one_id_of_two_vectors(spark):
+    rows = [(100, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [5.0, 0.0]), (2, [9.0, 0.0])]
+    found = [tuple(r) for r in ann.nearest(table(spark, rows)).orderBy("rank").collect()]
+    assert found == [(100, 1, 1, 1.0), (100, 2, 1, 4.0), (100, 3, 2, 8.0)]
+
+
+def test_codes_pack_to_half_bytes():
+    codes = np.random.default_rng(4).integers(0, 16, (9, 7)).astype(np.uint8)
+    assert (ann.unpacked(pd.Series(ann.packed(codes)), 7) == codes.T).all() and len(ann.packed(codes)[0]) == 4
+
+
 def test_ties_and_copies_go_to_the_least_ids(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(40)] + [(i, [1.0, 2.0, float(i)]) for i in range(40, 60)]
     found = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.nearest(table(spark, rows), every=20).collect()}
