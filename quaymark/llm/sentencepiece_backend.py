@@ -3,10 +3,11 @@
 The model's protobuf is read field by field; its normaliser, metaspace
 marker, scores (unigram, or merges of a BPE model in order of score) and byte
 fallback are rebuilt as a ``tokenizers`` model. If no piece has the marker
-after another character, a text falls apart at its markers: each batch's
+after another character, a text falls apart at its markers, and at user-defined
+pieces, which no normalisation touches: each batch's
 distinct chunks are encoded once by the multithreaded batch call, and kept in
-a bounded cache. Every distinct chunk, and so every text, is compared with
-the sentencepiece library: ids and round trip.
+a bounded cache. Every whole text is encoded by the sentencepiece library too, from
+the raw text on, and the ids are compared.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-CACHE = 400_000
+CACHE = 300_000
 # Numbers of the piece types and model types of the format.
-UNKNOWN, UNUSED, BYTE = 2, 5, 6
+UNKNOWN, USER_DEFINED, UNUSED, BYTE = 2, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
 
@@ -81,7 +82,11 @@ class Model:
         self.trim = bool(norm.get(4, 1))
         self.escape = bool(norm.get(5, 1))
         self.charsmap = normalizers.Precompiled(norm[2]) if norm.get(2) else None
+        user = sorted((p for p, _, kind in self.pieces if kind == USER_DEFINED), key=len, reverse=True)
+        self.user = re.compile("|".join(map(re.escape, user))) if user else None
+        self.raw_user = re.compile("|".join(re.escape(p.replace(MARK, " ") if self.escape else p) for p in user)) if user else None
         vocab = {piece: i for i, (piece, _, _) in enumerate(self.pieces)}
+        self.user_ids = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind == USER_DEFINED}
         byte_fallback = any(kind == BYTE for _, _, kind in self.pieces)
         unknown = next(i for i, (_, _, kind) in enumerate(self.pieces) if kind == UNKNOWN)
         if self.kind == BPE:
@@ -95,7 +100,7 @@ class Model:
         self.backend = Tokenizer(model)
         steps = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
         self.backend.decoder = decoders.Sequence([*steps, decoders.Strip(" ", 1, 0)] if self.dummy_prefix else steps)
-        self.splits = all(MARK not in piece.lstrip(MARK) for piece, _, kind in self.pieces if kind not in (UNKNOWN, UNUSED))
+        self.splits = all(MARK not in piece.lstrip(MARK) for piece, _, kind in self.pieces if kind not in (UNKNOWN, USER_DEFINED, UNUSED))
 
     def _merges(self, vocab: dict[str, int]) -> list[tuple[str, str]]:
         found = []
@@ -109,7 +114,13 @@ class Model:
         return [(left, right) for _, _, left, right in sorted(found, key=lambda m: m[:2])]
 
     def normalise(self, text: str) -> str:
-        if self.charsmap:
+        if self.charsmap and self.raw_user:
+            parts, at = [], 0
+            for m in self.raw_user.finditer(text):
+                parts += [self.charsmap.normalize_str(text[at : m.start()]), m[0]]
+                at = m.end()
+            text = "".join(parts) + self.charsmap.normalize_str(text[at:])
+        elif self.charsmap:
             text = self.charsmap.normalize_str(text)
         if self.trim:
             text = re.sub(" +", " ", text.strip(" "))
@@ -119,19 +130,33 @@ class Model:
 
     def chunks(self, text: str) -> list[str]:
         """The normalised text in parts that no piece spans."""
+        if self.user:
+            found, at = [], 0
+            for m in self.user.finditer(text):
+                found += [*self._plain(text[at : m.start()]), m[0]]
+                at = m.end()
+            return found + self._plain(text[at:])
+        return self._plain(text)
+
+    def _plain(self, text: str) -> list[str]:
         if not self.splits:
             return [text] if text else []
         return CHUNK.findall(text)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         parts = [self.chunks(self.normalise(t)) for t in texts]
-        flat = [x.ids for x in self.backend.encode_batch_fast([c for p in parts for c in p], add_special_tokens=False)]
+        flat = self.chunk_ids([c for p in parts for c in p])
         at, out = 0, []
         for p in parts:
             out.append([i for ids in flat[at : at + len(p)] for i in ids])
             at += len(p)
         return out
 
+    def chunk_ids(self, chunks: list[str]) -> list[list[int]]:
+        """The ids of each chunk: a user-defined piece is its own."""
+        ids = [x.ids for x in self.backend.encode_batch_fast(chunks, add_special_tokens=False)]
+        return [[self.user_ids[c]] if c in self.user_ids else x for c, x in zip(chunks, ids, strict=True)]
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.backend.decode_batch(ids, skip_special_tokens=False)
 
@@ -140,31 +165,23 @@ CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
 class Encoder:
-    """Encodes texts chunk by chunk; each distinct chunk is checked against the sentencepiece library."""
+    """Encodes texts chunk by chunk, and compares each whole text with the sentencepiece library."""
 
     def __init__(self, data: bytes) -> None:
         import sentencepiece
 
         self.model = Model(data)
         self.other = sentencepiece.SentencePieceProcessor(model_proto=data)
+        # Chunks met lately, and those of the time before: frequent ones move on when the first are full.
         self.known: dict[str, bytes] = {}
-        self.unequal: set[str] = set()
+        self.before: dict[str, bytes] = {}
         self.lossy: set[str] = set()
 
     def _learn(self, new: list[str]) -> None:
         model = self.model
-        ids = [x.ids for x in model.backend.encode_batch_fast(new, add_special_tokens=False)]
-        # A chunk with the prefix marker is what the library makes of the rest.
-        prefix = model.dummy_prefix
-        plain = [c[1:] if prefix and c.startswith(MARK) else c for c in new]
-        theirs = self.other.encode([c.replace(MARK, " ") for c in plain], num_threads=1)
-        # Of a lone marker nothing is left to encode: there the library's own id counts.
-        theirs = [[self.other.piece_to_id(MARK)] if c == MARK and prefix else t for c, t in zip(new, theirs, strict=True)]
         pieces = [p for p, _, _ in model.pieces]
         changed = []
-        for chunk, own, other in zip(new, ids, theirs, strict=True):
-            if own != other and (chunk.startswith(MARK) or not prefix):
-                self.unequal.add(chunk)
+        for chunk, own in zip(new, model.chunk_ids(new), strict=True):
             if "".join([pieces[i] for i in own]) != chunk:
                 changed.append((chunk, own))
             self.known[chunk] = array("i", own).tobytes()
@@ -172,24 +189,27 @@ class Encoder:
         back = model.decode([own for _, own in changed])
         for (chunk, _), text in zip(changed, back, strict=True):
             whole = chunk.replace(MARK, " ")
-            if text != (whole[1:] if prefix and whole.startswith(" ") else whole):
+            if text != (whole[1:] if model.dummy_prefix and whole.startswith(" ") else whole):
                 self.lossy.add(chunk)
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bool, bool]]:
-        """(ids as 32-bit numbers, parity, round trip) of each text."""
+        """(ids as 32-bit numbers, parity of the whole text, round trip) of each text."""
         parts = [self.model.chunks(self.model.normalise(t or "")) for t in texts]
         wanted = set().union(*parts)
         if new := wanted - self.known.keys():
             if len(self.known) + len(new) > CACHE:
-                self.known.clear()
-                self.unequal.clear()
-                self.lossy.clear()
-                new = wanted
-            self._learn(list(new))
-        unequal, lossy, find = self.unequal, self.lossy, self.known.__getitem__
-        return [
-            (b"".join(map(find, p)), not unequal or unequal.isdisjoint(p), not lossy or lossy.isdisjoint(p)) for p in parts
-        ]
+                self.before, self.known, new = self.known, {}, wanted
+                self.lossy &= self.before.keys()
+            again = new & self.before.keys()
+            self.known.update((c, self.before[c]) for c in again)
+            self._learn(list(new - again))
+        lossy, find = self.lossy, self.known.__getitem__
+        theirs = self.other.encode([t or "" for t in texts], num_threads=1)
+        out = []
+        for p, other in zip(parts, theirs, strict=True):
+            ids = b"".join(map(find, p))
+            out.append((ids, ids == array("i", other).tobytes(), not lossy or lossy.isdisjoint(p)))
+        return out
 
 
 _encoders: dict[bytes, Encoder] = {}
@@ -248,7 +268,7 @@ def encode_report(docs: DataFrame, model: bytes) -> DataFrame:
     """Encode every whole text and report ``doc_id, n_tokens, ids_sha256, parity, round_trip``.
 
     ids_sha256 hashes the ids as little-endian 32-bit numbers. parity: the
-    sentencepiece library gives the same ids. round_trip: the ids decode to
+    sentencepiece library gives the same ids for the whole raw text. round_trip: the ids decode to
     the text (as normalised). A null or empty text has no tokens and passes
     both. Repeated rows repeat; an empty table gives no rows.
     """

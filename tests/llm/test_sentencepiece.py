@@ -64,3 +64,30 @@ def test_tables(spark, model, odd_docs, no_docs):
     back = sp.decode(sp.encode(odd_docs, model), model)
     assert sorted(map(str, (r["text"] for r in back.collect()))) == sorted(map(str, (r["text"] for r in odd_docs.collect())))
     assert sp.encode_report(no_docs, model).count() == 0
+
+
+@needs_model
+@pytest.mark.parametrize("piece", ["<user>", "ab▁cd"])
+def test_user_defined_pieces(model, piece):
+    data = model + field(1, field(1, piece.encode()) + field(2, 0.0) + field(3, sp.USER_DEFINED))
+    theirs = sentencepiece.SentencePieceProcessor(model_proto=data)
+    texts = ["", "a <user>b <user><user> c", "<user>", "xab cdy ab  cd", "no such piece"]
+    found = sp.Encoder(data).encode(texts)
+    assert [np.frombuffer(ids, np.int32).tolist() for ids, _, _ in found] == theirs.encode(texts)
+    assert all(parity for _, parity, _ in found)
+
+
+@needs_model
+def test_parity_compares_whole_texts(model, monkeypatch):
+    encoder = sp.Encoder(model)
+    monkeypatch.setattr(encoder.model, "normalise", lambda text: "▁" + text.replace(" ", "▁").lower())
+    assert [parity for _, parity, _ in encoder.encode(["plain words", "Capital words"])] == [True, False]
+
+
+@needs_model
+def test_very_long_texts(spark, model):
+    from llm_rows import make
+
+    long = "some words of a very long text " * 60_000
+    found = sp.encode_report(make(spark, [(1, long, "en", "s"), (2, "x" * 200_000, "en", "s")]), model).collect()
+    assert all(r["parity"] and r["round_trip"] for r in found)
