@@ -27,6 +27,9 @@ ROLL_BYTES = 64 << 20
 PIECE = 1 << 16
 #: Payloads smaller than this many bytes are never revisits.
 LEAST_REVISIT = 0
+#: Payloads of more rows than this, and of more than one in HOT_SHARE rows, are hot.
+HOT_ROWS = 1_000
+HOT_SHARE = 100_000
 MANIFEST = "path string, records long"
 RECORD = (
     "archive string, position long, record_type string, record_id string, target_uri string, page_id long, "
@@ -122,8 +125,16 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) ->
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", "html").withColumn("digest", F.sha1(payload)).withColumn("size", F.octet_length(F.coalesce("html", F.lit(""))))
-    firsts = rows.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    named = rows.join(firsts, "digest", "left").withColumn("revisit", F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False)))
+    counted = rows.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    firsts = keep(counted.where("n > 1"), "warc-firsts")
+    hot = F.col("n") > F.greatest(F.lit(HOT_ROWS), F.lit(pages.count() // HOT_SHARE))
+    # At most HOT_SHARE payloads can be hot, so they are broadcast and their rows are dealt anywhere;
+    # the rows of any other payload are few, and meet by digest.
+    known = rows.join(F.broadcast(firsts.where(hot).select("digest", F.col("first").alias("hot_first"), F.lit(True).alias("hot"))), "digest", "left")
+    spread = F.when(F.col("hot"), F.concat(F.lit("~"), F.monotonically_increasing_id())).otherwise(F.col("digest"))
+    cold = firsts.where(~hot).select(F.col("digest").alias("key"), F.col("first").alias("cold_first"))
+    named = known.withColumn("key", spread).join(cold, "key", "left").withColumn("first", F.coalesce("hot_first", "cold_first"))
+    named = named.withColumn("revisit", F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False)))
     ready = named.select("page_id", "url", "html", "revisit", F.when(F.col("revisit"), F.col("first")).alias("refers_to"))
     return keep(ready.mapInPandas(_write(folder), MANIFEST), "warc-manifest")
 

@@ -82,3 +82,26 @@ def test_archives_roll(spark, tmp_path, monkeypatch):
     assert len(done) > 1 and done["records"].sum() == rows.count()
     back = w.read_archives(spark.createDataFrame(done))
     assert sorted(r["page_id"] for r in back.collect()) == list(range(20))
+
+
+def test_round_trip_equals_brute_force(spark, sf_dir, monkeypatch):
+    """Against plain Python over all pages, with copies, nulls and one payload of many rows."""
+    import base64
+    import hashlib
+
+    monkeypatch.setattr(w, "HOT_ROWS", 50)
+    rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()]
+    rows += [(10_000 + i, "u", "one hot page é") for i in range(300)] + [(20_000 + i, None, rows[i][2]) for i in range(5)]
+    rows += [(30_000, "v", None), (30_001, "v", "")]
+    first = {}
+    for i, _, html in rows:
+        first[html or ""] = min(i, first.get(html or "", i))
+    want = {}
+    for i, _, html in rows:
+        raw = (html or "").encode()
+        digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        lead = first[html or ""]
+        want[i] = (len(raw), digest, "response" if lead == i else "revisit", None if lead == i else lead)
+    found = w.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(found) == len(rows)
+    assert {r["page_id"]: tuple(r)[1:] for r in found} == want
