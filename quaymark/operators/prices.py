@@ -129,11 +129,12 @@ def snapshot_problems(quotes: DataFrame, expected: DataFrame) -> DataFrame:
     wanted = expected.agg(F.countDistinct("code").alias("wanted"))
     row = facts.join(F.broadcast(wanted))
     share = F.col("codes") / F.col("wanted")
-    checks = F.array(
-        F.struct(F.lit("single_date").alias("check"), (F.col("days") == 1).alias("ok"), F.col("days").cast("double").alias("value")),
-        F.struct(F.lit("positive_prices"), F.coalesce(F.col("bad"), F.lit(0)) == 0, F.coalesce(F.col("bad"), F.lit(0)).cast("double")),
-        F.struct(F.lit("coverage"), share >= 0.95, share),
-    )
+
+    def check(name: str, ok: Column, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("check"), F.coalesce(ok, F.lit(False)).alias("ok"), value.cast("double").alias("value"))
+
+    bad = F.coalesce(F.col("bad"), F.lit(0))
+    checks = F.array(check("single_date", F.col("days") == 1, F.col("days")), check("positive_prices", bad == 0, bad), check("coverage", share >= 0.95, share))
     return row.select(F.inline(checks))
 
 

@@ -56,19 +56,24 @@ def derive_bars(spark: SparkSession, sf_dir: str, key: str = "region") -> DataFr
 
 def load_bars(spark: SparkSession, path: str, codes: list[str] | None = None, start: str | None = None,
               end: str | None = None, lookback_days: int = 0) -> DataFrame:
-    """Bars of some codes and dates from Parquet; the filters reach the scan.
+    """Bars of some codes and dates from Parquet: see ``select_bars``."""
+    return select_bars(spark.read.parquet(path), codes, start, end, lookback_days)
 
-    ``lookback_days`` calendar days before ``start`` are read too, for warm-up.
+
+def select_bars(bars: DataFrame, codes: list[str] | None = None, start: str | None = None, end: str | None = None,
+                lookback_days: int = 0) -> DataFrame:
+    """Bars with clean codes and numbers, of some codes and dates; the dates' filters reach the scan.
+
+    ``lookback_days`` calendar days before ``start`` are read too, for
+    warm-up. Codes are compared in upper case and without blanks around them.
     """
-    bars = spark.read.parquet(path)
-    if codes is not None:
-        bars = bars.where(F.col("code").isin(codes))
     if start is not None:
         bars = bars.where(F.col("d") >= F.date_sub(F.lit(start).cast("date"), lookback_days))
     if end is not None:
         bars = bars.where(F.col("d") <= F.lit(end).cast("date"))
     numbers = [clean(F.col(c)).alias(c) for c in ("open", "high", "low", "close", "volume")]
-    return bars.select(F.upper(F.trim("code")).alias("code"), "d", *numbers)
+    rows = bars.select(F.upper(F.trim("code")).alias("code"), "d", *numbers)
+    return rows if codes is None else rows.where(F.col("code").isin([c.strip().upper() for c in codes]))
 
 
 def without(rows: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -77,11 +82,18 @@ def without(rows: DataFrame, excluded: DataFrame) -> DataFrame:
 
 
 def instruments(spark: SparkSession, path: str) -> DataFrame:
-    """A tab-separated list: ``code, list_date, end_date``; the first row of a code wins."""
-    rows = spark.read.csv(path, sep="\t", schema="code string, list_date date, end_date date")
-    rows = rows.withColumn("code", F.upper(F.trim("code"))).withColumn("seq", F.monotonically_increasing_id())
-    first = F.row_number().over(Window.partitionBy("code").orderBy("seq"))
-    return rows.withColumn("n", first).where("n = 1").drop("n", "seq")
+    """A tab-separated text: ``code, list_date, end_date``; the first row of a code wins."""
+    return parsed_instruments(spark.read.text(path).withColumn("line", F.monotonically_increasing_id()))
+
+
+def parsed_instruments(lines: DataFrame) -> DataFrame:
+    """``code, list_date, end_date`` from lines (value, line): the least line of a code counts; empty dates are NULL."""
+    parts = F.split("value", "\t")
+    rows = lines.select(
+        F.upper(F.trim(parts[0])).alias("code"), F.try_to_date(F.get(parts, F.lit(1))).alias("list_date"),
+        F.try_to_date(F.get(parts, F.lit(2))).alias("end_date"), "line",
+    )
+    return rows.groupBy("code").agg(*[F.min_by(c, "line").alias(c) for c in ("list_date", "end_date")])
 
 
 def first_present(rows: DataFrame, names: list[str]) -> Column:
