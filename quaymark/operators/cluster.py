@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaymark.functions import windows as w
+from quaymark.functions.lineage import cut_lineage
 
 
 def returns(bars: DataFrame) -> DataFrame:
@@ -29,60 +28,52 @@ def pair_correlation(rets: DataFrame, least: int = 120, fallback: float = 0.05)
     return both.select("code_a", "code_b", "n_overlap", F.coalesce(value, F.lit(fallback)).alias("corr"))
 
 
-def ward(distance: np.ndarray) -> list[tuple[int, int, float, int]]:
-    """Ward linkage by the Lance-Williams update: (a, b, height, size) of each merge, lesser ids first."""
-    n = len(distance)
-    d = distance.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    size, name, merges = np.ones(n), list(range(n)), []
-    alive = np.ones(n, bool)
-    for step in range(n - 1):
-        i, j = np.unravel_index(np.argmin(np.where(alive[:, None] & alive[None, :], d, np.inf)), d.shape)
-        i, j = min(i, j), max(i, j)
-        height = d[i, j]
-        merges.append((min(name[i], name[j]), max(name[i], name[j]), float(height), int(size[i] + size[j])))
-        other = alive.copy()
-        other[[i, j]] = False
-        t = size[i] + size[j] + size[other]
-        new = ((size[i] + size[other]) * d[i, other] ** 2 + (size[j] + size[other]) * d[j, other] ** 2 - size[other] * height**2) / t
-        d[i, other] = d[other, i] = np.sqrt(np.maximum(new, 0))
-        size[i] += size[j]
-        alive[j], name[i] = False, n + step
-    return merges
-
-
-def cut(merges: list[tuple[int, int, float, int]], n: int, height: float) -> list[int]:
-    """Cluster numbers of the n leaves, from 1 in order of their first leaf."""
-    parent = list(range(n + len(merges)))
-    for k, (a, b, h, _) in enumerate(merges):
-        if h <= height:
-            parent[a] = parent[b] = n + k
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    seen: dict[int, int] = {}
-    return [seen.setdefault(root(i), len(seen) + 1) for i in range(n)]
+def _merged(dist: DataFrame, ends: DataFrame, other: DataFrame) -> DataFrame:
+    """Distances (a, b, d) after the clusters on the left have merged by the Lance-Williams rule of Ward.
+
+    ends: a, root, n, h of each cluster, h the height of its merge or NULL; other: b, nb, the sizes on the right.
+    """
+    met = dist.join(ends, "a").join(other, "b")
+    sums = met.groupBy("root", "b").agg(
+        F.max("h").alias("h"), F.sum((F.col("n") + F.col("nb")) * F.col("d") * F.col("d")).alias("s"), F.sum("n").alias("n"), F.max("nb").alias("nb"), F.max("d").alias("d")
+    )
+    square = (F.col("s") - F.col("nb") * F.col("h") * F.col("h")) / (F.col("n") + F.col("nb"))
+    return sums.select(F.col("root").alias("a"), "b", F.when(F.col("h").isNull(), F.col("d")).otherwise(F.sqrt(F.greatest(square, F.lit(0.0)))).alias("d"))
 
 
 def ward_clusters(pairs: DataFrame, height: float = 0.8) -> DataFrame:
-    """``code, cluster`` by Ward linkage on 1 - corr.
+    """``code, cluster`` by Ward linkage on 1 - corr, cut at ``height``; clusters count from 1 by their least code.
 
-    The matrix of a pool of instruments is square in their number and goes to
-    one task; pools hold hundreds of names, not the rows of a table.
+    In each round all pairs of clusters that are nearest to each other merge, as far as the height allows:
+    Ward's distance to other clusters never falls by a merge, so this gives the
+    clusters of one merge at a time. The distances stay a table of pairs, and a round is joins and aggregations of it. Pairs
+    without a correlation count as 0.
     """
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        codes = sorted(set(g["code_a"]) | set(g["code_b"]))
-        at = {c: i for i, c in enumerate(codes)}
-        d = np.ones((len(codes), len(codes)))
-        for a, b, c in zip(g["code_a"], g["code_b"], g["corr"], strict=True):
-            d[at[a], at[b]] = d[at[b], at[a]] = 1 - c
-        return pd.DataFrame({"code": codes, "cluster": cut(ward(d), len(codes), height)})
-
-    return pairs.groupBy(F.lit(1).alias("pool")).applyInPandas(lambda g: run(g), "code string, cluster int")
+    both = pairs.select(F.col("code_a").alias("a"), F.col("code_b").alias("b"), (1 - F.col("corr")).alias("d"))
+    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    codes = both.select(F.col("a").alias("code")).distinct()
+    grid = codes.select(F.col("code").alias("a")).join(codes.select(F.col("code").alias("b")), F.col("a") != F.col("b"))
+    dist = cut_lineage(grid.join(both, ["a", "b"], "left").select("a", "b", F.coalesce("d", F.lit(1.0)).alias("d")))
+    members = cut_lineage(codes.select("code", F.col("code").alias("c")))
+    while True:
+        near = dist.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", "m.b", "m.d")
+        back = near.select(F.col("a").alias("b"), F.col("b").alias("a2"))
+        merges = near.join(back, "b").where((F.col("a") == F.col("a2")) & (F.col("a") < F.col("b")) & (F.col("d") <= height))
+        merges = cut_lineage(merges.select(F.col("a").alias("root"), F.col("b").alias("gone"), F.col("d").alias("h")))
+        if merges.isEmpty():
+            break
+        ends = merges.select(F.col("root").alias("a"), "root", "h").unionByName(merges.select(F.col("gone").alias("a"), "root", "h"))
+        sizes = members.groupBy(F.col("c").alias("a")).agg(F.count("*").cast("double").alias("n"))
+        now = sizes.join(ends, "a", "left").select("a", F.coalesce("root", "a").alias("root"), "n", "h")
+        grown = now.groupBy("root").agg(F.sum("n").alias("nb"))
+        roots = now.select(F.col("a").alias("b"), F.col("root").alias("rb"))
+        outer = dist.join(now.select("a", F.col("root").alias("ra")), "a").join(roots, "b").where("ra <> rb").select("a", "b", "d")
+        left = _merged(outer, now, now.select(F.col("a").alias("b"), F.col("n").alias("nb")))
+        turned = left.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")
+        dist = cut_lineage(_merged(turned, now, grown.select(F.col("root").alias("b"), "nb")))
+        members = cut_lineage(members.join(now.select(F.col("a").alias("c"), "root"), "c").select("code", F.col("root").alias("c")))
+    number = members.select("c").distinct().select("c", F.row_number().over(Window.orderBy("c")).alias("cluster"))  # one row a cluster
+    return members.join(number, "c").select("code", "cluster")
 
 
 def return_score(bars: DataFrame, days: int = 252) -> DataFrame:
@@ -123,22 +114,25 @@ def medoids(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def trim_clones(pairs: DataFrame, scores: DataFrame, limit: float = 0.70) -> DataFrame:
-    """Codes kept when each near clone of a better-scored kept code is dropped, best first; a pool in one task."""
-
-    def run(key: tuple, s: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        near = {}
-        for a, b, c in zip(p["code_a"], p["code_b"], p["corr"], strict=True):
-            if c > limit:
-                near.setdefault(a, set()).add(b)
-                near.setdefault(b, set()).add(a)
-        kept: list[str] = []
-        for code in s.sort_values(["score", "code"], ascending=[False, True])["code"]:
-            if not near.get(code, set()) & set(kept):
-                kept.append(code)
-        return pd.DataFrame({"code": kept, "rank": range(1, len(kept) + 1)})
-
-    one = F.lit(1)
-    return scores.withColumn("pool", one).groupBy("pool").cogroup(pairs.withColumn("pool", one).groupBy("pool")).applyInPandas(run, "code string, rank int")
+    """``code, rank`` of the codes kept when each near clone of a better-scored kept code is dropped, best first.
+
+    In each round the codes without a better one among their remaining clones stay, and their clones go, which is what
+    one code after another would give.
+    """
+    order = Window.orderBy(F.desc("score"), "code")  # one row a code
+    ranked = cut_lineage(scores.select("code", F.row_number().over(order).alias("rank")))
+    a, b = (ranked.select(F.col("code").alias(f"code_{x}"), F.col("rank").alias(f"rank_{x}")) for x in "ab")
+    near = pairs.where(F.col("corr") > limit).select("code_a", "code_b").join(a, "code_a").join(b, "code_b")
+    ahead = F.col("rank_a") < F.col("rank_b")
+    edges = cut_lineage(near.select(F.when(ahead, F.col("code_a")).otherwise(F.col("code_b")).alias("better"), F.when(ahead, F.col("code_b")).otherwise(F.col("code_a")).alias("code")).distinct())
+    live, kept = ranked, ranked.limit(0)
+    while not live.isEmpty():
+        blocked = edges.join(live.select(F.col("code").alias("better")), "better", "left_semi").select("code").distinct()
+        now = cut_lineage(live.join(blocked, "code", "left_anti"))
+        gone = edges.join(now.select(F.col("code").alias("better")), "better", "left_semi").select("code").distinct()
+        kept = kept.unionByName(now)
+        live = cut_lineage(live.join(now, "code", "left_anti").join(gone, "code", "left_anti"))
+    return kept.select("code", F.row_number().over(Window.orderBy("rank")).alias("rank"))
 
 
 def compare_pools(old: DataFrame, new: DataFrame) -> DataFrame:

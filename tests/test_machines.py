@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from quaymark.operators import cluster, labels, machines
+from quaymark.operators import labels, machines
 
 
 def masks(n, *on):
@@ -74,11 +74,3 @@ def test_turnover_is_paid_on_the_bar_of_the_target():
     close = np.full(5, 10.0)
     _, weight, equity = machines.rule_trades(close, masks(5, 0), masks(5), masks(5), cost=0.01)
     assert weight.tolist() == [0, 0, 1, 1, 1] and equity.tolist() == pytest.approx([1, 0.99, 0.99, 0.99, 0.99])
-
-
-def test_ward_cut():
-    d = np.array([[0, 0.1, 0.9], [0.1, 0, 0.8], [0.9, 0.8, 0]])
-    merges = cluster.ward(d)
-    assert merges[0][:2] == (0, 1)
-    assert cluster.cut(merges, 3, 0.5) == [1, 1, 2]
-    assert merges[1][2] == pytest.approx(np.sqrt((2 * 0.81 + 2 * 0.64 - 0.01) / 3))
