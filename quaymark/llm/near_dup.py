@@ -21,8 +21,8 @@ pair whose exact weighted Jaccard similarity is at least ``threshold``. Groups
 are the connected components of links and of exact copies.
 
 Buckets are never expanded into all pairs. First each text of a bucket is
-compared with the bucket's least member. Where the components of those links
-leave a bucket with several components, the weight S of each text's shingles
+compared with the bucket's least member, which is then done. Where the others of a bucket
+are in several components of those links, the weight S of each text's shingles
 that any other such text has is counted: a pair's similarity is at most
 m / (W + W' - m) with m the lesser S and W, W' the total weights. The member
 of the largest S / W is the second centre of comparison, such a member outside
@@ -249,7 +249,7 @@ def links(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFram
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).join(sizes, "a")
     left = left.select("a", "ta", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    joined = dealt.join(right, "b").join(left, ["a", "part"]).select("a", "b", "ta", "tb")
+    joined = dealt.join(right.hint("merge"), "b").join(left.hint("merge"), ["a", "part"]).select("a", "b", "ta", "tb")
     return joined.mapInPandas(_verify(idf, threshold), "a long, b long")
 
 
@@ -298,7 +298,10 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, threshold: float) -> DataFrame:
-    """Each row's ``id, real, rep, label, n_links``: own id, class, group and links of the class."""
+    """Each row's ``id, real, rep, label, n_links``: own id, class, group and links of the class.
+
+    Joins of tables that grow with the corpus are merge joins at every size, so a small run shows what a large one does.
+    """
     spark = docs.sparkSession
     base = docs.select(own_id().alias("id"), "text", F.col("doc_id").isNotNull().alias("real"))
     idf = spark.sparkContext.broadcast(shingle_idf(base))
@@ -310,7 +313,7 @@ def _grouped(docs: DataFrame, threshold: float) -> DataFrame:
     )
     classes = signed.groupBy("hi", "lo").agg(F.min("id").alias("rep"))
     chosen = (
-        signed.join(classes.select("hi", "lo", F.col("rep").alias("id")), ["hi", "lo", "id"], "left_semi")
+        signed.join(classes.select("hi", "lo", F.col("rep").alias("id")).hint("merge"), ["hi", "lo", "id"], "left_semi")
         .dropDuplicates(["hi", "lo", "id"])
     )
     members = keep(
@@ -320,17 +323,18 @@ def _grouped(docs: DataFrame, threshold: float) -> DataFrame:
         F.min(F.struct("id", "w")).alias("least"), F.max("id").alias("most")
     ).where("least.id <> most")
     shared = keep(
-        members.join(buckets, ["band", "key"]).select("band", "key", "id", "w", F.col("least.id").alias("a"), F.col("least.w").alias("wa")),
+        members.join(buckets.hint("merge"), ["band", "key"]).select("band", "key", "id", "w", F.col("least.id").alias("a"), F.col("least.w").alias("wa")),
         "shared",
     )
     wanted = shared.select("id").distinct()
-    texts = base.select("id", "text").join(wanted, "id", "left_semi").dropDuplicates(["id", "text"])
+    texts = base.select("id", "text").join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id", "text"])
     texts = keep(texts, "texts")
     close = F.least("w", "wa") >= F.lit(threshold * 0.999) * F.greatest("w", "wa")
     stars = keep(shared.where((F.col("id") != F.col("a")) & close).select("a", F.col("id").alias("b")).distinct(), "stars")
     found = keep(links(stars, texts, idf, threshold), "links")
     labels = components(found)
-    mixed = keep(_mixed(shared, labels), "mixed")
+    # The least member has met all others of its bucket: what is left of two is done.
+    mixed = keep(_mixed(shared.where(F.col("id") != F.col("a")), labels), "mixed")
     if not mixed.isEmpty():
         support = keep(_support(texts.join(mixed.select("id").distinct(), "id", "left_semi"), idf), "support")
         done = stars
@@ -352,7 +356,7 @@ def _grouped(docs: DataFrame, threshold: float) -> DataFrame:
         classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(ends, "rep", "left")
         .select("hi", "lo", "rep", F.coalesce("label", "rep").alias("label"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     )
-    return signed.join(grouped, ["hi", "lo"]).select("id", "real", "rep", "label", "n_links")
+    return signed.join(grouped.hint("merge"), ["hi", "lo"]).select("id", "real", "rep", "label", "n_links")
 
 
 def _same_id(signed: DataFrame) -> DataFrame:
