@@ -174,3 +174,15 @@ def name_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     for word in ("Treasury", "Gold", "MONEY"):
         names = names.unionByName(parts.select(F.concat_ws(" ", F.lit(word), "p_brand").alias("name")))
     return names.distinct().select("name", cluster.domain(F.col("name")).alias("domain"))
+
+
+@query(
+    "code:s kind:s",
+    """f AS (SELECT 'N' || n_nationkey AS code, CASE WHEN n_regionkey < 3 THEN 'fund' ELSE 'note' END AS kind, DATE '1995-01-01' + CAST(n_nationkey * 30 AS INT) AS ld, n_nationkey AS k FROM nation),
+    final AS (SELECT code, kind FROM f WHERE k IN (3, 24) OR (kind = 'fund' AND ld <= DATE '1996-06-01' AND k % 5 <> 1))""",
+)
+def fund_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation")
+    code = F.concat(F.lit("N"), "n_nationkey").alias("code")
+    funds = nations.select(F.concat(F.lit(" n"), "n_nationkey").alias("code"), F.when(F.col("n_regionkey") < 3, "fund").otherwise("note").alias("kind"), F.date_add(F.lit("1995-01-01").cast("date"), (F.col("n_nationkey") * 30).cast("int")).alias("list_date"))
+    return source.fund_universe(funds, ["fund"], "1996-06-01", nations.where("n_nationkey % 5 = 1").select(code), nations.where("n_nationkey in (3, 24)").select(code))

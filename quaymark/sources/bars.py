@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -136,3 +141,57 @@ def snapshot_bars(quotes: DataFrame) -> DataFrame:
         F.least(low, opened, close).alias("low"), close.alias("close"), F.coalesce("volume", F.lit(0.0)).alias("volume"),
         halted.alias("halted"),
     )
+
+
+def feature_series(spark: SparkSession, path: str) -> DataFrame:
+    """``path, position, value`` of binary feature files: 32-bit floats, the first of them the position of the second."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                values = np.frombuffer(content, "<f4")
+                if len(values) > 1:
+                    at = int(values[0]) + np.arange(len(values) - 1)
+                    yield pd.DataFrame({"path": name, "position": at, "value": values[1:].astype(float)})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, position long, value double").withColumn("value", clean(F.col("value")))
+
+
+def read_csv(spark: SparkSession, path: str, required: list[str] | None = None, encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1")) -> DataFrame:
+    """A CSV with a header, in the first encoding that decodes all its names and values; ``required`` columns must be there."""
+    for encoding in encodings:
+        rows = spark.read.option("header", True).option("encoding", encoding).csv(path)
+        odd = F.lit(False)
+        for c in rows.columns:
+            odd = odd | F.coalesce(F.col(f"`{c}`").contains("\ufffd"), F.lit(False))
+        if not any("\ufffd" in c for c in rows.columns) and rows.where(odd).isEmpty():
+            break
+    missing = [c for c in required or [] if c not in rows.columns]
+    if missing:
+        raise ValueError(f"{path} lacks {', '.join(missing)}")
+    return rows
+
+
+def read_tables(spark: SparkSession, folder: str, columns: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """Several CSVs of a folder by name, each with the columns it must have."""
+    return {name: read_csv(spark, f"{folder}/{name}.csv", required) for name, required in columns.items()}
+
+
+def read_config(spark: SparkSession, path: str, defaults: dict) -> dict:
+    """A JSON object from a file, over ``defaults``; unknown keys are an error."""
+    text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+    found = json.loads(text) if text.strip() else {}
+    unknown = sorted(set(found) - set(defaults))
+    if unknown:
+        raise ValueError(f"unknown settings: {', '.join(unknown)}")
+    return defaults | found
+
+
+def fund_universe(funds: DataFrame, kinds: list[str], since: str, excluded: DataFrame, kept: DataFrame) -> DataFrame:
+    """Funds (code, name, kind, list_date) of some kinds listed by a day and not excluded; codes in ``kept`` stay in any case."""
+    clean_funds = funds.withColumn("code", F.upper(F.trim("code"))).where("code <> ''")
+    passed = F.col("kind").isin(kinds) & (F.col("list_date") <= F.lit(since).cast("date"))
+    drop, always = excluded.select("code", F.lit(True).alias("_out")).distinct(), kept.select("code", F.lit(True).alias("_in")).distinct()
+    joined = clean_funds.join(drop, "code", "left").join(always, "code", "left")
+    return joined.where(F.col("_in").isNotNull() | (F.coalesce(passed, F.lit(False)) & F.col("_out").isNull())).drop("_in", "_out")

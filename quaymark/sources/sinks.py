@@ -33,3 +33,18 @@ def backfill(ledger: DataFrame, found: DataFrame, keys: list[str], values: list[
 def semi_text(lines: DataFrame, codes: DataFrame) -> DataFrame:
     """Lines of a tab-separated text whose first field is one of ``codes``."""
     return lines.withColumn("code", F.upper(F.trim(F.split("value", "\t")[0]))).join(codes.select("code").distinct(), "code", "left_semi").select("value")
+
+
+def merge_latest(batches: list[DataFrame], keys: list[str], sequence: str) -> DataFrame:
+    """The rows of all batches, of each key that of the greatest ``sequence``; columns that a batch lacks are NULL."""
+    rows = batches[0]
+    for batch in batches[1:]:
+        rows = rows.unionByName(batch, allowMissingColumns=True)
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(sequence)))
+    return rows.withColumn("_n", n).where("_n = 1").drop("_n")
+
+
+def export_mapping(codes: DataFrame, extra: DataFrame, path: str, names: dict[str, str]) -> None:
+    """Write a slim table of codes with columns of ``extra`` under new names beside it, in order of the codes."""
+    joined = codes.select("code").distinct().join(extra.select("code", *names), "code", "left")
+    joined.select("code", *[F.coalesce(F.col(old).cast("string"), F.lit("")).alias(new) for old, new in names.items()]).orderBy("code").write.mode("overwrite").option("header", True).csv(path)
