@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaymark.operators import features, ledger, machines
+from quaymark.operators import features, ledger, machines, scenario
 from quaymark.plans.shape import BY, fold_sql, mean_sql, panels_sql, query
 from quaymark.plans.signal_queries import EDGE, MACHINE, REG, RULES, _regimes, _rules, _signal_rows
 from quaymark.plans.source_queries import QUIET
@@ -117,3 +117,13 @@ def buy_price_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def trained_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.policies(_regimes(spark, sf_dir).select("code", "d", "close", F.col("raw").alias("label")), "1999-01-01")
+
+
+@query("code:s move:i close:f buy:i sell:i")
+def next_close_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scenario.next_closes(derive_bars(spark, sf_dir, "nation"))
+
+
+@query("code:s close:f buy_price:f sell_price:f")
+def next_trigger_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scenario.trigger_prices(derive_bars(spark, sf_dir, "nation"))
