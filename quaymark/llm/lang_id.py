@@ -148,7 +148,8 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP) -
         for texts in batches:
             yield pd.DataFrame([ranker.predict(x) for x in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("_found", predict("text")).select("*", "_found.lang_pred", "_found.score").drop("_found")
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    return docs.select(row, predict("text").alias("found")).select("row.*", "found.lang_pred", "found.score")
 
 
 def held_out(doc_id) -> F.Column:

@@ -1,13 +1,17 @@
 from __future__ import annotations
 
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quaymark.llm import lang_id as l
 
+from llm_rows import make, words
+
 
 def grams(text):
     letters = "".join(c.lower()[0] if c.isalpha() else " " for c in text or "")
@@ -67,3 +71,13 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert l.language_of_documents(no_docs).count() == 0
     assert l.Ranker({}).predict("word") == ("und", 0.0)
     assert np.all(np.diff(l.top_ngrams("aa bb cc", 2).astype(float)) != 0)
+
+
+def test_clashing_columns_and_very_long_texts(spark):
+    rng = random.Random(12)
+    train = make(spark, [(1, words(rng, 300, "abcdef"), "aa", "s"), (2, words(rng, 300, "uvwxyz"), "zz", "s")])
+    profiles = l.learn_profiles(train)
+    docs = make(spark, [(3, words(rng, 400_000, "abcdef"), "x", "s"), (4, "u" * 2_000_000, "x", "s"), (5, "", "x", "s")])
+    docs = docs.withColumns({"_found": F.lit(1), "found": F.lit(2), "row": F.lit(3)})
+    rows = {r["doc_id"]: r for r in l.identify(docs, profiles).collect()}
+    assert [rows[i]["lang_pred"] for i in (3, 4, 5)] == ["aa", "zz", "und"] and rows[3]["_found"] == 1 and rows[3]["row"] == 3

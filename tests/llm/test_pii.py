@@ -147,3 +147,9 @@ def test_no_python_on_the_main_path(spark, sf_dir):
 def test_luhn(spark, number, ok):
     got = base(number)
     assert ok is None or bool(got) == ok
+
+
+def test_a_long_line_with_many_values(spark):
+    line = " ".join(f"user{i}@host{i}.org 10.0.{i % 250}.{i % 200} word{'abcdefghij'[i % 10]}" for i in range(1500))
+    found = pii.find_pii(make(spark, [(1, line, "en", "s"), (2, "x" * 500_000, "en", "s")])).collect()
+    assert {r["doc_id"]: (r["n_email"], r["n_ip"]) for r in found} == {1: (1500, 1500), 2: (0, 0)}
