@@ -38,7 +38,7 @@ def walked(values):
 
 @pytest.mark.parametrize(
     "values",
-    [[3.0, 1.0, 1.0, 0.48], [100.0, 10.03, 10.5, 105.0], [0.441, 1.191], [1.924, 0.626], [2.0, None, 1.04], [5.0], [2.0, 2.1, 2.2]],
+    [[60.0, 20.0, 20.2, 9.9], [210.0, 21.2, 20.7, 206.0], [12.0, 36.8], [81.0, 26.4], [44.0, None, 21.6], [7.0], [31.0, 33.0, 30.5]],
 )
 def test_factor_equals_walk(spark, values):
     found = [r["factor"] for r in prices.split_steps(bars(spark, values)).orderBy("d").collect()]
@@ -47,16 +47,16 @@ def test_factor_equals_walk(spark, values):
 
 
 def test_two_round_splits_compound(spark):
-    assert closes(prices.adjust(bars(spark, [3.0, 1.0, 1.0, 0.48])))[0] == pytest.approx(0.5)
+    assert closes(prices.adjust(bars(spark, [60.0, 20.0, 20.2, 9.9])))[0] == pytest.approx(10.0)
 
 
 def test_open_ratio_wins(spark):
-    found = prices.split_steps(bars(spark, [3.0, 1.56], [1.867, 1.0])).orderBy("d").collect()
+    found = prices.split_steps(bars(spark, [90.0, 47.0], [91.0, 30.5])).orderBy("d").collect()
     assert found[1]["step"] == pytest.approx(1 / 3)
 
 
 def test_second_pass_changes_nothing(spark):
-    once = prices.adjust(bars(spark, [1.924, 0.626]))
+    once = prices.adjust(bars(spark, [81.0, 26.4]))
     assert closes(prices.adjust(once)) == pytest.approx(closes(once))
 
 
