@@ -156,7 +156,7 @@ def instrument_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The greedy cooldown as a recursion over each code's kept bars.
 @query(
     "code:s d:d bar:i",
-    f"""RECURSIVE {EDGE}, sig AS (SELECT code, d, bar FROM masks WHERE m_edge),
+    f"""{EDGE}, sig AS (SELECT code, d, bar FROM masks WHERE m_edge),
     kept(code, bar) AS (SELECT code, min(bar) FROM sig GROUP BY code
       UNION ALL SELECT k.code, (SELECT min(s.bar) FROM sig s WHERE s.code = k.code AND s.bar >= k.bar + 10) FROM kept k
       WHERE (SELECT min(s.bar) FROM sig s WHERE s.code = k.code AND s.bar >= k.bar + 10) IS NOT NULL),
