@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, html_text, lang_id, near_dup, packing, pii, quality, secrets, sentencepiece_backend, warc
+from . import ann, html_text, lang_id, near_dup, packing, pii, quality, secrets, sentencepiece_backend, substrings, warc
 from .common import small_batches, table
 
 #: The tokenizer model to encode with; its path is a parameter, the file is no part of this repository.
@@ -55,6 +55,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_recompressed_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Query] = {
         op8_sentencepiece_encoding,
         op9_consensus_main_text,
         op10_secret_scan,
+        op11_recompressed_substrings,
         pipeline,
     )
 }
