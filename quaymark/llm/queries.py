@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, html_text, lang_id, near_dup, packing, pii, quality, secrets, sentencepiece_backend, substrings, warc
+from . import ann, html_text, lang_id, near_dup, packing, pii, quality, secrets, sentencepiece_backend, spelling, substrings, warc
 from .common import small_batches, table
 
 #: The tokenizer model to encode with; its path is a parameter, the file is no part of this repository.
@@ -59,6 +59,10 @@ def op11_recompressed_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op12_anagram_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,6 +96,7 @@ QUERIES: dict[str, Query] = {
         op9_consensus_main_text,
         op10_secret_scan,
         op11_recompressed_substrings,
+        op12_anagram_variants,
         pipeline,
     )
 }
