@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, html_text, lang_id, near_dup, packing, pii, quality, secrets, sentencepiece_backend, spelling, substrings, warc
+from . import ann, conversation_trie, html_text, lang_id, near_dup, packing, pii, quality, secrets, sentencepiece_backend, spelling, substrings, warc
 from .common import small_batches, table
 
 #: The tokenizer model to encode with; its path is a parameter, the file is no part of this repository.
@@ -63,6 +63,10 @@ def op12_anagram_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,6 +101,7 @@ QUERIES: dict[str, Query] = {
         op10_secret_scan,
         op11_recompressed_substrings,
         op12_anagram_variants,
+        op13_conversation_trie,
         pipeline,
     )
 }
