@@ -10,7 +10,7 @@ from quaymark.operators.runs import with_run
 
 
 def regime_features(bars: DataFrame) -> DataFrame:
-    """Averages, priors, 60-bar band and range position, and the volatility percentile."""
+    """Averages, priors, 60-bar band and range position, the volatility percentile and the directional moves."""
     r = F.log("close") - F.lag(F.log("close")).over(w.by_code())
     rows = bars.withColumns(
         {
@@ -22,23 +22,71 @@ def regime_features(bars: DataFrame) -> DataFrame:
     span = w.highest("close", 20) - w.lowest("close", 20)
     rows = rows.withColumn("pos20", F.when(span > 0, (F.col("close") - w.lowest("close", 20)) / span))
     rows = rows.withColumn("rv20", w.realized_vol("r", 20))
-    return rows.withColumn("vol_pct", w.trailing_percentile("rv20", 120, 60))
+    return directional(rows.withColumn("vol_pct", w.trailing_percentile("rv20", 120, 60)))
 
 
-def raw_regime(rows: DataFrame) -> DataFrame:
-    """Add ``raw``: up, down or range from the stack of averages and priors; both or neither is range."""
-    c, m20, m60, p20, p60 = (F.col(x) for x in ("close", "m20", "m60", "p20", "p60"))
-    hug = F.abs(m20 - m60) / c < 0.02
-    chop = ((F.col("band") < 0.22) & (F.abs(p60) < 0.10)) | (hug & (F.abs(p60) < 0.12))
-    up = ((m20 > m60) & (c > m20) & ((p60 >= 0.03) | (p20 >= 0.03))) | (
-        (c > m20) & (p20 >= 0.06) & ((m20 > m60) | (p60 <= -0.08) | (p60 >= 0.08))
-    )
-    down = ((m20 < m60) & (c < m20) & ((p60 <= -0.03) | (p20 <= -0.03))) | (
-        (c < m20) & (p20 <= -0.06) & ((m20 < m60) | (p60 >= 0.08) | (p60 <= -0.08))
-    )
-    yes = F.lit(False)
-    up, down, chop = (F.coalesce(x, yes) for x in (up, down, chop))
-    label = F.when(chop | (up & down), "range").when(up, "up").when(down, "down").otherwise("range")
+def directional(bars: DataFrame, n: int = 14, least: int = 7) -> DataFrame:
+    """Add ``plus_di, minus_di, adx``: means over ``n`` bars of the upward and downward moves in units of the true range, and of how far they differ."""
+    rise = F.col("high") - F.lag("high").over(w.by_code())
+    fall = F.lag("low").over(w.by_code()) - F.col("low")
+    rows = bars.withColumns({"_tr": w.true_range(), "_rise": rise, "_fall": fall})
+    moves = {"_up": F.when((F.col("_rise") > F.col("_fall")) & (F.col("_rise") > 0), F.col("_rise")).otherwise(0.0), "_down": F.when((F.col("_fall") > F.col("_rise")) & (F.col("_fall") > 0), F.col("_fall")).otherwise(0.0)}
+    rows = rows.withColumns(moves)
+    span = F.nullif(w.mean("_tr", n, least), F.lit(0.0))
+    rows = rows.withColumns({"plus_di": 100 * w.mean("_up", n, least) / span, "minus_di": 100 * w.mean("_down", n, least) / span})
+    p, m = F.col("plus_di"), F.col("minus_di")
+    rows = rows.withColumn("_dx", F.coalesce(100 * F.abs(p - m) / F.nullif(p + m, F.lit(0.0)), F.lit(0.0)))
+    return rows.withColumn("adx", w.mean("_dx", n, least)).drop("_tr", "_rise", "_fall", "_up", "_down", "_dx")
+
+
+def _either(up: Column, down: Column) -> Column:
+    """up or down where only one of them holds, else range; unknown does not hold."""
+    up, down = F.coalesce(up, F.lit(False)), F.coalesce(down, F.lit(False))
+    return F.when(up & ~down, "up").when(down & ~up, "down").otherwise("range")
+
+
+def raw_regime(rows: DataFrame, kind: str = "stack") -> DataFrame:
+    """Add ``raw``: up, down or range from the stack of the means and the returns over 20 and 60 bars.
+
+    ``stack`` takes a trend in order with one of the returns, or a turn by a strong short return; ``soft`` asks for the close beyond both
+    means; ``strict`` for clearer returns, a turn only near the means and on a bar that isn't falling; ``cross`` is range while
+    the means are close, unless the returns are strong; ``band`` goes by the longer return alone; ``adx`` by the directional moves,
+    where they are weak by the stack. Without both means it is range (``band`` and ``adx`` need none).
+    """
+    zero = F.lit(0.0)
+    c, m20, m60 = F.col("close"), F.col("m20"), F.col("m60")
+    p20, p60 = F.coalesce("p20", zero), F.coalesce("p60", zero)
+    bull, bear, over, under = m20 > m60, m20 < m60, c > m20, c < m20
+    if kind == "stack":
+        turn_up = over & (p20 >= 0.06) & (bull | (p60 <= -0.08) | (p60 >= 0.08))
+        up = (bull & over & ((p60 >= 0.03) | (p20 >= 0.03))) | turn_up
+        label = _either(m60.isNotNull() & up, m60.isNotNull() & bear & under & ((p60 <= -0.03) | (p20 <= -0.03)))
+    elif kind == "soft":
+        label = _either(bull & over & (c >= m60) & ((p60 >= 0.02) | (p20 >= 0.02)), bear & under & (c <= m60) & ((p60 <= -0.02) | (p20 <= -0.02)))
+    elif kind == "strict":
+        rising = F.coalesce(c >= F.lag("close").over(w.by_code()), F.lit(True))
+        washed = (p60 <= -0.08) & (m20 / m60 - 1 > -0.05) & rising
+        up = (bull & over & (p60 >= 0.06) & (p20 >= 0)) | (over & (p20 >= 0.06) & (bull | washed | (p60 >= 0.08))) | (bull & over & (p60 >= 0.18) & (p20 >= -0.08))
+        label = F.when(F.coalesce(m60.isNotNull() & up, F.lit(False)), "up").when(bear & under & (p60 <= -0.06) & (p20 <= 0), "down").otherwise("range")
+    elif kind == "cross":
+        strong_up, strong_down = over & ((p20 >= 0.04) | (p60 >= 0.06)), under & ((p20 <= -0.04) | (p60 <= -0.06))
+        hug = F.abs(m20 - m60) / c < 0.025
+        label = (
+            F.when(m60.isNull() | (hug & ~strong_up & ~strong_down), "range")
+            .when((bull & over & (c >= m60)) | strong_up, "up")
+            .when((bear & under & (c <= m60)) | strong_down, "down")
+            .otherwise("range")
+        )
+    elif kind == "band":
+        above = F.coalesce(over, F.lit(False))
+        flat = F.coalesce((F.col("band") < 0.22) & (F.abs(p60) < 0.10), F.lit(False))
+        label = F.when(flat, "range").when((p60 >= 0.05) & above, "up").when((p60 <= -0.05) & ~above, "down").otherwise("range")
+    elif kind == "adx":
+        plus, minus = F.coalesce("plus_di", zero), F.coalesce("minus_di", zero)
+        weak = _either(bull & (c >= m20) & ((p20 >= 0.02) | (p60 >= 0.03)), bear & (c <= m20) & ((p20 <= -0.02) | (p60 <= -0.03)))
+        label = F.when(F.coalesce("adx", zero) < 18, weak).otherwise(_either(plus > minus, minus > plus))
+    else:
+        raise ValueError(f"no rule {kind}")
     return rows.withColumn("raw", label)
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaymark import schemas
-from quaymark.functions import windows as w
 from quaymark.operators.machines import by_code, ewma_sigma
+from quaymark.operators.regimes import raw_regime
 from quaymark.operators.runs import majority
 
 
@@ -73,8 +73,8 @@ def mean20_states(raw: list[str], close: np.ndarray, m20: np.ndarray, m60: np.nd
     return out
 
 
-def mean60_states(raw: list[str], close: np.ndarray, m20: np.ndarray, m60: np.ndarray) -> list[str]:
-    """States that follow the order of the means: three bars to leave, two to enter, an up only with two closes above the short one.
+def mean60_states(raw: list[str], close: np.ndarray, m20: np.ndarray, m60: np.ndarray, enter: int = 2) -> list[str]:
+    """States that follow the order of the means: three bars to leave, ``enter`` to enter, an up only with as many closes above the short one.
 
     Up also ends after three closes under it or a 12 % fall, down after three above or a 4 % rebound.
     """
@@ -86,13 +86,13 @@ def mean60_states(raw: list[str], close: np.ndarray, m20: np.ndarray, m60: np.nd
         c, new = close[i], state
         if state == "up":
             fallen = peak.moved(c)
-            new = "down" if bear[i] >= 3 else "range" if under[i] >= 3 or fallen <= -0.12 or (label == "range" and bear[i] >= 2) else "up"
+            new = "down" if bear[i] >= 3 else "range" if under[i] >= 3 or fallen <= -0.12 or (label == "range" and bear[i] >= enter) else "up"
         elif state == "down":
             risen = trough.moved(c)
-            new = "up" if bull[i] >= 3 and over[i] >= 2 else "range" if over[i] >= 3 or risen >= 0.04 or (label == "range" and bull[i] >= 2) else "down"
-        elif label == "up" and bull[i] >= 2 and over[i] >= 2:
+            new = "up" if bull[i] >= 3 and over[i] >= enter else "range" if over[i] >= 3 or risen >= 0.04 or (label == "range" and bull[i] >= enter) else "down"
+        elif label == "up" and bull[i] >= enter and over[i] >= enter:
             new = "up"
-        elif label == "down" and bear[i] >= 2:
+        elif label == "down" and bear[i] >= enter:
             new = "down"
         if new != state:
             peak.at, trough.at = (c if new == "up" else np.nan), (c if new == "down" else np.nan)
@@ -109,36 +109,47 @@ def _states(rows: DataFrame, run: Callable) -> DataFrame:
     return by_code(rows.select("code", "d", "close", "m20", "m60", "raw"), labelled, schemas.LABELS)
 
 
-def stacked(rows: DataFrame, confirm: int = 3, smooth: int = 3) -> DataFrame:
+def smoothed(labels: DataFrame, n: int) -> DataFrame:
+    """The majority of the last ``n`` labels."""
+    return majority(labels, "label", n, "smooth").select("code", "d", F.col("smooth").alias("label"))
+
+
+def stacked(rows: DataFrame, kind: str = "stack", confirm: int = 3, smooth: int = 3) -> DataFrame:
     """Hysteresis on the short mean, then the majority of the last ``smooth`` labels."""
-    found = _states(rows, lambda raw, c, a, b: mean20_states(raw, c, a, b, confirm))
-    return majority(found, "label", smooth, "smooth").select("code", "d", F.col("smooth").alias("label"))
+    return smoothed(_states(raw_regime(rows, kind), lambda raw, c, a, b: mean20_states(raw, c, a, b, confirm)), smooth)
+
 
+def structured(rows: DataFrame, kind: str = "soft", enter: int = 3, smooth: int = 3) -> DataFrame:
+    """Hysteresis on the order of the means, then the majority."""
+    return smoothed(_states(raw_regime(rows, kind), lambda raw, c, a, b: mean60_states(raw, c, a, b, enter)), smooth)
 
-def momentum_bands(rows: DataFrame, enter: float = 0.10, leave: float = 0.05) -> DataFrame:
-    """Up from a 60-bar return of ``enter`` until one under ``leave``, down likewise: the last row outside the inner band decides."""
-    p = F.col("p60")
-    mark = F.when(p >= enter, "up").when(p <= -enter, "down").when(F.abs(p) < leave, "range")
-    # Between the bands a state stays, unless its own side was left.
-    last = F.last(mark, ignorenulls=True).over(w.so_far())
-    side = F.when((last == "up") & (p < leave), "range").when((last == "down") & (p > -leave), "range").otherwise(last)
-    return rows.withColumn("label", F.coalesce(side, F.lit("range"))).select("code", "d", "label")
 
+def momentum_bands(rows: DataFrame, smooth: int = 5) -> DataFrame:
+    """The side of the longer return and of the short mean, range in a narrow band, then the majority: no state is kept."""
+    return smoothed(raw_regime(rows, "band").select("code", "d", F.col("raw").alias("label")), smooth)
 
-def crosses(rows: DataFrame, hug: float = 0.025) -> DataFrame:
-    """The side of the means, range while they are within ``hug`` of the close."""
-    gap = (F.col("m20") - F.col("m60")) / F.col("close")
-    label = F.when(gap > hug, "up").when(gap < -hug, "down").otherwise("range")
-    return rows.select("code", "d", F.coalesce(label, F.lit("range")).alias("label"))
 
+def hybrid(rows: DataFrame) -> DataFrame:
+    """``stacked``, with trends of weak directional moves and small returns taken back, but for an up above the short mean that gains."""
+    zero = F.lit(0.0)
+    p20, p60 = F.coalesce("p20", zero), F.coalesce("p60", zero)
+    weak = (F.coalesce("adx", zero) < 15) & ~((F.abs(p60) >= 0.06) | (F.abs(p20) >= 0.04))
+    gains = F.coalesce(F.col("close") > F.col("m20"), F.lit(False)) & (p20 >= 0.02)
+    both = stacked(rows).join(rows.select("code", "d", weak.alias("weak"), gains.alias("gains")), ["code", "d"])
+    return both.select("code", "d", F.when(F.col("weak") & ~((F.col("label") == "up") & F.col("gains")), "range").otherwise(F.col("label")).alias("label"))
 
-#: Labelling methods by name, each from rows of code, d, close, m20, m60, p60, raw.
+
+#: Labelling methods by name, each from rows of ``regime_features``; mean20 and mean60 are the states without smoothing.
 METHODS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "stacked": stacked,
+    "structured": structured,
+    "strict": lambda rows: stacked(rows, "strict"),
+    "crosses": lambda rows: structured(rows, "cross"),
+    "adx_di": lambda rows: stacked(rows, "adx", 2),
+    "momentum_bands": momentum_bands,
+    "hybrid": hybrid,
     "mean20": lambda rows: _states(rows, mean20_states),
     "mean60": lambda rows: _states(rows, mean60_states),
-    "momentum_bands": momentum_bands,
-    "crosses": crosses,
 }
 
 

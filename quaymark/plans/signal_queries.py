@@ -282,15 +282,41 @@ def extreme_drop_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.extreme_drop(marked, rows.select(F.col("d").alias("as_of"), "code", "day_ret"), -0.03)
 
 
+def raw_sql(kind: str) -> str:
+    """The raw label of a row of ``fx``."""
+    bull, bear, over_, under = "m20 > m60", "m20 < m60", "close > m20", "close < m20"
+    if kind in ("stack", "soft"):
+        if kind == "stack":
+            up = f"{bull} AND {over_} AND (q60 >= 0.03 OR q20 >= 0.03) OR m60 IS NOT NULL AND {over_} AND q20 >= 0.06 AND ({bull} OR q60 <= -0.08 OR q60 >= 0.08)"
+            down = f"{bear} AND {under} AND (q60 <= -0.03 OR q20 <= -0.03)"
+        else:
+            up = f"{bull} AND {over_} AND close >= m60 AND (q60 >= 0.02 OR q20 >= 0.02)"
+            down = f"{bear} AND {under} AND close <= m60 AND (q60 <= -0.02 OR q20 <= -0.02)"
+        return f"CASE WHEN coalesce({up}, false) AND NOT coalesce({down}, false) THEN 'up' WHEN coalesce({down}, false) AND NOT coalesce({up}, false) THEN 'down' ELSE 'range' END"
+    if kind == "strict":
+        washed = "(q60 <= -0.08 AND m20 / m60 - 1 > -0.05 AND coalesce(close >= pc, true))"
+        up = f"{bull} AND {over_} AND q60 >= 0.06 AND q20 >= 0 OR m60 IS NOT NULL AND {over_} AND q20 >= 0.06 AND ({bull} OR {washed} OR q60 >= 0.08) OR {bull} AND {over_} AND q60 >= 0.18 AND q20 >= -0.08"
+        return f"CASE WHEN {up} THEN 'up' WHEN {bear} AND {under} AND q60 <= -0.06 AND q20 <= 0 THEN 'down' ELSE 'range' END"
+    if kind == "cross":
+        su, sd = f"({over_} AND (q20 >= 0.04 OR q60 >= 0.06))", f"({under} AND (q20 <= -0.04 OR q60 <= -0.06))"
+        return f"""CASE WHEN m60 IS NULL OR abs(m20 - m60) / close < 0.025 AND NOT {su} AND NOT {sd} THEN 'range' WHEN {bull} AND {over_} AND close >= m60 OR {su} THEN 'up'
+          WHEN {bear} AND {under} AND close <= m60 OR {sd} THEN 'down' ELSE 'range' END"""
+    if kind == "band":
+        return f"""CASE WHEN band < 0.22 AND abs(q60) < 0.10 THEN 'range' WHEN q60 >= 0.05 AND coalesce({over_}, false) THEN 'up' WHEN q60 <= -0.05 AND NOT coalesce({over_}, false) THEN 'down' ELSE 'range' END"""
+    return f"""CASE WHEN coalesce(adx, 0) < 18 THEN CASE WHEN {bull} AND close >= m20 AND (q20 >= 0.02 OR q60 >= 0.03) THEN 'up' WHEN {bear} AND close <= m20 AND (q20 <= -0.02 OR q60 <= -0.03) THEN 'down' ELSE 'range' END
+      WHEN coalesce(plus_di, 0) > coalesce(minus_di, 0) THEN 'up' WHEN coalesce(minus_di, 0) > coalesce(plus_di, 0) THEN 'down' ELSE 'range' END"""
+
+
 REG = f"""{BARS}, f0 AS (SELECT *, ln(close) - lag(ln(close)) {BY} AS r, {mean_sql('close', 20)} AS m20, {mean_sql('close', 60)} AS m60, {ratio_sql('close', 20)} AS p20,
       {ratio_sql('close', 60)} AS p60, CASE WHEN row_number() {BY} >= 60 THEN max(close) {over(60)} / min(close) {over(60)} - 1 END AS band FROM bars),
     f1 AS (SELECT *, CASE WHEN count(r) {over(20)} >= 20 THEN stddev_pop(r) {over(20)} * sqrt(252) END AS rv20 FROM f0),
     f2 AS (SELECT *, list(rv20) FILTER (WHERE rv20 IS NOT NULL) {over(120)} AS h FROM f1),
     f3 AS (SELECT *, CASE WHEN len(h) >= 60 AND rv20 IS NOT NULL THEN len(list_filter(h, lambda v: v <= rv20)) / len(h) END AS vol_pct FROM f2),
-    lb AS (SELECT *, coalesce((m20 > m60 AND close > m20 AND (p60 >= 0.03 OR p20 >= 0.03)) OR (close > m20 AND p20 >= 0.06 AND (m20 > m60 OR p60 <= -0.08 OR p60 >= 0.08)), false) AS up,
-      coalesce((m20 < m60 AND close < m20 AND (p60 <= -0.03 OR p20 <= -0.03)) OR (close < m20 AND p20 <= -0.06 AND (m20 < m60 OR p60 >= 0.08 OR p60 <= -0.08)), false) AS dn,
-      coalesce((band < 0.22 AND abs(p60) < 0.10) OR (abs(m20 - m60) / close < 0.02 AND abs(p60) < 0.12), false) AS chop FROM f3),
-    rw AS (SELECT *, CASE WHEN chop OR (up AND dn) THEN 'range' WHEN up THEN 'up' WHEN dn THEN 'down' ELSE 'range' END AS raw FROM lb)"""
+    f4 AS (SELECT *, coalesce(p20, 0) AS q20, coalesce(p60, 0) AS q60, lag(close) {BY} AS pc, high - lag(high) {BY} AS rise, lag(low) {BY} - low AS fall FROM f3),
+    f5 AS (SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr, CASE WHEN rise > fall AND rise > 0 THEN rise ELSE 0.0 END AS ud, CASE WHEN fall > rise AND fall > 0 THEN fall ELSE 0.0 END AS dd FROM f4),
+    f6 AS (SELECT *, 100 * {mean_sql('ud', 14, 7)} / nullif({mean_sql('tr', 14, 7)}, 0) AS plus_di, 100 * {mean_sql('dd', 14, 7)} / nullif({mean_sql('tr', 14, 7)}, 0) AS minus_di FROM f5),
+    f7 AS (SELECT *, coalesce(100 * abs(plus_di - minus_di) / nullif(plus_di + minus_di, 0), 0) AS dx FROM f6),
+    fx AS (SELECT *, {mean_sql('dx', 14, 7)} AS adx FROM f7), rw AS (SELECT *, {raw_sql('stack')} AS raw FROM fx)"""
 
 
 def _regimes(spark: SparkSession, sf_dir: str) -> DataFrame:

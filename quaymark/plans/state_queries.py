@@ -9,7 +9,7 @@ from quaymark.functions import windows as w
 from quaymark.operators import features, states
 from quaymark.plans.shape import BY, bars_sql, fold_sql, over, panels_sql, query
 from quaymark.plans.model_queries import EWMA
-from quaymark.plans.signal_queries import REG, SO_FAR, _regimes
+from quaymark.plans.signal_queries import REG, _regimes, raw_sql
 from quaymark.sources.bars import derive_bars
 
 OVER = "CASE WHEN coalesce(x.close > x.m20, false) THEN s.ov + 1 ELSE 0 END"
@@ -18,14 +18,14 @@ BULL, BEAR = "coalesce(x.m20 > x.m60, false)", "coalesce(x.m20 < x.m60, false)"
 PEAK, TROUGH = "greatest(coalesce(s.pk, x.close), x.close)", "least(coalesce(s.tr, x.close), x.close)"
 
 
-def mean20_sql(name: str, confirm: int) -> str:
+def mean20_sql(name: str, confirm: int, source: str = "rw") -> str:
     rises, falls = f"(x.raw = 'up' AND ({OVER} >= {confirm} OR {BULL}))", f"(x.raw = 'down' AND ({UNDER} >= {confirm} OR {BEAR}))"
     left_up = f"({UNDER} >= 2 OR x.close / {PEAK} - 1 <= -0.06 OR (x.raw = 'range' AND {UNDER} >= {confirm} + 1))"
     left_down = f"({OVER} >= 2 OR x.close / {TROUGH} - 1 >= 0.04 OR (x.raw = 'range' AND {OVER} >= {confirm}))"
     wait = "greatest(s.wt - 1, 0)"
     held = f"(coalesce(x.close > s.tr, false) OR ({wait} > 0 AND {UNDER} < greatest({confirm}, 3)))"
     return fold_sql(
-        name, "rw", "close, m20, m60, raw",
+        name, source, "close, m20, m60, raw",
         {"ov": "0", "un": "1", "wt": "0", "pk": "CAST(NULL AS DOUBLE)", "tr": "CAST(NULL AS DOUBLE)", "label": "'range'"},
         {
             "ov": OVER, "un": UNDER,
@@ -38,19 +38,42 @@ def mean20_sql(name: str, confirm: int) -> str:
 
 
 BULLS, BEARS = f"CASE WHEN {BULL} THEN s.bu + 1 ELSE 0 END", f"CASE WHEN {BEAR} THEN s.be + 1 ELSE 0 END"
-LEFT_UP = f"({UNDER} >= 3 OR x.close / {PEAK} - 1 <= -0.12 OR (x.raw = 'range' AND {BEARS} >= 2))"
-LEFT_DOWN = f"({OVER} >= 3 OR x.close / {TROUGH} - 1 >= 0.04 OR (x.raw = 'range' AND {BULLS} >= 2))"
-TO_UP, RISE, FALL = f"({BULLS} >= 3 AND {OVER} >= 2)", f"(x.raw = 'up' AND {BULLS} >= 2 AND {OVER} >= 2)", f"(x.raw = 'down' AND {BEARS} >= 2)"
-MEAN60 = fold_sql(
-    "m6", "rw", "close, m20, m60, raw",
-    {"ov": "0", "un": "1", "bu": "0", "be": "0", "pk": "CAST(NULL AS DOUBLE)", "tr": "CAST(NULL AS DOUBLE)", "label": "'range'"},
-    {
-        "ov": OVER, "un": UNDER, "bu": BULLS, "be": BEARS,
-        "pk": f"CASE s.label WHEN 'up' THEN CASE WHEN {BEARS} >= 3 OR {LEFT_UP} THEN NULL ELSE {PEAK} END WHEN 'down' THEN CASE WHEN {TO_UP} THEN x.close END ELSE CASE WHEN {RISE} THEN x.close END END",
-        "tr": f"CASE s.label WHEN 'up' THEN CASE WHEN {BEARS} >= 3 THEN x.close END WHEN 'down' THEN CASE WHEN {TO_UP} OR {LEFT_DOWN} THEN NULL ELSE {TROUGH} END ELSE CASE WHEN {RISE} THEN NULL WHEN {FALL} THEN x.close END END",
-        "label": f"CASE s.label WHEN 'up' THEN CASE WHEN {BEARS} >= 3 THEN 'down' WHEN {LEFT_UP} THEN 'range' ELSE 'up' END WHEN 'down' THEN CASE WHEN {TO_UP} THEN 'up' WHEN {LEFT_DOWN} THEN 'range' ELSE 'down' END ELSE CASE WHEN {RISE} THEN 'up' WHEN {FALL} THEN 'down' ELSE 'range' END END",
-    },
-)
+
+
+def mean60_sql(name: str, enter: int, source: str = "rw") -> str:
+    left_up = f"({UNDER} >= 3 OR x.close / {PEAK} - 1 <= -0.12 OR (x.raw = 'range' AND {BEARS} >= {enter}))"
+    left_down = f"({OVER} >= 3 OR x.close / {TROUGH} - 1 >= 0.04 OR (x.raw = 'range' AND {BULLS} >= {enter}))"
+    to_up, rise, fall = f"({BULLS} >= 3 AND {OVER} >= {enter})", f"(x.raw = 'up' AND {BULLS} >= {enter} AND {OVER} >= {enter})", f"(x.raw = 'down' AND {BEARS} >= {enter})"
+    return fold_sql(
+        name, source, "close, m20, m60, raw",
+        {"ov": "0", "un": "1", "bu": "0", "be": "0", "pk": "CAST(NULL AS DOUBLE)", "tr": "CAST(NULL AS DOUBLE)", "label": "'range'"},
+        {
+            "ov": OVER, "un": UNDER, "bu": BULLS, "be": BEARS,
+            "pk": f"CASE s.label WHEN 'up' THEN CASE WHEN {BEARS} >= 3 OR {left_up} THEN NULL ELSE {PEAK} END WHEN 'down' THEN CASE WHEN {to_up} THEN x.close END ELSE CASE WHEN {rise} THEN x.close END END",
+            "tr": f"CASE s.label WHEN 'up' THEN CASE WHEN {BEARS} >= 3 THEN x.close END WHEN 'down' THEN CASE WHEN {to_up} OR {left_down} THEN NULL ELSE {TROUGH} END ELSE CASE WHEN {rise} THEN NULL WHEN {fall} THEN x.close END END",
+            "label": f"CASE s.label WHEN 'up' THEN CASE WHEN {BEARS} >= 3 THEN 'down' WHEN {left_up} THEN 'range' ELSE 'up' END WHEN 'down' THEN CASE WHEN {to_up} THEN 'up' WHEN {left_down} THEN 'range' ELSE 'down' END ELSE CASE WHEN {rise} THEN 'up' WHEN {fall} THEN 'down' ELSE 'range' END END",
+        },
+    )
+
+
+def majority_sql(name: str, source: str, n: int = 3, label: str = "label") -> str:
+    """Table ``name``: code, d and the commonest of the last ``n`` labels, the first by name of those as common."""
+    return f"""{name}_h AS (SELECT code, d, list({label}) {over(n)} AS l FROM {source}),
+    {name} AS (SELECT code, d, (SELECT arg_max(x, n * 10 - ord) FROM (SELECT x, len(list_filter(l, lambda v: v = x)) AS n, ord FROM (VALUES ('down', 0), ('range', 1), ('up', 2)) t(x, ord))) AS label FROM {name}_h)"""
+
+
+def raws_sql(name: str, kind: str) -> str:
+    return f"{name} AS (SELECT code, d, close, m20, m60, {raw_sql(kind)} AS raw FROM fx)"
+
+
+STACKED = f"{mean20_sql('m3', 3)}, {majority_sql('stk', 'm3')}"
+STRUCTURED = f"{raws_sql('r_so', 'soft')}, {mean60_sql('so', 3, 'r_so')}, {majority_sql('soft', 'so')}"
+STRICT = f"{raws_sql('r_st', 'strict')}, {mean20_sql('st', 3, 'r_st')}, {majority_sql('strict', 'st')}"
+CROSSES = f"{raws_sql('r_cr', 'cross')}, {mean60_sql('crs', 3, 'r_cr')}, {majority_sql('crosses', 'crs')}"
+ADX = f"{raws_sql('r_ax', 'adx')}, {mean20_sql('ax', 2, 'r_ax')}, {majority_sql('adx_di', 'ax')}"
+BANDS = f"{raws_sql('r_ba', 'band')}, {majority_sql('bands', 'r_ba', 5, 'raw')}"
+HYBRID = f"""{STACKED}, hyb AS (SELECT s.code, s.d, CASE WHEN coalesce(adx, 0) < 15 AND abs(q60) < 0.06 AND abs(q20) < 0.04 AND NOT (label = 'up' AND coalesce(close > m20, false) AND q20 >= 0.02) THEN 'range' ELSE label END AS label
+      FROM stk s JOIN fx ON fx.code = s.code AND fx.d = s.d)"""
 LABEL = "code:s d:d label:s"
 
 
@@ -59,34 +82,51 @@ def mean20_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.labels_by(_regimes(spark, sf_dir), "mean20")
 
 
-@query(LABEL, f"{REG}, {MEAN60}, final AS (SELECT * FROM m6)")
+@query(LABEL, f"{REG}, {mean60_sql('m6', 2)}, final AS (SELECT * FROM m6)")
 def mean60_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.labels_by(_regimes(spark, sf_dir), "mean60")
 
 
-@query(
-    LABEL,
-    f"""{REG}, {mean20_sql('m3', 3)}, hl AS (SELECT *, list(label) {over(3)} AS l FROM m3),
-    final AS (SELECT code, d, (SELECT arg_max(x, n * 10 - ord) FROM (SELECT x, len(list_filter(l, lambda v: v = x)) AS n, ord FROM (VALUES ('down', 0), ('range', 1), ('up', 2)) t(x, ord))) AS label FROM hl)""",
-)
+@query(LABEL, f"{REG}, {STACKED}, final AS (SELECT * FROM stk)")
 def stacked_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.labels_by(_regimes(spark, sf_dir), "stacked")
 
 
-@query(
-    LABEL,
-    f"""{REG}, mk AS (SELECT *, last_value(CASE WHEN p60 >= 0.10 THEN 'up' WHEN p60 <= -0.10 THEN 'down' WHEN abs(p60) < 0.05 THEN 'range' END IGNORE NULLS) {SO_FAR} AS l FROM rw),
-    final AS (SELECT code, d, coalesce(CASE WHEN l = 'up' AND p60 < 0.05 THEN 'range' WHEN l = 'down' AND p60 > -0.05 THEN 'range' ELSE l END, 'range') AS label FROM mk)""",
-)
-def momentum_band_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return states.labels_by(_regimes(spark, sf_dir), "momentum_bands")
+@query(LABEL, f"{REG}, {STRUCTURED}, final AS (SELECT * FROM soft)")
+def structured_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return states.labels_by(_regimes(spark, sf_dir), "structured")
+
 
+@query(LABEL, f"{REG}, {STRICT}, final AS (SELECT * FROM strict)")
+def strict_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return states.labels_by(_regimes(spark, sf_dir), "strict")
 
-@query(LABEL, f"{REG}, final AS (SELECT code, d, coalesce(CASE WHEN (m20 - m60) / close > 0.025 THEN 'up' WHEN (m20 - m60) / close < -0.025 THEN 'down' END, 'range') AS label FROM rw)")
+
+@query(LABEL, f"{REG}, {CROSSES}, final AS (SELECT * FROM crosses)")
 def cross_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.labels_by(_regimes(spark, sf_dir), "crosses")
 
 
+@query(LABEL, f"{REG}, {ADX}, final AS (SELECT * FROM adx_di)")
+def directional_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return states.labels_by(_regimes(spark, sf_dir), "adx_di")
+
+
+@query(LABEL, f"{REG}, {BANDS}, final AS (SELECT * FROM bands)")
+def momentum_band_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return states.labels_by(_regimes(spark, sf_dir), "momentum_bands")
+
+
+@query(LABEL, f"{REG}, {HYBRID}, final AS (SELECT * FROM hyb)")
+def hybrid_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return states.labels_by(_regimes(spark, sf_dir), "hybrid")
+
+
+@query("code:s d:d plus_di:f minus_di:f adx:f", f"{REG}, final AS (SELECT * FROM fx)")
+def directional_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _regimes(spark, sf_dir)
+
+
 @query(
     "code:s bar:i match:i",
     f"""{REG}, b AS (SELECT *, row_number() {BY} AS bar, CASE WHEN m20 > m60 THEN 'up' ELSE 'other' END AS sd FROM rw),
