@@ -211,11 +211,17 @@ def full_fit(bars: DataFrame) -> DataFrame:
     )
 
 
-def quiet_discount(rows: DataFrame) -> DataFrame:
-    """Add ``quiet`` (calm and below a rising long path), ``qd_entry`` and ``qd_exit`` edges."""
-    quiet = (F.col("vol_state") == "calm") & (F.col("fig7_gap") < -0.05) & (F.col("fig8_g") > 0)
-    flagged = rows.withColumn("quiet", F.coalesce(quiet, F.lit(False)))
-    return flagged.withColumns({"qd_entry": w.rising("quiet"), "qd_exit": w.falling("quiet")})
+def quiet_discount(rows: DataFrame, anchor: DataFrame | None = None, gap: float = -0.12, calm: float = 0.30) -> DataFrame:
+    """Add ``qd_entry``, a level: far below the two-year path or at its lower rail, both long growths positive, five-day volatility low
+    among 120 days, a 20-day return no better than its risk asks for, and no upper rail touched.
+
+    ``rows`` have four panels and log returns; ``anchor`` (d, anchor_rv) defaults to each day's mean 20-day volatility.
+    """
+    rows = rows.withColumns({"rv5": w.realized_vol("r", 5), "rv": w.realized_vol("r", 20)})
+    rows = fair_need(rows.withColumn("vol5_pct", w.trailing_percentile("rv5", 120, 60)), daily_anchor(rows) if anchor is None else anchor)
+    low, hot = F.coalesce(F.col("fig7_gap") <= gap, F.lit(False)) | F.col("fig7_touch_lo"), F.col("fig9_touch_hi") | F.col("fig10_touch_hi")
+    on = low & (F.col("fig7_g") > 0) & (F.col("fig8_g") > 0) & (F.col("vol5_pct") <= calm) & (F.col("need_gap") <= 0) & ~hot
+    return rows.withColumn("qd_entry", F.coalesce(on, F.lit(False)))
 
 
 def six_states(rows: DataFrame) -> DataFrame:

@@ -62,10 +62,10 @@ def leave_trades(rows: DataFrame) -> DataFrame:
 
 
 def quiet_exits(rows: DataFrame) -> DataFrame:
-    """Add ``qx_s1, qx_reclaim, qx_break``: both upper rails touched, the long path regained, both long growths negative."""
+    """Add ``qx_s1, qx_reclaim, qx_break``: an upper rail touched, the long path regained, both long growths negative."""
     return rows.withColumns(
         {
-            "qx_s1": flag(F.col("fig9_touch_hi") & F.col("fig10_touch_hi")), "qx_reclaim": flag(F.col("fig7_gap") >= 0),
+            "qx_s1": flag(F.col("fig9_touch_hi") | F.col("fig10_touch_hi")), "qx_reclaim": flag(F.col("fig7_gap") >= 0),
             "qx_break": flag((F.col("fig7_g") < 0) & (F.col("fig8_g") < 0)),
         }
     )

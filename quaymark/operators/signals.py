@@ -204,25 +204,36 @@ def excess_t(rows: DataFrame, name: str) -> DataFrame:
 
 
 def early_down(rows: DataFrame, regime: Column | None = None) -> DataFrame:
-    """Add soft_bear, peak8, early and ``alert`` (none, watch in a down regime, alert)."""
+    """Add soft_bear, peak8, classic_bear, early and ``alert`` (none, watch in a down regime, alert); ``rows`` have ma20 and ma60."""
     zero = F.lit(0.0)
     p20, p60 = F.coalesce(w.lag_ratio("close", 20), zero), F.coalesce(w.lag_ratio("close", 60), zero)
     dd20 = F.coalesce(F.col("close") / w.highest("close", 20) - 1, zero)
     below = flag(F.col("close") < F.col("ma20"))
     out = rows.withColumns({"soft_bear": below & (p60 <= -0.06) & (p20 <= 0), "peak8": below & (p60 <= -0.06) & (dd20 <= -0.08)})
-    out = out.withColumn("early", F.col("soft_bear") | F.col("peak8"))
+    out = out.withColumns({"early": F.col("soft_bear") | F.col("peak8"), "classic_bear": F.col("soft_bear") & flag(F.col("ma20") < F.col("ma60"))})
     down = flag(regime == "down") if regime is not None else F.lit(False)
     return out.withColumn("alert", F.when(~F.col("early"), "none").when(down, "watch").otherwise("alert"))
 
 
-def recovery_up(rows: DataFrame) -> DataFrame:
-    """Add ``recovery``: five of the last sixty bars in a row above the mean and a 10 % rebound, in a range."""
-    above = rows.withColumn("_above", flag(F.col("close") > F.col("ma20")))
-    rebound = F.col("close") / w.lowest("close", 60) - 1
-    p20 = w.lag_ratio("close", 20)
-    enough = F.count("close").over(w.last_rows(60)) == 60
-    found = above.withColumn("recovery", flag(enough & w.run_in_window("_above", 60, 5) & ((p20 >= 0.03) | (rebound >= 0.10)) & F.col("_above")))
-    return found.drop("_above")
+def recovery_up(rows: DataFrame, label: str, alert: str, days: int = 60, pit: int = 5, rebound: float = 0.10, streak: int = 3, gain: float = 0.03) -> DataFrame:
+    """Add ``fired`` and ``recovery``: a range that climbs out of a pit, and how long that holds.
+
+    It fires in a range (``label``) without an ``alert`` at that bar, after ``streak`` closes above the short mean, if the last ``days``
+    bars hold ``pit`` closes in a row below the long mean or a ``rebound`` from their low, and the 20-bar return is ``gain`` or the
+    rebound is there. It holds from a firing until a bar that is no range, has an alert or closes at or below the short mean.
+    """
+    above = flag(F.col("close") > F.col("ma20"))
+    rows = rows.withColumns({"_over": above, "_pit": flag(F.col("close") < F.col("ma60"))})
+    risen = F.col("close") / w.lowest("close", days) - 1 >= rebound
+    whole = F.count("close").over(w.last_rows(days)) == days
+    run = F.sum(F.col("_over").cast("int")).over(w.last_rows(streak)) == streak
+    open_ = flag(F.col(label) == "range") & ~flag(F.col(alert) == "alert") & F.col("_over")
+    fired = whole & run & (w.run_in_window("_pit", days, pit) | risen) & ((w.lag_ratio("close", 20) >= gain) | risen)
+    rows = rows.withColumns({"_open": open_, "fired": open_ & flag(fired)})
+    rows = rows.withColumn("_stretch", F.sum((~F.col("_open")).cast("int")).over(w.so_far()))
+    so_far = Window.partitionBy("code", "_stretch").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    held = rows.withColumn("recovery", F.col("_open") & F.max("fired").over(so_far))
+    return held.drop("_over", "_pit", "_open", "_stretch")
 
 
 def extreme_drop(signals: DataFrame, returns: DataFrame, limit: float = -0.07) -> DataFrame:

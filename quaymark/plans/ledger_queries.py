@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaymark.operators import features, ledger, machines, scenario
-from quaymark.plans.shape import BY, fold_sql, mean_sql, panels_sql, query
+from quaymark.plans.shape import BY, fold_sql, mean_sql, query
 from quaymark.plans.signal_queries import EDGE, MACHINE, REG, RULES, _regimes, _rules, _signal_rows
 from quaymark.plans.source_queries import QUIET
 from quaymark.sources.bars import derive_bars
@@ -36,11 +36,11 @@ def leave_rail_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     TRADES,
-    f"""{QUIET.replace(panels_sql(['fig7', 'fig8']), panels_sql(['fig7', 'fig8', 'fig9', 'fig10']))},
+    f"""{QUIET},
     tg AS (SELECT *, greatest(high - low, abs(high - lag(close) {BY}), abs(low - lag(close) {BY})) AS tr FROM qd),
     px AS MATERIALIZED (SELECT *, row_number() {BY} AS i, count(*) OVER (PARTITION BY code) AS n_rows, {mean_sql('tr', 20)} AS atr FROM tg),
     sg AS (SELECT a.code, a.i, b.close AS epx, b.close - coalesce(b.atr, 0.1 * b.close) AS stop FROM px a JOIN px b ON b.code = a.code AND b.i = a.i + 1 WHERE a.qd_entry),
-    hit AS (SELECT s.code, s.i, b.i AS x, CASE WHEN b.low <= stop THEN 'stop' WHEN coalesce(b.fig9_touch_hi AND b.fig10_touch_hi, false) THEN 's1_upper' WHEN coalesce(b.fig7_gap >= 0, false) THEN 'fig7_reclaim'
+    hit AS (SELECT s.code, s.i, b.i AS x, CASE WHEN b.low <= stop THEN 'stop' WHEN coalesce(b.fig9_touch_hi OR b.fig10_touch_hi, false) THEN 's1_upper' WHEN coalesce(b.fig7_gap >= 0, false) THEN 'fig7_reclaim'
       WHEN coalesce(b.fig7_g < 0 AND b.fig8_g < 0, false) THEN 'trend_break' WHEN b.i - s.i - 1 >= 40 THEN 'max_hold' END AS why, stop, b.close AS c FROM sg s JOIN px b ON s.code = b.code AND b.i BETWEEN s.i + 2 AND s.i + 41),
     on_ AS (SELECT code, i, min(x) AS x, arg_min(why, x) AS reason, arg_min(CASE WHEN why = 'stop' THEN stop ELSE c END, x) AS exit_px FROM hit WHERE why IS NOT NULL GROUP BY 1, 2),
     one AS MATERIALIZED (SELECT s.code, s.i, coalesce(o.x, z.i) AS x, coalesce(reason, 'eod') AS reason, coalesce(exit_px, z.close) AS exit_px FROM sg s LEFT JOIN on_ o USING (code, i) JOIN px z ON z.code = s.code AND z.i = z.n_rows),
@@ -50,7 +50,7 @@ def leave_rail_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM ch JOIN px a ON a.code = ch.code AND a.i = ch.i JOIN px e ON e.code = ch.code AND e.i = ch.i + 1 JOIN px z ON z.code = ch.code AND z.i = ch.x)""",
 )
 def quiet_discount_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features.vol_regime(features.multi_scale(derive_bars(spark, sf_dir), ["fig7", "fig8", "fig9", "fig10"]))
+    rows = features.multi_scale(derive_bars(spark, sf_dir), ["fig7", "fig8", "fig9", "fig10"])
     rows = ledger.quiet_exits(features.atr(features.quiet_discount(rows)))
     return ledger.quiet_trades(rows.select("code", "d", "close", "low", "atr", "qd_entry", "qx_s1", "qx_reclaim", "qx_break"))
 

@@ -234,28 +234,6 @@ def overlapping_basket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.basket(_masks(spark, sf_dir), "m_edge")
 
 
-@query(
-    "code:s d:d soft_bear:i peak8:i early:i alert:s",
-    f"""{BARS}, a AS (SELECT *, coalesce({ratio_sql('close', 20)}, 0) AS p20, coalesce({ratio_sql('close', 60)}, 0) AS p60,
-      coalesce(close / max(close) {over(20)} - 1, 0) AS dd20, coalesce(close < {mean_sql('close', 20)}, false) AS below FROM bars),
-    f AS (SELECT *, below AND p60 <= -0.06 AND p20 <= 0 AS soft_bear, below AND p60 <= -0.06 AND dd20 <= -0.08 AS peak8 FROM a),
-    final AS (SELECT *, soft_bear OR peak8 AS early, CASE WHEN soft_bear OR peak8 THEN 'alert' ELSE 'none' END AS alert FROM f)""",
-)
-def early_down_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.early_down(derive_bars(spark, sf_dir).withColumn("ma20", w.mean("close", 20)))
-
-
-@query(
-    "code:s d:d recovery:i",
-    f"""{BARS}, a AS (SELECT *, coalesce(close > {mean_sql('close', 20)}, false) AS ab, {ratio_sql('close', 20)} AS p20 FROM bars),
-    h AS (SELECT *, list(CASE WHEN ab THEN 1 ELSE 0 END) {over(60)} AS h FROM a),
-    final AS (SELECT code, d, coalesce(count(close) {over(60)} = 60 AND contains(array_to_string(h, ''), '11111')
-      AND (p20 >= 0.03 OR close / min(close) {over(60)} - 1 >= 0.1) AND ab, false) AS recovery FROM h)""",
-)
-def recovery_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.recovery_up(derive_bars(spark, sf_dir).withColumn("ma20", w.mean("close", 20)))
-
-
 @query(
     "d:d code:s weight:f",
     f"""{bars_sql('nation')}, m AS (SELECT code, d, {ratio_sql('close', 60)} AS mom FROM bars), k AS (SELECT * FROM m WHERE mom IS NOT NULL),
@@ -323,6 +301,32 @@ def _regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regimes.raw_regime(regimes.regime_features(derive_bars(spark, sf_dir)))
 
 
+EARLY = f"""a AS (SELECT code, d, close, m20, m60, raw, p20, {mean_sql('close', 60)} AS s60, coalesce(p20, 0) AS z20, coalesce(p60, 0) AS z60, coalesce(close / max(close) {over(20)} - 1, 0) AS dd20, coalesce(close < m20, false) AS below FROM rw),
+    ef AS (SELECT *, below AND z60 <= -0.06 AND z20 <= 0 AS soft_bear, below AND z60 <= -0.06 AND dd20 <= -0.08 AS peak8 FROM a),
+    ea AS (SELECT *, soft_bear AND coalesce(m20 < m60, false) AS classic_bear, soft_bear OR peak8 AS early, CASE WHEN NOT (soft_bear OR peak8) THEN 'none' WHEN raw = 'down' THEN 'watch' ELSE 'alert' END AS alert FROM ef)"""
+
+
+def _early(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _regimes(spark, sf_dir).withColumns({"ma20": F.col("m20"), "ma60": F.col("m60")})
+    return signals.early_down(rows, F.col("raw"))
+
+
+@query("code:s d:d soft_bear:i peak8:i classic_bear:i early:i alert:s", f"{REG}, {EARLY}, final AS (SELECT * FROM ea)")
+def early_down_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _early(spark, sf_dir)
+
+
+@query(
+    "code:s d:d fired:i recovery:i",
+    f"""{REG}, {EARLY}, rh AS (SELECT *, coalesce(close > m20, false) AS ov, list(CASE WHEN coalesce(close < m60, false) THEN 1 ELSE 0 END) {over(60)} AS h, count(close) {over(60)} AS nc, close / min(close) {over(60)} - 1 AS rec FROM ea),
+    ro AS (SELECT *, raw = 'range' AND alert <> 'alert' AND ov AS op, coalesce(nc = 60 AND sum(CASE WHEN ov THEN 1 ELSE 0 END) {over(3)} = 3 AND (contains(array_to_string(h, ''), '11111') OR rec >= 0.1) AND (p20 >= 0.03 OR rec >= 0.1), false) AS f FROM rh),
+    rs AS (SELECT *, op AND f AS fired, sum(CASE WHEN op THEN 0 ELSE 1 END) {BY} AS st FROM ro),
+    final AS (SELECT code, d, fired, op AND max(CASE WHEN fired THEN 1 ELSE 0 END) OVER (PARTITION BY code, st ORDER BY d) = 1 AS recovery FROM rs)""",
+)
+def recovery_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.recovery_up(_early(spark, sf_dir), "raw", "alert")
+
+
 @query("code:s d:d m20:f m60:f band:f vol_pct:f raw:s", f"{REG}, final AS (SELECT * FROM rw)")
 def raw_regime_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _regimes(spark, sf_dir)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaymark.functions import windows as w
-from quaymark.operators import cluster, features, prices, regimes, signals
-from quaymark.plans.shape import BY, bars_sql, panels_sql, query
+from quaymark.operators import cluster, features, ledger, prices, regimes, signals
+from quaymark.plans.shape import BY, bars_sql, over, panels_sql, query
 from quaymark.plans.signal_queries import REG, _regimes
 from quaymark.sources import bars as source
 from quaymark.sources.bars import derive_bars, table
@@ -134,16 +134,18 @@ def enriched_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.enriched(features.multi_scale(derive_bars(spark, sf_dir), ["fig10"]))
 
 
-QUIET = f"""{BARS}, {panels_sql(['fig7', 'fig8'])}, v AS (SELECT *, CASE WHEN count(r) OVER f >= 5 THEN stddev_pop(r) OVER f * sqrt(252) END AS rv FROM feat WINDOW f AS (PARTITION BY code ORDER BY d ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
-    h AS (SELECT *, list(rv) FILTER (WHERE rv IS NOT NULL) OVER (PARTITION BY code ORDER BY d ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS hist FROM v),
-    qf AS (SELECT *, coalesce(CASE WHEN len(hist) >= 60 AND rv IS NOT NULL THEN len(list_filter(hist, lambda x: x <= rv)) / len(hist) END <= 0.30 AND fig7_gap < -0.05 AND fig8_g > 0, false) AS quiet FROM h),
-    qd AS (SELECT *, quiet AND NOT coalesce(lag(quiet) {BY}, false) AS qd_entry, NOT quiet AND coalesce(lag(quiet) {BY}, false) AS qd_exit FROM qf)"""
+QUIET = f"""{BARS}, {panels_sql(['fig7', 'fig8', 'fig9', 'fig10'])}, v AS (SELECT *, CASE WHEN count(r) {over(5)} >= 5 THEN stddev_pop(r) {over(5)} * sqrt(252) END AS rv5, CASE WHEN count(r) {over(20)} >= 20 THEN stddev_pop(r) {over(20)} * sqrt(252) END AS rv FROM feat),
+    an AS (SELECT d, avg(rv) AS anchor_rv FROM v GROUP BY d),
+    h AS (SELECT v.*, list(rv5) FILTER (WHERE rv5 IS NOT NULL) {over(120).replace('code ORDER BY d', 'v.code ORDER BY v.d')} AS hist, CASE WHEN anchor_rv > 0 THEN 0.05 * rv / anchor_rv END AS need, close / lag(close, 20) {BY.replace('code ORDER BY d', 'v.code ORDER BY v.d')} - 1 AS got FROM v LEFT JOIN an ON an.d = v.d),
+    qd AS (SELECT *, coalesce((coalesce(fig7_gap <= -0.12, false) OR fig7_touch_lo) AND fig7_g > 0 AND fig8_g > 0 AND CASE WHEN len(hist) >= 60 AND rv5 IS NOT NULL THEN len(list_filter(hist, lambda x: x <= rv5)) / len(hist) END <= 0.30
+      AND got - (pow(1 + need, 20.0 / 252) - 1) <= 0 AND NOT (fig9_touch_hi OR fig10_touch_hi), false) AS qd_entry FROM h)"""
 
 
-@query("code:s d:d quiet:i qd_entry:i qd_exit:i", f"{QUIET}, final AS (SELECT * FROM qd WHERE quiet OR qd_exit)")
+@query("code:s d:d vol5_pct:f need_gap:f qd_entry:i qx_s1:i qx_reclaim:i qx_break:i",
+    f"""{QUIET}, final AS (SELECT code, d, CASE WHEN len(hist) >= 60 AND rv5 IS NOT NULL THEN len(list_filter(hist, lambda x: x <= rv5)) / len(hist) END AS vol5_pct, got - (pow(1 + need, 20.0 / 252) - 1) AS need_gap, qd_entry,
+      fig9_touch_hi OR fig10_touch_hi AS qx_s1, coalesce(fig7_gap >= 0, false) AS qx_reclaim, coalesce(fig7_g < 0 AND fig8_g < 0, false) AS qx_break FROM qd)""")
 def quiet_discounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features.vol_regime(features.multi_scale(derive_bars(spark, sf_dir), ["fig7", "fig8"]))
-    return features.quiet_discount(rows).where("quiet or qd_exit")
+    return ledger.quiet_exits(features.quiet_discount(features.multi_scale(derive_bars(spark, sf_dir), ["fig7", "fig8", "fig9", "fig10"])))
 
 
 @query(
