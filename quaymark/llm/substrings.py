@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 20
-ROUNDS = 4
+ROUNDS = 3
 #: Text bytes that are worked on at once; one longer text is worked on alone.
 PIECE_BYTES = 4 << 20
 #: Longer words are named by a digest, shorter ones eight bytes at a time.
@@ -228,7 +228,10 @@ def _first_of_each(run: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, run[1:] != run[:-1]))[run] if len(run) else run
 
 
-STRETCH = "doc_id long, mark int, pk long, own long, place long, mixed boolean, loose boolean"
+#: A row's mark (``MARK_BITS`` of a hash of its text, which tells rows of one doc_id apart) goes above its place in one number.
+PLACE_BITS, MARK_BITS = 38, 26
+#: place: start * 128 + number of windows * 4 + mixed * 2 + loose.
+STRETCH = "doc_id long, pk long, own long, spot long"
 
 
 def _send_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,11 +257,9 @@ def _send_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         mixed = differs[first]
         loose = mixed & (first != np.arange(len(key)))
         pk = np.where(loose, _mix(own ^ place.astype(U)), key)
-        ids = piece.column("doc_id").take(pa.array(text))
-        yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(mark), pa.array(pk.view(np.int64)), pa.array(own.view(np.int64)), pa.array(place), pa.array(mixed), pa.array(loose)],
-            ["doc_id", "mark", "pk", "own", "place", "mixed", "loose"],
-        )
+        place = place * 4 + mixed * 2 + loose
+        ids, spot = piece.column("doc_id").take(pa.array(text)), (mark.astype(np.int64) << PLACE_BITS) | place
+        yield pa.RecordBatch.from_arrays([ids, pa.array(pk.view(np.int64)), pa.array(own.view(np.int64)), pa.array(spot)], ["doc_id", "pk", "own", "spot"])
 
 
 def _ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,7 +268,7 @@ def _ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-WINDOWS = "doc_id long, mark int, one long, two long, start int, stop int"
+WINDOWS = "doc_id long, one long, two long, spot long, stop int"
 
 
 def _send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,13 +316,12 @@ def _send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         spread = _mix(low.astype(U) + _mix(mark[whose].astype(U)))
         ids = piece.column("doc_id").take(pa.array(np.append(doc, whose)))
         stops = pa.array(np.append(np.zeros(len(doc), np.int64), high - base).astype(np.int32), mask=np.arange(len(doc) + len(low)) < len(doc))
+        begin = np.append(start, low - base)
+        spot = (np.append(mark[doc], mark[whose]).astype(np.int64) << PLACE_BITS) | begin
         yield pa.RecordBatch.from_arrays(
-            [
-                ids, pa.array(np.append(mark[doc], mark[whose]).astype(np.int32)), pa.array(np.append(key, spread).view(np.int64)),
-                pa.array(np.append(own, spread).view(np.int64)), pa.array(np.append(start, low - base).astype(np.int32)), stops,
-            ],
-            ["doc_id", "mark", "one", "two", "start", "stop"],
-        )
+            [ids, pa.array(np.append(key, spread).view(np.int64)), pa.array(np.append(own, spread).view(np.int64)), pa.array(spot), stops],
+            ["doc_id", "one", "two", "spot", "stop"],
+        )
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -368,23 +368,29 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     twice stays twice. Null and empty texts have no words, texts of fewer than
     ``WINDOW`` words lose none; an empty table gives an empty one.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(F.coalesce("text", F.lit(""))).alias("mark"), "text")
+    mark = F.hash(F.coalesce("text", F.lit(""))).bitwiseAND((1 << MARK_BITS) - 1)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"), "text")
+    whose = F.shiftrightunsigned("spot", PLACE_BITS).cast("int").alias("mark")
+    place = F.col("spot").bitwiseAND((1 << PLACE_BITS) - 1)
     sent = texts.mapInArrow(_send_stretches, STRETCH)
-    here = F.struct("doc_id", "place")
+    at = F.shiftright(place, 2)
+    here, mixed, loose = F.struct("doc_id", at), place.bitwiseAND(2) > 0, place.bitwiseAND(1) > 0
     anchors, same = Window.partitionBy("pk"), Window.partitionBy("pk", "own")
     grouped = sent.withColumns(
         {
-            "several": F.max("mixed").over(anchors) | (F.min("own").over(anchors) != F.max("own").over(anchors)),
-            "first": F.min(F.when(~F.col("loose"), here)).over(same),
+            "several": F.max(mixed).over(anchors) | (F.min("own").over(anchors) != F.max("own").over(anchors)),
+            "first": F.min(F.when(~loose, here)).over(same),
         }
     )
-    alone = grouped.where(F.col("loose") | (here == F.col("first")))
-    entry = F.col("place") * 2 + (F.col("several") | F.col("mixed")).cast("long")
-    listed = alone.groupBy("doc_id", "mark").agg(F.collect_set(entry).alias("listed"))
+    alone = grouped.where(loose | (here == F.col("first")))
+    entry = at * 2 + (F.col("several") | mixed).cast("long")
+    listed = alone.groupBy("doc_id", whose).agg(F.collect_set(entry).alias("listed"))
     windows = _beside(texts, listed).select("doc_id", "mark", "text", "listed").mapInArrow(_send_windows, WINDOWS)
-    first = F.min(F.when(F.col("stop").isNull(), F.struct("doc_id", "start"))).over(Window.partitionBy("one", "two"))
-    repeats = windows.withColumn("first", first).where(F.col("stop").isNotNull() | (F.struct("doc_id", "start") != F.col("first")))
-    span = F.struct("start", F.coalesce("stop", F.col("start") + WINDOW).alias("stop"))
-    spans = repeats.groupBy("doc_id", "mark").agg(F.collect_set(span).alias("spans"))
+    here = F.struct("doc_id", place)
+    first = F.min(F.when(F.col("stop").isNull(), here)).over(Window.partitionBy("one", "two"))
+    repeats = windows.withColumn("first", first).where(F.col("stop").isNotNull() | (here != F.col("first")))
+    start = place.cast("int")
+    span = F.struct(start.alias("start"), F.coalesce("stop", start + WINDOW).alias("stop"))
+    spans = repeats.groupBy("doc_id", whose).agg(F.collect_set(span).alias("spans"))
     found = _beside(texts, spans).select("doc_id", "text", "spans").mapInArrow(_cut(with_text), RESULT)
     return found if with_text else found.drop("kept_text")

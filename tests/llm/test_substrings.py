@@ -109,7 +109,7 @@ def test_a_symbol_is_settled_by_its_words():
         for _ in range(3):
             left, right = rng.integers(0, 4, rng.integers(0, 30)), rng.integers(0, 4, rng.integers(0, 30))
             names = s._mix(np.concatenate([left, middle, right]).astype(np.uint64))
-            low, high = s._rounds(names, np.array([len(names)]), 4)
+            low, high = s._rounds(names, np.array([len(names)]), s.ROUNDS)
             assert (np.diff(low) >= 0).all() and (np.diff(high) >= 0).all()
             a = len(left)
             sets.append({(x - a, y - a) for x, y in zip(low.tolist(), high.tolist(), strict=True) if x >= a and y <= a + 40})
