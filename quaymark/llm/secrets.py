@@ -16,7 +16,9 @@ sensitive name passes along these references to each binding they reach, once,
 so the cost is linear in the text. A literal scores by the most sensitive
 target it reaches plus its own randomness (of all pieces of its
 concatenation); scores of ``MIN_SCORE`` or more are reported with kind
-``named``, each piece where it stands. Nothing has a greatest length.
+``named``, each piece where it stands. Words are no secrets: a literal of letters alone counts from ``LONG_LETTERS`` on,
+one with white space only under a name of a password or passphrase that no
+sentence leads up to. Nothing has a greatest length.
 """
 
 from __future__ import annotations
@@ -59,6 +61,11 @@ MIN_SCORE = 3.5
 #: Under names of this score a literal may hold white space, as passphrases do.
 STRONG = 3
 LEAST_LITERAL = 8
+#: Shorter literals of nothing but letters, one case but for the first, are words.
+LONG_LETTERS = 24
+#: Names under which a literal may hold white space; words that may stand before them in code.
+PASS = re.compile(r"pass|pwd", re.I)
+KEYWORDS = set("const let var val export set final static public private protected string str def readonly env define local declare global".split())
 #: Names of a lesser score are not sensitive.
 LEAST_NAME = 2
 
@@ -101,25 +108,44 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
+def is_words(value: str) -> bool:
+    """Whether a literal is a word, or words joined by hyphens, dots or apostrophes: letters of one case but for the first of each."""
+    parts = re.split("[-.'’_]", value.strip("-.'’_!?,;:"))
+    return all(p.isalpha() and (p[1:].islower() or p.isupper() or len(p) == 1) for p in parts if p)
+
+
 def literal_score(value: str, spaced: bool = False) -> float:
-    """0 for placeholders, short or repeated values, and wordy ones unless ``spaced``; up to 2 for random ones and private keys."""
+    """0 for placeholders, short or repeated values, words, addresses of pages, and wordy ones unless ``spaced``; up to 2 for random ones and private keys."""
     if IS_PRIVATE.match(value):
         return 2.0
     if len(value) < LEAST_LITERAL or "_".join(value.lower().split()) in PLACEHOLDERS or re.search(r"\$\{|\{\{|%\(", value):
         return 0.0
-    if not spaced and re.search(r"\s", value):
+    if re.search(r"\s", value):
+        if not spaced:
+            return 0.0
+    elif (len(value) < LONG_LETTERS and is_words(value)) or re.match(r"[A-Za-z][A-Za-z0-9+.-]*+://[^@?]*+\Z", value):
         return 0.0
     kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
     return min(2.0, max(0.0, entropy(value) - 2.0)) * (0.5 + 0.25 * min(kinds, 2))
 
 
+def in_sentence(text: str, at: int) -> bool:
+    """Whether a word that is no keyword leads up to ``at`` on its line."""
+    begin = max(text.rfind("\n", 0, at) + 1, at - 64)
+    before = text[begin:at].rstrip("\"'`$*-.")
+    if not before.endswith((" ", "\t")):
+        return False
+    words = before.split()
+    return bool(words) and words[-1].strip(",;()").isalpha() and words[-1].strip(",;()").lower() not in KEYWORDS
+
+
 class Binding:
     """Targets and the value they get: its literal pieces (start, end) and the names in it."""
 
-    __slots__ = ("names", "pieces", "refs")
+    __slots__ = ("names", "pieces", "refs", "at")
 
-    def __init__(self, names: list[str]) -> None:
-        self.names, self.pieces, self.refs = names, [], []
+    def __init__(self, names: list[str], at: int) -> None:
+        self.names, self.pieces, self.refs, self.at = names, [], [], at
 
 
 def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
@@ -207,7 +233,7 @@ def bindings(text: str) -> list[Binding]:
             if m["tag"]:
                 close = text.find("<", at, end)
                 if text.startswith(f"</{m['tag']}", close) and text[at:close].strip():
-                    whole = Binding([m["tag"]])
+                    whole = Binding([m["tag"]], m.start())
                     whole.pieces.append(_trimmed(text, at, close))
                     found.append(whole)
                 continue
@@ -219,7 +245,7 @@ def bindings(text: str) -> list[Binding]:
                 else:
                     inner.append(span)
             if name is not None:
-                bound = Binding([name])
+                bound = Binding([name], m.start())
                 at, inner = _value(text, at, end, op or " ", m.start(), bound)
                 if bound.pieces or bound.refs:
                     found.append(bound)
@@ -235,7 +261,7 @@ def named_literals(text: str) -> list[tuple[int, int, float]]:
         for name in bound.names:
             places.setdefault(name, []).append(i)
     own = [max(map(name_score, bound.names)) for bound in found]
-    reach: dict[int, float] = {}
+    reach: dict[int, tuple[float, bool]] = {}
     pieces = [list(bound.pieces) for bound in found]
     for first in sorted(range(len(found)), key=lambda i: -own[i]):
         if own[first] < LEAST_NAME:
@@ -245,7 +271,7 @@ def named_literals(text: str) -> list[tuple[int, int, float]]:
             i = todo.pop()
             if i in reach:
                 continue
-            reach[i] = own[first]
+            reach[i] = own[first], own[first] >= STRONG and any(map(PASS.search, found[first].names))
             for name, start, end in found[i].refs:
                 at = places.get(name)
                 if at is None:  # a bare word that names nothing is a literal
@@ -257,9 +283,10 @@ def named_literals(text: str) -> list[tuple[int, int, float]]:
                 else:
                     todo += [j for j in at[:2] if j != i][:1]
     best: dict[tuple[int, int], float] = {}
-    for i, sensitive in reach.items():
+    for i, (sensitive, phrase) in reach.items():
         joined = "".join(text[a:b] for a, b in sorted(pieces[i]))
-        if (random := literal_score(joined, sensitive >= STRONG)) >= 0.5 and sensitive + random >= MIN_SCORE:
+        spaced = phrase and not in_sentence(text, found[i].at)
+        if (random := literal_score(joined, spaced)) >= 0.5 and sensitive + random >= MIN_SCORE:
             for span in pieces[i]:
                 if span[0] < span[1]:
                     best[span] = max(best.get(span, 0.0), sensitive + random)
@@ -320,7 +347,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
     Returns ``doc_id, n_assign, n_access, n_hex, n_named, base_sha256, spans``:
     base_sha256 hashes the pattern spans, spans lists all. A null or empty
-    text has none (the hash of the empty string). Repeated rows repeat.
+    text has none (the hash of the empty string). Repeated rows repeat; an empty
+    table gives no rows.
     """
     return docs.select("doc_id", "text").mapInPandas(
         _scan,
@@ -329,7 +357,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """``docs`` with the secrets in ``text`` replaced; n_chars follows if present."""
+    """``docs`` with the secrets in ``text`` replaced; n_chars follows if present. Null texts stay null, repeated rows repeat."""
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series) -> pd.Series:

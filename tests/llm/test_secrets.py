@@ -128,3 +128,40 @@ def test_odd_rows(spark, odd_docs, no_docs):
     cleaned = s.redact_secrets(odd_docs)
     assert cleaned.columns == odd_docs.columns and cleaned.count() == odd_docs.count()
     assert s.scan_secrets(no_docs).count() == 0
+
+
+PROSE = ["everything", "required", "Everything", "state-of-the-art", "confidential", "the people we employ", "wonderful, isn't it", "https://example.org/some/page"]
+
+
+@pytest.mark.parametrize("name", ["secret", "password", "token", "Our secret", "the access token", "API key"])
+@pytest.mark.parametrize("form", ["The {}: {} changes tomorrow", "{} = {}", "A {} = \"{}\" it is", "so the {}: '{}'"])
+def test_words_are_no_secrets(name, form):
+    for word in PROSE:
+        if " " in word and form == "{} = {}":
+            continue
+        assert named(form.format(name, word)) == []
+
+
+def planted(rng):
+    """Lines with and without a secret, and what each holds."""
+    letters, names = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", ["db_password", "authToken", "client_secret", "API_KEY", "pwd", "access_token"]
+    words = "market people weather station beautiful government everything tomorrow important question".split()
+    for _ in range(400):
+        value = "".join(rng.choice(letters) for _ in range(rng.randint(14, 40)))
+        name = rng.choice(names)
+        yield rng.choice(['{n} = "{v}"', "{n}: {v}", "export {n}={v}", '{{"{n}": "{v}"}}', "<{n}>{v}</{n}>", "run --{n} {v} now", "K = '{v}'; {n} = K", "const {n}: string = '{v}'"]).format(n=name, v=value), value
+    for _ in range(2000):
+        some = " ".join(rng.choice(words) for _ in range(rng.randint(1, 6)))
+        yield rng.choice(["The {n}: {v} and more", 'Our {n} = "{v}"', "{n}: {v}", "a {n} is {v}", 'He said "{v}: {n}"']).format(n=rng.choice(["secret", "password", "token", "key", "passphrase"]), v=some), None
+
+
+def test_precision_and_recall_on_a_planted_sample():
+    import random
+
+    right = wrong = missed = 0
+    for line, value in planted(random.Random(10)):
+        found = named(line)
+        right += value in found
+        wrong += sum(x != value for x in found)
+        missed += value is not None and value not in found
+    assert right / (right + missed) >= 0.98 and right / (right + wrong) >= 0.98, (right, wrong, missed)
