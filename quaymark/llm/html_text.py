@@ -1,8 +1,9 @@
 """Main text of web pages by consensus host paths.
 
 A page is cut into tags and text by one regular expression and read once with
-a stack of open elements, however deep. Menus, headers, footers, asides, forms, scripts and
-styles are passed over by tag or role, and hidden elements. Words of classes
+a stack of open elements, however deep. Menus, headers, footers, scripts and
+styles are passed over by tag or role, and hidden elements. Asides, forms and dialogs are left out unless the
+page lies in them: they hold more than half of its text outside links, and an article or hardly any other text is there. Words of classes
 and ids (sidebar, advert, comments, ...) only make an element suspect: it is
 left out unless it holds more than half of the page's text outside links; one
 whose name says nothing else, as ``comments``, only counts as text where hardly
@@ -11,7 +12,7 @@ article or main element, or the innermost element around all articles of size,
 else the innermost container of all text outside links. Votes count by the share of
 the text they hold and are added up for each host and generalised tag-class
 path in Spark, and every page is read again with its host's winning path. A
-page that lacks that path uses its own best container.
+page that lacks that path, or has less than a quarter of a long text there, uses its own best container.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from .common import keep
 
 #: Articles count if together they hold this share of the text outside links.
 COVER = 0.4
-#: Articles of at least this share of the largest one are parts of the main text.
+#: Articles of at least this share of the largest one are parts of the main text; a host's path must hold as much of the page's own best container.
 PART = 0.25
 #: A suspect element with more than this share of the text is none.
 MOST = 0.5
@@ -39,7 +40,6 @@ LONG, REST = 200, 0.05
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title|select|object)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)(?:>|\Z)"
     r"|<[!?/][^<>]*(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
@@ -55,22 +55,20 @@ BLOCKS = set(
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table "
     "tbody td tfoot th thead tr ul".split()
 )
-PASSED_TAGS = set("nav footer aside form head button dialog menu input label".split())
-PASSED_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+PASSED_TAGS = set("nav footer head button menu input label".split())
+PASSED_ROLES = set("navigation banner contentinfo search alert menu menubar".split())
+#: These are passed over unless the page lies in them.
+SOFT = set("aside form dialog".split()) | {"complementary"}
+#: What these hold is no text. Where one does not end, those of the first kind take the rest, the others end at the next block.
+RAW = set("script style noscript template textarea".split())
+RAW_TO_BLOCK = set("iframe svg title select object".split())
 PASSED_WORDS = set(
     "nav navbar navigation menu masthead footer sidebar aside ad ads advert adverts advertisement advertising banner "
-    "sponsor sponsored promo promoted comment comments disqus respond replies cookie cookies consent notice notices "
+    "sponsor sponsored promo promoted comment comments disqus respond replies responses cookie cookies consent notice notices "
     "notification popup modal newsletter subscribe share sharing social related recommended breadcrumb breadcrumbs "
     "pagination pager widget toolbar login signup search header gdpr overlay".split()
 )
-COMMENT_WORDS = set("comment comments disqus respond replies".split())
-#: Beside these, a class word still says nothing else; before a word, the others only tell of the page's state.
-NEUTRAL_WORDS = set(
-    "site page top bottom left right box list block section area wrap wrapper container inner outer bar item items links "
-    "link primary secondary global region module panel col column row group".split()
-)
-STATE_WORDS = set("with has no without is".split())
-COMMENT_WORDS = set("comment comments disqus respond replies".split())
+COMMENT_WORDS = set("comment comments disqus respond replies responses".split())
 #: Beside these, a class word still says nothing else; before a word, the others only tell of the page's state.
 NEUTRAL_WORDS = set(
     "site page top bottom left right box list block section area wrap wrapper container inner outer bar item items links "
@@ -83,9 +81,11 @@ HREF = re.compile(r"(?<![\w-])href\s*=", re.I)
 CONTENT_WORDS = set("article post entry story title main content body text".split())
 ARTICLE_WORDS = set("article post entry story".split())
 CLOSES = {  # an opening tag ends these open elements, up to the scope
-    "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
-    "th": {"td", "th"}, "option": {"option"},
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
+    "th": {"td", "th"}, "option": {"option"}, "body": {"head"}, "p": {"p", "head"},
 }
+RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW | RAW_TO_BLOCK}
+NEXT_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS - {'legend'}))})\b", re.I)
 SCOPE = set("table ul ol dl div article section main body td th blockquote".split())
 
 
@@ -140,6 +140,8 @@ def _opened(tag: str, attrs: str, parent: Element) -> Element:
     if "id" in found:
         names = [*names, found["id"]]
     suspect = _suspicion(tag, names) if names and tag not in ("html", "body") else 0
+    if (tag in SOFT or role in SOFT) and tag not in ("html", "body", "main", "article"):
+        suspect = max(suspect, 2)
     article = tag in ("article", "main") or role in ("main", "article")
     if not article and not suspect and tag in ("div", "section", "td"):
         article = any(w.lower() in ARTICLE_WORDS for name in names for w in WORD.findall(name))
@@ -184,8 +186,23 @@ def _parsed(html: str | None) -> tuple[list[Element], list[Block]]:
         open_tags.subtract(e.tag for e in stack[at:])
         del stack[at:]
 
-    for m in TOKEN.finditer(html or ""):
-        text, tag = m["text"], m["tag"]
+    html = html or ""
+    open_ended: set[str] = set()  # raw elements that end nowhere further on
+
+    def after_raw(tag: str, at: int) -> int:
+        """The position after a raw element whose start tag ends at ``at``."""
+        if tag not in open_ended:
+            if m := RAW_END[tag].search(html, at):
+                return m.end()
+            open_ended.add(tag)
+        if tag in RAW:
+            return len(html)
+        m = NEXT_BLOCK.search(html, at)
+        return m.start() if m else len(html)
+
+    at_char = 0
+    while m := TOKEN.match(html, at_char):
+        text, tag, at_char = m["text"], m["tag"], m.end()
         if text is not None:
             if not stack[-1].passed:
                 text = unescape(text) if "&" in text else text
@@ -194,7 +211,9 @@ def _parsed(html: str | None) -> tuple[list[Element], list[Block]]:
                     plain += len(text.strip())
         elif tag is not None:
             tag = tag.lower()
-            if m["end"]:
+            if tag in RAW_END and not m["end"]:
+                at_char = after_raw(tag, at_char)
+            elif m["end"]:
                 if tag in BLOCKS:
                     flush()
                 if open_tags[tag]:
@@ -207,7 +226,7 @@ def _parsed(html: str | None) -> tuple[list[Element], list[Block]]:
                     flush()
                 elif tag in ("br", "wbr", "img", "input"):
                     parts.append(" " if tag != "wbr" else "")
-                ended = CLOSES.get(tag) or ({"p"} if tag in BLOCKS else ())
+                ended = CLOSES.get(tag) or ({"p", "head"} if tag in BLOCKS else ())
                 if any(open_tags[t] for t in ended):
                     at = len(stack) - 1
                     while at > 0 and stack[at].tag not in ended and stack[at].tag not in SCOPE:
@@ -310,8 +329,12 @@ def main_text(html: str | None, path: str | None = None) -> str:
                 held.add(element)
         return [text for element, text, _ in found if element in held]
 
+    best = best_container(elements, found)
     texts = inside(lambda e: e.key == key) if path else []
-    if not texts and (best := best_container(elements, found)):
+    if texts and best and best[0].weight >= LONG:
+        # Of nested elements of the path each counts, so this is no less than what they hold.
+        texts = texts if sum(e.weight for e in elements if e.key == key) >= PART * best[0].weight else []
+    if not texts and best:
         texts = inside(lambda e: e is best[0])
     return "\n\n".join(texts)
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 
 from quaymark.llm import html_text as h
@@ -157,3 +159,35 @@ def test_odd_rows(spark):
     assert len(found) == 5 and all(r["n_chars"] == len(r["text"]) for r in found)
     assert sum(r["text"].startswith("Big") for r in found) == 3
     assert h.extract(pages(spark, [])).count() == 0
+
+
+LONG_TEXT = "Some sentences of the article that go on for a while, one after the other. " * 8
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<form id=aspnetForm><div><article><p>{}</p></article></div></form>", "<div role=dialog><p>{}</p></div>", "<aside><p>{}</p></aside>",
+        "<iframe src=x><div><p>{}</p></div>", "<object data=x><p>{}</p>", "<select><option>a<p>{}</p>", "<head><title>x<body><p>{}</p>", "<svg><g><div>{}</div>",
+    ],
+)
+def test_no_page_is_lost(page):
+    assert " ".join(LONG_TEXT.split()) in h.main_text(page.format(LONG_TEXT))
+
+
+def test_forms_and_asides_beside_the_text_stay_out():
+    page = f"<article><p>{LONG_TEXT}</p></article><aside><p>aside words</p></aside><form><p>form words</p></form><div role=complementary>more words</div>"
+    assert h.main_text(page) == " ".join(LONG_TEXT.split())
+    assert h.main_text("<nav>one two</nav><form><label>a</label>name</form><footer>" + LONG_TEXT + "</footer>") in ("", "name")
+
+
+def test_a_host_path_with_little_of_the_page_is_not_used():
+    page = f"<div class=a><p>{'short text here. ' * 5}</p></div><div class=b><p>{LONG_TEXT}</p></div>"
+    assert " ".join(LONG_TEXT.split()) in h.main_text(page, ">div.a")
+
+
+@pytest.mark.parametrize("text", ["<script" * 50_000, "<script " * 50_000, "<iframe>" * 50_000, "<iframe><p>" * 30_000, "<title>" * 50_000 + "x", "<svg" * 50_000])
+def test_raw_elements_that_never_end_are_linear(text):
+    start = time.perf_counter()
+    h.main_text(text)
+    assert time.perf_counter() - start < 10
