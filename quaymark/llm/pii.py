@@ -177,15 +177,22 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, support: int = SUPPORT, l
     return keep(rated.where((F.col("disclosure") >= least) & sure).select("entity", "term", "disclosure"), "pii-terms")
 
 
-def _lines(text: Column) -> Column:
-    """(line, offset) of each line."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<line:string,offset:int>>").alias("out"))
+#: Runs of letters and of other characters that are searched at once; the cost grows with the square of it only.
+BLOCK_RUNS = 256
 
-    def step(acc: Column, line: Column) -> Column:
-        placed = F.struct(line.alias("line"), acc["at"].alias("offset"))
-        return F.struct((acc["at"] + F.length(line) + 1).alias("at"), F.array_append(acc["out"], placed).alias("out"))
 
-    return F.aggregate(F.split(text, "\n"), start, step, lambda acc: acc["out"])
+def _pieces(texts: DataFrame) -> DataFrame:
+    """``texts`` with ``part, offset`` in place of text: it is cut between runs of letters, so no word is cut.
+
+    Offsets add up the lengths of the parts before, of which even a very long text has few.
+    """
+    runs = texts.withColumn("_runs", F.regexp_extract_all("text", F.lit(r"\p{L}++|[^\p{L}]++"), F.lit(0))).where(F.size("_runs") > 0)
+    starts = F.sequence(F.lit(1), F.size("_runs"), F.lit(BLOCK_RUNS))
+    parts = runs.withColumn("_parts", F.transform(starts, lambda i: F.array_join(F.slice("_runs", i, BLOCK_RUNS), ""))).drop("_runs", "text")
+    sized = parts.withColumn("_sizes", F.transform("_parts", F.length))
+    before = F.transform(F.sequence(F.lit(0), F.size("_sizes") - 1), lambda i: F.aggregate(F.slice("_sizes", F.lit(1), i), F.lit(0), lambda s, n: s + n))
+    placed = sized.withColumn("_p", F.explode(F.arrays_zip(F.col("_parts").alias("part"), before.alias("offset"))))
+    return placed.select(*[c for c in texts.columns if c != "text"], F.col("_p.part").alias("part"), F.col("_p.offset").alias("offset"))
 
 
 def _term_spans(base: DataFrame, terms: DataFrame) -> DataFrame:
@@ -194,8 +201,7 @@ def _term_spans(base: DataFrame, terms: DataFrame) -> DataFrame:
     held = base.select(key, "text_hash", F.explode("contexts.entity").alias("entity")).distinct()
     held = held.join(terms.select("entity").distinct(), "entity", "left_semi")
     texts = base.where("text is not null").select(key, "text_hash", "text").join(held, ["key", "text_hash"], "left_semi")
-    lines = texts.select("key", "text_hash", F.explode(_lines(F.col("text"))).alias("l"))
-    placed = lines.select("key", "text_hash", "l.offset", F.explode(_placed(F.col("l.line"), _matches(F.col("l.line"), WORD))).alias("w"))
+    placed = _pieces(texts).select("key", "text_hash", "offset", F.explode(_placed(F.col("part"), _matches(F.col("part"), WORD))).alias("w"))
     span = F.struct(
         (F.col("w.s") + F.col("offset")).alias("s"), F.lit(KINDS.index("term")).alias("k"),
         (F.col("w.e") + F.col("offset")).alias("e"), F.col("w.m").alias("m"),
