@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaymark.operators import selection, states, swings
+from quaymark.functions.lineage import cut_lineage
+from quaymark.operators import selection, stages, states, swings
 from quaymark.plans.shape import BY, bars_sql, fold_sql, over, query
 from quaymark.plans.signal_queries import REG, _regimes
 from quaymark.plans.state_queries import BANDS, CROSSES, STACKED
@@ -162,3 +163,25 @@ def method_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = swings.swing_labels(bars, PROM, up=UP, down=DOWN)
     baselines = selection.legacy_choice(selection.training_scores(labelled, truth), ORDER, "stacked")
     return selection.nested_choice(_fold_metrics(labelled, bars), baselines, ORDER)
+
+
+def _stage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stages.stage_rows(derive_bars(spark, sf_dir), _regimes(spark, sf_dir).select("code", "d", F.col("raw").alias("label")))
+
+
+@query("code:s stage:s buy:s exit:s n_trades:i wins:i mean_ret:f mean_net:f compound:f edge:f")
+def stage_rule_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stages.sweep(_stage_rows(spark, sf_dir))
+
+
+@query("code:s stage:s buy:s exit:s own:f prior:f posterior:f n_trades:i")
+def stage_rule_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cut_lineage(stages.sweep(_stage_rows(spark, sf_dir)))
+    return stages.choose(found, stages.pool_prior(found))
+
+
+@query("code:s n_closed:i win:f compound:f open_ret:f")
+def stage_rule_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _stage_rows(spark, sf_dir)
+    found = cut_lineage(stages.sweep(rows))
+    return stages.book_summary(stages.book(rows, stages.choose(found, stages.pool_prior(found))))

@@ -1,4 +1,4 @@
-"""Queries over conditional volatility: fits at the last bar of each year, simulated paths, barriers, value at risk."""
+"""Queries over conditional volatility: fits at the last bar of each year, simulated paths, barriers, value at risk, tails."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaymark.functions import windows as w
-from quaymark.operators import volatility
+from quaymark.operators import tails, volatility
 from quaymark.plans.chance_queries import _returns
 from quaymark.plans.shape import query
 
@@ -36,3 +36,9 @@ def value_at_risk_board(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("code:s d:d n:i barrier:f p_up:f p_down:f p_none:f q05:f q50:f q95:f")
 def hidden_barrier_outlook(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volatility.outlook(volatility.hidden_paths(volatility.fit_hidden(_judged(spark, sf_dir)), 10))
+
+
+@query("code:s d:d n:i alpha_left:f shape_left:f scale_left:f kappa:f var:f cvar:f shadow_mean:f shrink:f leg:s")
+def tail_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = F.coalesce(F.year(F.lead("d").over(w.by_code())) != F.year("d"), F.lit(True))
+    return tails.board(volatility.fit_rows(_returns(spark, sf_dir), "r", last, tails.LOOKBACK), ("C0",))
