@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaymark.functions import windows as w
-from quaymark.operators import chance
-from quaymark.plans.model_queries import _scored
+from quaymark.functions.lineage import cut_lineage
+from quaymark.operators import chance, gates
+from quaymark.plans.model_queries import PROB, _scored
 from quaymark.plans.shape import BY, bars_sql, fold_sql, query
 from quaymark.sources.bars import derive_bars, table
 from quaymark.sources.sinks import merge_latest
@@ -89,3 +90,45 @@ def merged_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total"), F.col("o_orderkey").alias("seq"))
     return merge_latest([rows.where("seq % 3 = 0"), rows.where("seq % 3 <> 0")], ["key"], "seq")
 
+
+
+def _crossfitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of an expanding fit with month and label, written once."""
+    rows = _scored(spark, sf_dir).withColumns({"month": F.date_format("d", "yyyy-MM"), "p5": w.lag_ratio("close", 5) * 20}).withColumnRenamed("p", "place")
+    found = chance.crossfit(rows.where("label_up is not null"), ["place", "p5"], "label_up", "month")
+    return cut_lineage(found.where("p is not null").select("code", "d", "month", "p", "label_up"))
+
+
+@query("year:s n:i mean_p:f mean_cal:f mean_y:f isotonic:i")
+def calibrated_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each year's probabilities through the step function of all years before it."""
+    rows = _crossfitted(spark, sf_dir).withColumn("year", F.substring("month", 1, 4))
+    years = rows.select(F.col("year").alias("target")).distinct()
+    train = rows.join(years, F.col("year") < F.col("target")).withColumn("year", F.col("target")).drop("target")
+    found = gates.calibrated(train, rows, "year", "p", "label_up")
+    return found.groupBy("year").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("calibrated").alias("mean_cal"), F.avg(F.col("label_up").cast("double")).alias("mean_y"), F.max("isotonic").alias("isotonic"))
+
+
+DRAWN = f"""sc AS (SELECT round(p, 6) AS thr, strftime(d, '%Y-%m') AS month, CASE WHEN label_up THEN 0 ELSE 1 END AS f FROM pr WHERE p IS NOT NULL AND label_up IS NOT NULL),
+    ct AS MATERIALIZED (SELECT thr, month, count(*) AS c, sum(f) AS f FROM sc GROUP BY 1, 2),
+    wh0 AS (SELECT thr, sum(c) AS c, sum(f) AS f FROM ct GROUP BY 1), wh1 AS (SELECT thr, sum(c) OVER (ORDER BY thr DESC) AS n, sum(f) OVER (ORDER BY thr DESC) AS fp FROM wh0),
+    wh AS MATERIALIZED (SELECT thr, n, fp / n AS share FROM wh1 WHERE n >= 50),
+    mo AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT month FROM ct)),
+    dr AS (SELECT DISTINCT draw, month FROM (SELECT draw, turn, ('0x' || substr(md5('42:' || draw || ':' || turn), 1, 8))::BIGINT AS h FROM range(200) a(draw), (SELECT unnest(range((SELECT max(k) FROM mo))) AS turn)) JOIN mo ON i = h % k),
+    ea AS (SELECT draw, thr, sum(c) AS c, sum(f) AS f FROM (SELECT draw, thr, c, f FROM ct JOIN dr ON dr.month = ct.month UNION ALL SELECT draw, thr, 0, 0 FROM wh, range(200) b(draw)) GROUP BY 1, 2),
+    su AS (SELECT draw, thr, sum(c) OVER o AS n, sum(f) OVER o AS fp FROM ea WINDOW o AS (PARTITION BY draw ORDER BY thr DESC)),
+    up AS (SELECT thr, quantile_cont(fp / n, 0.95) AS upper FROM su WHERE n > 0 GROUP BY thr), fs AS (SELECT wh.thr, n, share, upper FROM wh JOIN up ON up.thr = wh.thr)"""
+
+
+@query("thr:e n:i share:f upper:f", f"{PROB}, {DRAWN}, final AS (SELECT * FROM fs)")
+def false_share_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.false_shares(_scored(spark, sf_dir).withColumn("month", F.date_format("d", "yyyy-MM")), "p", "label_up", "month")
+
+
+@query(
+    "q_confirm:e n:i reason:s",
+    f"""{PROB}, {DRAWN}, final AS (SELECT max(thr) FILTER (WHERE upper <= 0.6) AS q_confirm, coalesce(arg_max(n, thr) FILTER (WHERE upper <= 0.6), 0) AS n,
+      CASE WHEN count(*) FILTER (WHERE upper <= 0.6) = 0 THEN 'no_threshold' END AS reason FROM fs)""",
+)
+def confirm_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.false_threshold(_scored(spark, sf_dir).withColumn("month", F.date_format("d", "yyyy-MM")), "p", "label_up", "month", 0.6)
