@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +43,8 @@ def _merged(dist: DataFrame, ends: DataFrame, other: DataFrame) -> DataFrame:
     return sums.select(F.col("root").alias("a"), "b", F.when(F.col("h").isNull(), F.col("d")).otherwise(F.sqrt(F.greatest(square, F.lit(0.0)))).alias("d"))
 
 
-def ward_clusters(pairs: DataFrame, height: float = 0.8) -> DataFrame:
-    """``code, cluster`` by Ward linkage on 1 - corr, cut at ``height``; clusters count from 1 by their least code.
+def _ward(pairs: DataFrame, height: float) -> tuple[DataFrame, list[DataFrame]]:
+    """``code, c`` with the least code of each cluster at ``height``; and for each round the pairs of codes it joined, with the height of the merge.
 
     In each round all pairs of clusters that are nearest to each other merge, as far as the height allows:
     Ward's distance to other clusters never falls by a merge, so this gives the
@@ -55,6 +57,7 @@ def ward_clusters(pairs: DataFrame, height: float = 0.8) -> DataFrame:
     grid = codes.select(F.col("code").alias("a")).join(codes.select(F.col("code").alias("b")), F.col("a") != F.col("b"))
     dist = cut_lineage(grid.join(both, ["a", "b"], "left").select("a", "b", F.coalesce("d", F.lit(1.0)).alias("d")))
     members = cut_lineage(codes.select("code", F.col("code").alias("c")))
+    joined = []
     while True:
         near = dist.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", "m.b", "m.d")
         back = near.select(F.col("a").alias("b"), F.col("b").alias("a2"))
@@ -71,11 +74,44 @@ def ward_clusters(pairs: DataFrame, height: float = 0.8) -> DataFrame:
         left = _merged(outer, now, now.select(F.col("a").alias("b"), F.col("n").alias("nb")))
         turned = left.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")
         dist = cut_lineage(_merged(turned, now, grown.select(F.col("root").alias("b"), "nb")))
+        held, gone = (members.select(F.col("c").alias(c), F.col("code").alias(f"code_{x}")) for c, x in (("root", "x"), ("gone", "y")))
+        joined.append(merges.join(held, "root").join(gone, "gone").select("code_x", "code_y", "h"))
         members = cut_lineage(members.join(now.select(F.col("a").alias("c"), "root"), "c").select("code", F.col("root").alias("c")))
+    return members, joined
+
+
+def ward_clusters(pairs: DataFrame, height: float = 0.8) -> DataFrame:
+    """``code, cluster`` by Ward linkage on 1 - corr, cut at ``height``; clusters count from 1 by their least code."""
+    members, _ = _ward(pairs, height)
     number = members.select("c").distinct().select("c", F.row_number().over(Window.orderBy("c")).alias("cluster"))  # one row a cluster
     return members.join(number, "c").select("code", "cluster")
 
 
+def merge_heights(pairs: DataFrame) -> DataFrame:
+    """``code_a, code_b, height`` of all pairs: the height at which Ward linkage on 1 - corr brings them together (their cophenetic distance)."""
+    _, joined = _ward(pairs, float("inf"))
+    low, high = F.least("code_x", "code_y").alias("code_a"), F.greatest("code_x", "code_y").alias("code_b")
+    rounds = [x.select(low, high, F.col("h").alias("height")) for x in joined]
+    if not rounds:
+        return pairs.select("code_a", "code_b", F.lit(None).cast("double").alias("height")).limit(0)
+    return reduce(DataFrame.unionByName, rounds)
+
+
+def related_clusters(heights: DataFrame, members: DataFrame, picked: DataFrame, top: int = 3) -> DataFrame:
+    """``cluster, place, related, height, codes``: for each cluster without a picked code, the ``top`` clusters with one that are nearest to it.
+
+    The height between clusters is the least between their codes; ties go to the better return of a
+    picked code, then the lesser cluster. ``members``: code, cluster; ``picked``: code, ret.
+    """
+    chosen = members.join(picked, "code").groupBy(F.col("cluster").alias("related")).agg(F.array_sort(F.collect_list("code")).alias("codes"), F.max("ret").alias("ret"))
+    missed = members.join(chosen.select(F.col("related").alias("cluster")), "cluster", "left_anti")
+    both = heights.unionByName(heights.select(F.col("code_b").alias("code_a"), F.col("code_a").alias("code_b"), "height"))
+    from_, to = missed.select(F.col("code").alias("code_a"), "cluster"), members.select(F.col("code").alias("code_b"), F.col("cluster").alias("related"))
+    near = both.join(from_, "code_a").join(to, "code_b").groupBy("cluster", "related").agg(F.min("height").alias("height")).join(chosen, "related")
+    order = Window.partitionBy("cluster").orderBy(F.round("height", 9), F.desc_nulls_last("ret"), "related")
+    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).select("cluster", "place", "related", "height", "codes")
+
+
 def return_score(bars: DataFrame, days: int = 252) -> DataFrame:
     """Per code: Sharpe ratio, 12-1 momentum and their mean percentile rank, equal values at their mean rank."""
     back = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("d")))

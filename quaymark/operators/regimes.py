@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaymark.functions import windows as w
+from quaymark.operators.machines import by_code
 from quaymark.operators.runs import with_run
 
 
@@ -178,3 +180,36 @@ def budget(rows: DataFrame) -> DataFrame:
     tier = F.when(n >= 2, "stress").when(weak | deep, "defensive").when(rough, "cautious").otherwise("normal")
     share = F.when(n >= 2, F.when(deep, 0.50).otherwise(0.65)).when(weak | deep, 0.82).when(rough, 0.92).otherwise(1.0)
     return rows.withColumns({"tier": tier, "budget": share})
+
+
+#: Tiers from best to worst, their budgets, and that of stress in a deep fall.
+TIERS, SHARES, DEEP = ("normal", "cautious", "defensive", "stress"), (1.0, 0.92, 0.82, 0.65), 0.50
+
+
+def confirmed_tiers(tiers: list[str], worse: int = 3, better: int = 1, better_low: int = 2, hold: int = 3) -> list[str]:
+    """A worse tier counts after ``worse`` days in a row below the one held, a better one after ``better``, from the two lowest after ``better_low``; stress holds for ``hold`` days."""
+    rank = {t: i for i, t in enumerate(TIERS)}
+    held, down, up, kept, out = tiers[0] if tiers else "", 0, 0, 0, []
+    for tier in tiers:
+        step = rank[tier] - rank[held]
+        down, up = (down + 1 if step > 0 else 0), (up + 1 if step < 0 and not kept else 0)
+        if down >= worse:
+            held, down = tier, 0
+            kept = hold if tier == "stress" else kept
+        elif up and up >= (better_low if rank[held] >= 2 else better):
+            held, up = tier, 0
+        kept = max(kept - 1, 0)
+        out.append(held)
+    return out
+
+
+def confirmed_budget(rows: DataFrame) -> DataFrame:
+    """``code, d, tier, confirmed, budget``: ``budget`` with its tiers confirmed over days."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        held = confirmed_tiers(g["tier"].tolist())
+        share = [DEEP if t == "stress" and deep else SHARES[TIERS.index(t)] for t, deep in zip(held, g["deep"], strict=True)]
+        return g.assign(confirmed=held, budget=share)[["code", "d", "tier", "confirmed", "budget"]]
+
+    tiers = budget(rows).select("code", "d", "tier", F.coalesce(F.col("dd60") <= -0.10, F.lit(False)).alias("deep"))
+    return by_code(tiers, run, "code string, d date, tier string, confirmed string, budget double")

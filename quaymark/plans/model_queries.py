@@ -251,14 +251,51 @@ def alert_event_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.event_matches(events, alerts)
 
 
-@query(
-    "code:s d:d tier:s budget:f",
-    f"""{BARS}, l AS (SELECT *, ln(close) - lag(ln(close)) {BY} AS r, {mean_sql('close', 20)} AS ma20, {mean_sql('close', 60)} AS ma60, close / max(close) {over(60)} - 1 AS dd60 FROM bars),
+TIERS = f"""{BARS}, l AS (SELECT *, ln(close) - lag(ln(close)) {BY} AS r, {mean_sql('close', 20)} AS ma20, {mean_sql('close', 60)} AS ma60, close / max(close) {over(60)} - 1 AS dd60 FROM bars),
     v AS (SELECT *, CASE WHEN count(r) {over(20)} >= 20 THEN stddev_pop(r) {over(20)} * sqrt(252) END AS rv20 FROM l),
     m AS (SELECT *, CASE WHEN count(rv20) OVER p >= 60 THEN quantile_cont(rv20, 0.5) OVER p END AS med FROM v WINDOW p AS (PARTITION BY code ORDER BY d ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING)),
     f AS (SELECT *, CASE WHEN close < ma60 AND ma20 < ma60 THEN 1 ELSE 0 END AS wk, CASE WHEN rv20 > 1.25 * med THEN 1 ELSE 0 END AS ro, CASE WHEN dd60 <= -0.1 THEN 1 ELSE 0 END AS dp FROM m),
-    final AS (SELECT code, d, CASE WHEN wk + ro + dp >= 2 THEN 'stress' WHEN wk = 1 OR dp = 1 THEN 'defensive' WHEN ro = 1 THEN 'cautious' ELSE 'normal' END AS tier,
-      CASE WHEN wk + ro + dp >= 2 THEN CASE WHEN dp = 1 THEN 0.5 ELSE 0.65 END WHEN wk = 1 OR dp = 1 THEN 0.82 WHEN ro = 1 THEN 0.92 ELSE 1.0 END AS budget FROM f)""",
-)
+    bt AS (SELECT code, d, dp, CASE WHEN wk + ro + dp >= 2 THEN 'stress' WHEN wk = 1 OR dp = 1 THEN 'defensive' WHEN ro = 1 THEN 'cautious' ELSE 'normal' END AS tier,
+      CASE WHEN wk + ro + dp >= 2 THEN CASE WHEN dp = 1 THEN 0.5 ELSE 0.65 END WHEN wk = 1 OR dp = 1 THEN 0.82 WHEN ro = 1 THEN 0.92 ELSE 1.0 END AS budget FROM f)"""
+
+
+@query("code:s d:d tier:s budget:f", f"{TIERS}, final AS (SELECT * FROM bt)")
 def benchmark_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regimes.budget(features.benchmark_features(derive_bars(spark, sf_dir)))
+
+
+RANK = "list_position(['normal', 'cautious', 'defensive', 'stress'], {})"
+STEP = f"({RANK.format('x.tier')} - {RANK.format('s.confirmed')})"
+DOWN, UP = f"(CASE WHEN {STEP} > 0 THEN s.dn + 1 ELSE 0 END)", f"(CASE WHEN {STEP} < 0 AND s.kept = 0 THEN s.ups + 1 ELSE 0 END)"
+FELL, ROSE = f"({DOWN} >= 3)", f"({UP} >= CASE WHEN {RANK.format('s.confirmed')} >= 3 THEN 2 ELSE 1 END)"
+TIER_FOLD = fold_sql(
+    "tf", "bt", "tier, dp", {"confirmed": "x.tier", "dn": "0", "ups": "0", "kept": "0"},
+    {"confirmed": f"CASE WHEN {FELL} OR {ROSE} THEN x.tier ELSE s.confirmed END", "dn": f"CASE WHEN {FELL} THEN 0 ELSE {DOWN} END", "ups": f"CASE WHEN {ROSE} THEN 0 ELSE {UP} END",
+     "kept": f"greatest(CASE WHEN {FELL} AND x.tier = 'stress' THEN 3 ELSE s.kept END - 1, 0)"},
+)
+
+
+@query(
+    "code:s d:d tier:s confirmed:s budget:f",
+    f"""{TIERS}, {TIER_FOLD}, final AS (SELECT code, d, tier, confirmed, CASE WHEN confirmed = 'stress' AND dp = 1 THEN 0.5 ELSE [1.0, 0.92, 0.82, 0.65][{RANK.format('confirmed')}] END AS budget FROM tf)""",
+)
+def confirmed_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regimes.confirmed_budget(features.benchmark_features(derive_bars(spark, sf_dir)))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.pair_correlation(cluster.returns(derive_bars(spark, sf_dir, "nation")))
+
+
+@query("code_a:s code_b:s height:f")
+def cluster_merge_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.merge_heights(_pairs(spark, sf_dir))
+
+
+@query("cluster:i place:i related:i height:f")
+def related_cluster_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters without one of the three best codes, and the nearest that have one."""
+    pairs = _pairs(spark, sf_dir)
+    scores = cluster.return_score(derive_bars(spark, sf_dir, "nation"))
+    picked = scores.orderBy(F.desc("score"), "code").limit(3).select("code", F.col("momentum").alias("ret"))
+    return cluster.related_clusters(cluster.merge_heights(pairs), cluster.ward_clusters(pairs), picked)

@@ -159,7 +159,7 @@ def method_training_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
       CASE WHEN NOT coalesce(nested, false) THEN 'one_fold' WHEN same THEN 'baseline' WHEN better IS NULL THEN 'no_figures' WHEN better THEN 'passed' ELSE 'failed' END AS reason, posterior FROM cj)""",
 )
 def method_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars, labelled = derive_bars(spark, sf_dir), _labelled(spark, sf_dir)
+    bars, labelled = derive_bars(spark, sf_dir), cut_lineage(_labelled(spark, sf_dir))
     truth = swings.swing_labels(bars, PROM, up=UP, down=DOWN)
     baselines = selection.legacy_choice(selection.training_scores(labelled, truth), ORDER, "stacked")
     return selection.nested_choice(_fold_metrics(labelled, bars), baselines, ORDER)

@@ -55,3 +55,40 @@ def test_trimming_equals_one_code_at_a_time(spark):
         spark.createDataFrame(list(score.items()), "code string, score double"), 0.6,
     )
     assert [r["code"] for r in found.orderBy("rank").collect()] == kept
+
+
+def joins_one_by_one(points: np.ndarray) -> dict[tuple[int, int], float]:
+    """The height at which each pair comes together, merging the cheapest clusters first."""
+    groups, out = [[i] for i in range(len(points))], {}
+
+    def cost(x, y):
+        a, b = points[x].mean(axis=0), points[y].mean(axis=0)
+        return np.sqrt(2 * len(x) * len(y) / (len(x) + len(y))) * np.linalg.norm(a - b)
+
+    while len(groups) > 1:
+        i, j = min(itertools.combinations(range(len(groups)), 2), key=lambda p: cost(groups[p[0]], groups[p[1]]))
+        out |= {(min(a, b), max(a, b)): cost(groups[i], groups[j]) for a in groups[i] for b in groups[j]}
+        groups[i] = sorted(groups[i] + groups.pop(j))
+    return out
+
+
+def test_merge_heights_and_related_clusters(spark):
+    points = np.random.default_rng(4).normal(size=(9, 3)) * 0.5
+    rows = [(f"c{i}", f"c{j}", float(1 - np.linalg.norm(points[i] - points[j]))) for i, j in itertools.combinations(range(9), 2)]
+    heights = cluster.merge_heights(spark.createDataFrame(rows, "code_a string, code_b string, corr double")).cache()
+    want = joins_one_by_one(points)
+    found = {(int(r["code_a"][1]), int(r["code_b"][1])): r["height"] for r in heights.collect()}
+    assert found.keys() == want.keys() and all(found[p] == pytest.approx(want[p]) for p in want)
+    member = {i: i % 4 for i in range(9)}
+    members = spark.createDataFrame([(f"c{i}", k) for i, k in member.items()], "code string, cluster int")
+    picked = {0: 0.5, 4: 0.1, 1: 0.2, 2: None}
+    near = {}
+    for missed in {3}:
+        for other in (0, 1, 2):
+            near[other] = min(want[min(a, b), max(a, b)] for a in member for b in member if member[a] == missed and member[b] == other)
+    order = sorted(near, key=lambda k: (round(near[k], 9), {0: -0.5, 1: -0.2, 2: 9}[k], k))
+    got = cluster.related_clusters(heights, members, spark.createDataFrame([(f"c{i}", r) for i, r in picked.items()], "code string, ret double"), 2).orderBy("place").collect()
+    assert [(r["cluster"], r["place"], r["related"]) for r in got] == [(3, 1, order[0]), (3, 2, order[1])]
+    assert got[0]["height"] == pytest.approx(near[order[0]]) and {tuple(r["codes"]) for r in got} <= {("c0", "c4"), ("c1",), ("c2",)}
+    none = spark.createDataFrame([], "code_a string, code_b string, corr double")
+    assert cluster.merge_heights(none).count() == 0

@@ -74,3 +74,15 @@ def test_turnover_is_paid_on_the_bar_of_the_target():
     close = np.full(5, 10.0)
     _, weight, equity = machines.rule_trades(close, masks(5, 0), masks(5), masks(5), cost=0.01)
     assert weight.tolist() == [0, 0, 1, 1, 1] and equity.tolist() == pytest.approx([1, 0.99, 0.99, 0.99, 0.99])
+
+
+def test_confirmed_tiers():
+    from quaymark.operators.regimes import confirmed_tiers
+
+    n, c, d, s = "normal", "cautious", "defensive", "stress"
+    assert confirmed_tiers([]) == [] and confirmed_tiers([s, n, n]) == [s, s, n]
+    assert confirmed_tiers([n, d, d, n, d, d, d, n, n, n]) == [n, n, n, n, n, n, d, d, n, n]
+    assert confirmed_tiers([n, c, c, c, n]) == [n, n, n, c, n]
+    # Stress holds for three days, of which its first is one; better days before that don't count.
+    assert confirmed_tiers([n, s, s, s, n, n, n, n, n]) == [n, n, n, s, s, s, s, n, n]
+    assert confirmed_tiers([n, c, d, s]) == [n, n, n, s]
