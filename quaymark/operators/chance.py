@@ -97,9 +97,9 @@ def promotion_race(rows: DataFrame, least: int = 20) -> DataFrame:
 def crossfit(rows: DataFrame, features: list[str], label: str, month: str, least: int = 30, ridge: float = 1.0, steps: int = 12) -> DataFrame:
     """``rows`` with ``p``: each month's logistic model learns from all months before it.
 
-    Newton steps of all months' models together: every step adds up gradients and
-    curvatures by month of the rows, which are then summed over the months
-    before, so the rows are read once a step and never multiplied. Months without ``least`` rows of both classes before get NULL.
+    Newton steps of all months' models together: a step adds up gradients and
+    curvatures of each month's model over the rows of all months before it, so a row is read once for
+    each later month in every step; models differ, so no sum serves two of them. Months without ``least`` rows of both classes before get NULL.
     """
     k = len(features) + 1
     known = rows.where(F.col(label).isNotNull())

@@ -59,7 +59,8 @@ def _ward(pairs: DataFrame, height: float) -> tuple[DataFrame, list[DataFrame]]:
     members = cut_lineage(codes.select("code", F.col("code").alias("c")))
     joined = []
     while True:
-        near = dist.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", "m.b", "m.d")
+        # Rounded, so that (a, b) and (b, a), summed apart, order alike.
+        near = dist.groupBy("a").agg(F.min(F.struct(F.round("d", 12).alias("r"), "b", "d")).alias("m")).select("a", "m.b", "m.d")
         back = near.select(F.col("a").alias("b"), F.col("b").alias("a2"))
         merges = near.join(back, "b").where((F.col("a") == F.col("a2")) & (F.col("a") < F.col("b")) & (F.col("d") <= height))
         merges = cut_lineage(merges.select(F.col("a").alias("root"), F.col("b").alias("gone"), F.col("d").alias("h")))

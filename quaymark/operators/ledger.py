@@ -132,20 +132,21 @@ def drawdowns(equity: DataFrame, bars: DataFrame, since: str) -> DataFrame:
 
 def failure_tests(falls: DataFrame, trades: DataFrame, waiting: bool = False) -> DataFrame:
     """Rows of ``test, n, value, status`` (pass, fail or open): K1 share of names that fell less than holding, K2 wins of
-    closed trades, K3 names past their fuse, and the overall status."""
+    closed trades, K3 names past their fuse (open while a name has no drawdown to compare), and the overall status."""
     fell = F.col("bh_mdd") <= DROP
     less = fell & flag(F.col("strat_mdd") > F.col("bh_mdd"))
     fuse = (F.col("sample_mdd") < 0) & (F.abs("strat_mdd") > MULTIPLE * F.abs("sample_mdd")) & (F.col("strat_mdd") < F.col("bh_mdd"))
+    unknown = F.col("strat_mdd").isNull() | F.coalesce(F.col("sample_mdd") >= 0, F.lit(True))
     names = falls.agg(
         F.sum(flag(fell).cast("long")).alias("n1"), (F.sum(flag(less).cast("long")) / F.nullif(F.sum(flag(fell).cast("long")), F.lit(0))).alias("share"),
-        F.sum(flag(fuse).cast("long")).alias("fused"), F.count("*").alias("names"),
+        F.sum(flag(fuse).cast("long")).alias("fused"), F.count("*").alias("names"), F.sum(unknown.cast("long")).alias("unknown"),
     )
     r = F.col("ret_net")
     done = trades.where(r.isNotNull()).agg(F.count("*").alias("n2"), F.avg((r > 0).cast("double")).alias("wins"), F.percentile("ret_net", 0.5).alias("median"))
     k1 = F.when(F.col("n1") < LEAST_NAMES, "open").when(F.col("share") < FAIL_SHARE, "fail").otherwise("pass")
     bad2 = (F.col("wins") <= FAIL_WINS / LEAST_TRADES) | ~(F.col("median") > 0)
     k2 = F.when(F.col("n2") < LEAST_TRADES, "open").when(bad2, "fail").otherwise("pass")
-    k3 = F.when(F.col("fused") > 0, "fail").otherwise("pass")
+    k3 = F.when(F.col("fused") > 0, "fail").when((F.col("names") == 0) | (F.col("unknown") > 0), "open").otherwise("pass")
     whole = (
         F.when(k3 == "fail", "fail").when(F.lit(waiting), "open").when((k1 == "fail") | (k2 == "fail"), "fail").when((k1 == "pass") & (k2 == "pass"), "pass").otherwise("open")
     )

@@ -84,9 +84,10 @@ def trade_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     fl AS (SELECT *, equity / max(equity) OVER o - 1 AS e, close / max(close) OVER o - 1 AS b FROM eq WINDOW o AS (PARTITION BY code, later ORDER BY d)),
     dn AS (SELECT code, min(CASE WHEN later THEN e END) AS sm, min(CASE WHEN later THEN b END) AS bm, min(CASE WHEN NOT later THEN e END) AS pm FROM fl GROUP BY code),
     k AS (SELECT sum(CASE WHEN bm <= -0.05 THEN 1 ELSE 0 END) AS n1, sum(CASE WHEN bm <= -0.05 AND sm > bm THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN bm <= -0.05 THEN 1 ELSE 0 END), 0) AS share,
-      sum(CASE WHEN pm < 0 AND abs(sm) > 1.5 * abs(pm) AND sm < bm THEN 1 ELSE 0 END) AS fused, count(*) AS names FROM dn),
+      sum(CASE WHEN pm < 0 AND abs(sm) > 1.5 * abs(pm) AND sm < bm THEN 1 ELSE 0 END) AS fused, count(*) AS names,
+      sum(CASE WHEN sm IS NULL OR coalesce(pm >= 0, true) THEN 1 ELSE 0 END) AS unknown FROM dn),
     c AS (SELECT count(*) AS n2, avg(CASE WHEN ret_net > 0 THEN 1.0 ELSE 0 END) AS wins, quantile_cont(ret_net, 0.5) AS median FROM lg WHERE ret_net IS NOT NULL),
-    st AS (SELECT *, CASE WHEN n1 < 5 THEN 'open' WHEN share < 0.5 THEN 'fail' ELSE 'pass' END AS k1, CASE WHEN n2 < 30 THEN 'open' WHEN wins <= 11.0 / 30 OR NOT median > 0 THEN 'fail' ELSE 'pass' END AS k2, CASE WHEN fused > 0 THEN 'fail' ELSE 'pass' END AS k3 FROM k, c),
+    st AS (SELECT *, CASE WHEN n1 < 5 THEN 'open' WHEN share < 0.5 THEN 'fail' ELSE 'pass' END AS k1, CASE WHEN n2 < 30 THEN 'open' WHEN wins <= 11.0 / 30 OR NOT median > 0 THEN 'fail' ELSE 'pass' END AS k2, CASE WHEN fused > 0 THEN 'fail' WHEN names = 0 OR unknown > 0 THEN 'open' ELSE 'pass' END AS k3 FROM k, c),
     final AS (SELECT 'k1' AS test, n1 AS n, CAST(share AS DOUBLE) AS value, k1 AS status FROM st UNION ALL SELECT 'k2', n2, wins, k2 FROM st UNION ALL SELECT 'k3', names, fused, k3 FROM st
       UNION ALL SELECT 'overall', NULL, NULL, CASE WHEN k3 = 'fail' THEN 'fail' WHEN k1 = 'fail' OR k2 = 'fail' THEN 'fail' WHEN k1 = 'pass' AND k2 = 'pass' THEN 'pass' ELSE 'open' END FROM st)""",
 )
