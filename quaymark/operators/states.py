@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Callable
 
 import numpy as np
@@ -211,3 +212,49 @@ def clamped_rails(rows: DataFrame, gap: str, path: str, q: float = 0.95, floor_q
         return out.astype(object).where(out.notna(), None)
 
     return by_code(rows.select("code", "d", gap, path, "vol_state"), run, "code string, d date, lower double, upper double")
+
+
+def _quantile(ordered: list[float], q: float) -> float:
+    """Linear between the two values around the place."""
+    at = q * (len(ordered) - 1)
+    low = int(at)
+    high = min(low + 1, len(ordered) - 1)
+    return ordered[low] + (at - low) * (ordered[high] - ordered[low])
+
+
+def scaled_rails(rows: DataFrame, gap: str, path: str, q: float = 0.95, least: int = 63, cover: float = 0.95, least_calm: int = 20, most: float = 4.0, widest: float = 5.0) -> DataFrame:
+    """``code, d, lower, upper``: rails in units of the moving volatility that hold ``cover`` of the calm days.
+
+    No rail is nearer than the ``cover`` quantile of calm residuals so far. While the rails held less than that of the calm closes before, a calm day's
+    width is inflated by the quantile of their residuals in units of their widths, at most ``most`` times. Each past is kept in order, so a day costs one
+    insertion. ``rows`` have ``vol_state``.
+    """
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        res, mid, calm = g[gap].to_numpy(float), g[path].to_numpy(float), (g["vol_state"] == "calm").to_numpy()
+        sigma = ewma_sigma(res)
+        units: list[float] = []
+        quiet: list[float] = []
+        scores: list[float] = []
+        held = 0
+        width = np.full(len(res), np.nan)
+        for i, r in enumerate(np.abs(res)):
+            seen, known = not np.isnan(r), sigma[i] > 0
+            if seen and known:
+                insort(units, r / sigma[i])
+            if seen and calm[i]:
+                insort(quiet, r)
+            if len(units) < least or not known or np.isnan(mid[i]):
+                continue
+            raw = _quantile(units, q) * sigma[i]
+            if len(quiet) >= least_calm:
+                raw = max(raw, _quantile(quiet, cover))
+            grown = calm[i] and len(scores) >= least_calm and held < cover * len(scores)
+            width[i] = min(raw * min(most, max(1.0, _quantile(scores, cover))) if grown else raw, widest)
+            if calm[i] and seen and raw >= 1e-8:
+                insort(scores, r / raw)
+                held += r <= width[i]
+        out = pd.DataFrame({"code": g["code"], "d": g["d"], "lower": mid * np.exp(-width), "upper": mid * np.exp(width)})
+        return out.astype(object).where(out.notna(), None)
+
+    return by_code(rows.select("code", "d", gap, path, "vol_state"), run, "code string, d date, lower double, upper double")

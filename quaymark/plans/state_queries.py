@@ -156,15 +156,31 @@ CLAMP = fold_sql(
 )
 
 
-@query(
-    "code:s d:d lower:f upper:f",
-    f"""{bars_sql()}, {panels_sql(['fig9'])}, v AS (SELECT *, CASE WHEN count(r) {over(5)} >= 5 THEN stddev_pop(r) {over(5)} * sqrt(252) END AS rv FROM feat),
+CALM_ROWS = f"""{bars_sql()}, {panels_sql(['fig9'])}, v AS (SELECT *, CASE WHEN count(r) {over(5)} >= 5 THEN stddev_pop(r) {over(5)} * sqrt(252) END AS rv FROM feat),
     h AS (SELECT *, list(rv) FILTER (WHERE rv IS NOT NULL) {over(252)} AS hist FROM v),
     cm AS (SELECT code, d, coalesce(CASE WHEN len(hist) >= 60 AND rv IS NOT NULL THEN len(list_filter(hist, lambda x: x <= rv)) / len(hist) END <= 0.30, false) AS calm FROM h),
     {EWMA}, z AS (SELECT *, sqrt(v) AS sigma, abs(g / CASE WHEN v > 0 THEN sqrt(v) END) AS z FROM ew),
-    cw AS (SELECT z.code, z.d, g, mid, calm, CASE WHEN v > 0 AND mid IS NOT NULL AND count(z) OVER o >= 63 THEN quantile_cont(z, 0.95) OVER o * sigma END AS wd FROM z JOIN cm ON cm.code = z.code AND cm.d = z.d WINDOW o AS (PARTITION BY z.code ORDER BY z.d ROWS UNBOUNDED PRECEDING)),
-    {CLAMP}, final AS (SELECT code, d, mid * exp(-width) AS lower, mid * exp(width) AS upper FROM cl)""",
-)
+    cw AS (SELECT z.code, z.d, g, mid, calm, CASE WHEN v > 0 AND mid IS NOT NULL AND count(z) OVER o >= 63 THEN quantile_cont(z, 0.95) OVER o * sigma END AS wd FROM z JOIN cm ON cm.code = z.code AND cm.d = z.d WINDOW o AS (PARTITION BY z.code ORDER BY z.d ROWS UNBOUNDED PRECEDING))"""
+
+
+@query("code:s d:d lower:f upper:f", f"{CALM_ROWS}, {CLAMP}, final AS (SELECT code, d, mid * exp(-width) AS lower, mid * exp(width) AS upper FROM cl)")
 def clamped_rails(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features.vol_regime(features.rails(features.fair_path(features.with_logs(derive_bars(spark, sf_dir)), ["fig9"]), ["fig9"]))
     return states.clamped_rails(rows, "fig9_gap", "fig9_path")
+
+
+RAW = f"greatest(x.wd, CASE WHEN len({CALM}) >= 20 THEN list_aggregate({CALM}, 'quantile_cont', 0.95) ELSE 0 END)"
+INFLATED = f"least(CASE WHEN x.calm AND len(s.sc) >= 20 AND list_avg(s.ins) < 0.95 THEN {RAW} * least(4, greatest(1, list_aggregate(s.sc, 'quantile_cont', 0.95))) ELSE {RAW} END, 5)"
+SCORED = f"(x.calm AND x.wd IS NOT NULL AND x.g IS NOT NULL AND {RAW} >= 1e-8)"
+SCALED = fold_sql(
+    "sr", "cw", "g, mid, wd, calm",
+    {"past": "CASE WHEN x.calm AND x.g IS NOT NULL THEN [abs(x.g)] ELSE CAST([] AS DOUBLE[]) END", "sc": "CAST([] AS DOUBLE[])", "ins": "CAST([] AS DOUBLE[])", "width": "CAST(NULL AS DOUBLE)"},
+    {"past": CALM, "sc": f"CASE WHEN {SCORED} THEN list_append(s.sc, abs(x.g) / {RAW}) ELSE s.sc END",
+     "ins": f"CASE WHEN {SCORED} THEN list_append(s.ins, CASE WHEN abs(x.g) <= {INFLATED} THEN 1.0 ELSE 0.0 END) ELSE s.ins END", "width": f"CASE WHEN x.wd IS NOT NULL THEN {INFLATED} END"},
+)
+
+
+@query("code:s d:d lower:f upper:f", f"{CALM_ROWS}, {SCALED}, final AS (SELECT code, d, mid * exp(-width) AS lower, mid * exp(width) AS upper FROM sr)")
+def scaled_rails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features.vol_regime(features.rails(features.fair_path(features.with_logs(derive_bars(spark, sf_dir)), ["fig9"]), ["fig9"]))
+    return states.scaled_rails(rows, "fig9_gap", "fig9_path")
