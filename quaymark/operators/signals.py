@@ -255,13 +255,107 @@ def pick_per_group(rows: DataFrame, group: str, *order: Column) -> DataFrame:
     return rows.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
-def beat_anchor(bars: DataFrame, anchor: str, days: int = 60, top: int = 3) -> DataFrame:
-    """Per day, the ``top`` codes whose momentum beats the anchor's, equal weights; else the anchor."""
+def beat_anchor(bars: DataFrame, anchor: str, days: int = 60, top: int = 3, keep: float = 0.0, allowed: DataFrame | None = None) -> DataFrame:
+    """Per day, the ``top`` codes whose momentum beats the anchor's share what the anchor does not ``keep`` equally; without any the anchor has all.
+
+    ``allowed`` (code, d), if given, limits the codes of each day; the anchor needs no leave.
+    """
     rows = bars.withColumn("mom", w.lag_ratio("close", days)).where(F.col("mom").isNotNull()).select("code", "d", "mom")
     base = rows.where(F.col("code") == anchor).select("d", F.col("mom").alias("anchor_mom"))
-    better = rows.where(F.col("code") != anchor).join(base, "d").where("mom > anchor_mom")
+    others = rows.where(F.col("code") != anchor)
+    if allowed is not None:
+        others = others.join(allowed.select("code", "d"), ["code", "d"], "left_semi")
+    better = others.join(base, "d").where("mom > anchor_mom")
     rank = F.row_number().over(Window.partitionBy("d").orderBy(F.desc("mom"), "code"))
     chosen = better.withColumn("rank", rank).where(F.col("rank") <= top)
-    chosen = chosen.withColumn("weight", 1 / F.count("*").over(Window.partitionBy("d"))).select("d", "code", "weight")
-    alone = base.join(chosen.select("d").distinct(), "d", "left_anti").select("d", F.lit(anchor).alias("code"), F.lit(1.0).alias("weight"))
-    return chosen.unionByName(alone)
+    chosen = chosen.withColumn("weight", (1 - keep) / F.count("*").over(Window.partitionBy("d"))).select("d", "code", "weight")
+    turned = base.join(chosen.select("d", F.lit(True).alias("some")).distinct(), "d", "left")
+    own = turned.select("d", F.lit(anchor).alias("code"), F.when(F.col("some"), F.lit(float(keep))).otherwise(1.0).alias("weight"))
+    return chosen.unionByName(own.where("weight > 0"))
+
+
+def tail_veto(rows: DataFrame, q05: str, match: str | None = None, share: float = 0.25) -> DataFrame:
+    """Rows that pass a day's floor of ``q05``: its ``share`` quantile among the codes that have one; with ``match`` among, and only for, those with a match of 1 or more."""
+    known = rows.where(F.col(q05 if match is None else match).isNotNull())
+    day = Window.partitionBy("d")
+    passed = known.withColumn("floor", F.percentile(q05, F.lit(share)).over(day)).where(F.col(q05) >= F.col("floor"))
+    return passed if match is None else passed.where(F.col(match) >= 1)
+
+
+def extrema_candidates(rows: DataFrame, back: int = 10, knife: str = "gap_touch") -> DataFrame:
+    """Add ``buy`` and ``sell``: below (above) falling (rising) short means with both returns under (over) what risk asks, at the least (greatest) close of ``back`` bars.
+
+    ``knife`` asks for more: a 20-day gap of 2 % (``gap``), a rail touched or for a buy a long discount of 5 % (``touch``), or both. ``rows``: close,
+    ma5, ma20, gap_5, gap_20, fig7_gap and the touches of fig9 and fig10.
+    """
+    c, g5, g20 = F.col("close"), F.col("gap_5"), F.col("gap_20")
+    top, low = F.col("fig9_touch_hi") | F.col("fig10_touch_hi"), F.col("fig9_touch_lo") | F.col("fig10_touch_lo")
+    buy = (c < F.col("ma20")) & (F.col("ma5") < F.col("ma20")) & (g5 <= 0) & (g20 <= 0) & ~top & w.is_low("close", back)
+    sell = (c > F.col("ma20")) & (F.col("ma5") > F.col("ma20")) & (g5 >= 0) & (g20 >= 0) & w.is_high("close", back)
+    if knife not in ("none", "gap", "touch", "gap_touch"):
+        raise ValueError(f"no knife {knife}")
+    if "gap" in knife:
+        buy, sell = buy & (g20 <= -0.02), sell & (g20 >= 0.02)
+    if "touch" in knife:
+        buy, sell = buy & (flag(low) | flag(F.col("fig7_gap") <= -0.05)), sell & top
+    return rows.withColumns({"buy": flag(buy), "sell": flag(sell)})
+
+
+def alternating_trades(rows: DataFrame, buy: str, sell: str) -> DataFrame:
+    """Trades of a long position that ``buy`` opens and ``sell`` closes, each at the next close; ``code, trade_no, signal_d, entry_d, leave_d, exit_d, entry_px, exit_px, ret, bars_held``.
+
+    Signals while the position is as they want it are passed over: of each run of one kind the first counts, from the
+    first buy on. The last bar gives no signal; an open trade is marked at it and has no leave or exit day.
+    """
+    order = Window.partitionBy("code").orderBy("d")
+    ends = {"bar": F.row_number().over(order), "next_d": F.lead("d").over(order), "next_c": F.lead("close").over(order)}
+    last = Window.partitionBy("code")
+    rows = rows.withColumns(ends).withColumns({"last_c": F.max_by("close", "bar").over(last), "last_bar": F.max("bar").over(last)})
+    kind = F.when(F.col(buy), "buy").when(F.col(sell), "sell")
+    marks = rows.withColumn("kind", kind).where(F.col("kind").isNotNull() & F.col("next_d").isNotNull())
+    marks = marks.withColumn("was", F.coalesce(F.lag("kind").over(order), F.lit("sell"))).where("kind <> was")
+    after = {f"x_{c}": F.lead(c).over(order) for c in ("d", "next_d", "next_c", "bar")}
+    trades = marks.withColumns(after).where("kind = 'buy'")
+    px = F.coalesce("x_next_c", "last_c")
+    return trades.select(
+        "code", F.row_number().over(order).alias("trade_no"), F.col("d").alias("signal_d"), F.col("next_d").alias("entry_d"), F.col("x_d").alias("leave_d"), F.col("x_next_d").alias("exit_d"),
+        F.col("next_c").alias("entry_px"), px.alias("exit_px"), (px / F.col("next_c") - 1).alias("ret"), (F.coalesce(F.col("x_bar") + 1, "last_bar") - F.col("bar") - 1).alias("bars_held"),
+    )
+
+
+def event_equity(rows: DataFrame, action: str, hold: int = 5, cost: float = 0.0010) -> DataFrame:
+    """``d, n, ret, equity, fall`` of equal weights over all positions open on a day.
+
+    A row with ``action`` buy or sell opens one at the next open, held to the close ``hold`` bars after the signal; a sell counts the negative of
+    its path. The first day, from open to close, bears the ``cost``. Signals without ``hold`` bars after them are left out. A
+    bar belongs to at most ``hold`` positions of its code, so the join by bar adds no more rows than that.
+    """
+    numbered = rows.withColumns({"bar": w.bar_no(), "day_ret": F.col("close") / F.lag("close").over(w.by_code()) - 1, "open_ret": F.col("close") / F.col("open") - 1})
+    size = numbered.withColumn("_n", F.count("*").over(Window.partitionBy("code")))
+    taken = size.where(F.col(action).isin("buy", "sell") & (F.col("bar") + hold <= F.col("_n")))
+    taken = taken.select("code", F.col("bar").alias("at"), F.when(F.col(action) == "buy", 1.0).otherwise(-1.0).alias("sign"), F.explode(F.sequence(F.lit(1), F.lit(hold))).alias("k"))
+    held = taken.withColumn("bar", F.col("at") + F.col("k")).join(numbered.select("code", "bar", "d", "day_ret", "open_ret"), ["code", "bar"])
+    part = F.when(F.col("k") == 1, F.col("sign") * F.col("open_ret") - cost).otherwise(F.col("sign") * F.col("day_ret"))
+    days = held.groupBy("d").agg(F.count("*").alias("n"), F.avg(part).alias("ret"))
+    so_far = Window.orderBy("d")  # one row a day
+    curve = days.withColumn("equity", F.exp(F.sum(F.log(F.col("ret") + 1)).over(so_far)))
+    return curve.withColumn("fall", F.col("equity") / F.greatest(F.max("equity").over(so_far), F.lit(1.0)) - 1)
+
+
+def after_anchor(bars: DataFrame, anchor: str, windows: tuple[int, ...] = (20, 60)) -> DataFrame:
+    """Per code and window: ``ret, upside, drawdown`` over the bars after the last market day up to ``anchor``, and the return's share of rank.
+
+    A window counts market days (days of any code); one that ends beyond the last day, or in which a code has no bar, is NULL, and so are codes without a bar on the anchor day.
+    """
+    days = bars.select("d").distinct().withColumn("day", F.row_number().over(Window.orderBy("d")))  # one row a day
+    start = days.where(F.col("d") <= F.lit(anchor).cast("date")).agg(F.max("day").alias("start"))
+    end = days.agg(F.max("day").alias("end"))
+    rows = bars.join(days, "d").join(F.broadcast(start)).join(F.broadcast(end))  # both of one row
+    base = rows.where("day = start AND close > 0").select("code", F.col("close").alias("base"))
+    spans = F.explode(F.array(*map(F.lit, windows))).alias("days")
+    codes = rows.select("code").distinct().join(base, "code", "left").select("code", "base", spans)
+    ahead = rows.select("code", "day", "close", "start", "end", spans).where((F.col("day") > F.col("start")) & (F.col("day") <= F.col("start") + F.col("days")) & (F.col("start") + F.col("days") <= F.col("end")))
+    facts = ahead.groupBy("code", "days").agg(F.max_by("close", "day").alias("last"), F.max("close").alias("most"), F.min("close").alias("least"))
+    found = codes.join(facts, ["code", "days"], "left").select("code", "days", *[(F.col(c) / F.col("base") - 1).alias(n) for c, n in (("last", "ret"), ("most", "upside"), ("least", "drawdown"))])
+    ranked = found.where("ret IS NOT NULL")
+    return found.where("ret IS NULL").withColumn("rank", F.lit(None).cast("double")).unionByName(ranked.withColumn("rank", w.average_rank(["days"], "ret")))
