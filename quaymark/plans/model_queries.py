@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaymark.functions import windows as w
-from quaymark.operators import cluster, features, labels, machines, regimes
+from quaymark.functions.lineage import cut_lineage
+from quaymark.operators import cluster, features, labels, machines, pool, regimes
 from quaymark.plans.shape import BY, bars_sql, fold_sql, mean_sql, over, panels_sql, query, ratio_sql
 from quaymark.sources.bars import derive_bars
 
@@ -299,3 +300,14 @@ def related_cluster_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = cluster.return_score(derive_bars(spark, sf_dir, "nation"))
     picked = scores.orderBy(F.desc("score"), "code").limit(3).select("code", F.col("momentum").alias("ret"))
     return cluster.related_clusters(cluster.merge_heights(pairs), cluster.ward_clusters(pairs), picked)
+
+
+@query("code:s cluster:i seat:i how:s")
+def multi_rep_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pool of eight codes from clusters of nation bars; one code is forced."""
+    bars = cut_lineage(derive_bars(spark, sf_dir, "nation"))
+    pairs = cut_lineage(cluster.pair_correlation(cluster.returns(bars)))
+    enough = bars.groupBy("code").agg((F.count("*") >= 250).alias("enough"))
+    scores = cluster.return_score(bars).select("code", F.coalesce("score", F.lit(0.0)).alias("score"))
+    members = cluster.ward_clusters(pairs, 0.97).join(scores, "code").join(enough, "code")
+    return pool.select_pool(members, pairs, 8, spark.createDataFrame([("N0",)], "code string"))
