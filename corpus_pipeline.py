@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages over documents, each written and read again."""
+"""The corpus pipeline: five stages over documents, each written and read again.
+
+Every stage takes null ids, languages and sources, empty and very long texts,
+extra columns and an empty table (and gives one). A repeated row is treated as
+any other until near-duplicate removal, which leaves one of it.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +20,7 @@ LEAST_SCORE = 0.1
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without a language; lang becomes the predicted one."""
+    """Drop texts without a language, null and empty ones among them; lang becomes the predicted one. Nearest profiles tie by name."""
     small_batches(spark)
     profiles = lang_id.learn_profiles(docs.where(~lang_id.held_out("doc_id")))
     found = lang_id.identify(docs, profiles)
@@ -24,25 +29,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts that fail the base rule or are robust outliers of their language and source."""
+    """Drop texts that fail the base rule (null and short ones do) or are robust outliers of their language and source; a null language or source counts as one."""
     small_batches(spark)
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the least doc_id of each near-duplicate group."""
+    """Keep the document of the least doc_id of each near-duplicate group; of repeats of it one row stays."""
     small_batches(spark)
     return near_dup.one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace secrets in the texts; n_chars follows."""
+    """Replace secrets in the texts; n_chars follows. No row goes."""
     small_batches(spark)
     return secrets.redact_secrets(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the texts into bins: one row for each piece of a document."""
+    """Pack the texts into bins: one row for each piece of a document, of 0 tokens for a text without words."""
     small_batches(spark)
     return packing.pack(docs)
 

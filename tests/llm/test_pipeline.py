@@ -54,3 +54,19 @@ def test_empty_table(spark, no_docs):
     for _, stage in cp.STAGES:
         kept = stage(spark, kept, "unused")
     assert kept.count() == 0
+
+
+def test_odd_rows_pass_every_stage(spark, odd_docs, tmp_path):
+    """Null ids, languages and sources, repeats, very long texts and clashing columns, written and read between the stages."""
+    kept = odd_docs
+    for name, stage in cp.STAGES:
+        before = kept
+        stage(spark, before, "unused").write.parquet(str(tmp_path / name))
+        kept = spark.read.parquet(str(tmp_path / name))
+        if name != "best_fit_packing":
+            assert kept.columns == odd_docs.columns and kept.count() <= before.count()
+            texts = [r["text"] for r in kept.collect()]
+            assert None not in texts and all(t.strip() for t in texts)
+        if name == "near_duplicates":
+            assert len(texts) == len(set(texts))
+    assert kept.where("n_tokens < 0 OR bin_id IS NULL").count() == 0
