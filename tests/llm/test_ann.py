@@ -105,3 +105,42 @@ def test_anisotropic_codes_have_less_parallel_error():
         return np.square(((x - made) * x).sum(axis=1)).mean()
 
     assert parallel(book.encode(x, 2)) < parallel(book.encode(x, 0))
+
+
+def awkward(kind):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 32))
+    if kind == "dense clusters":
+        return rng.normal(size=(5, 32))[rng.integers(0, 5, 3000)] * 3 + 0.01 * x
+    if kind == "far from the origin":
+        return x + 300
+    if kind == "norms of all sizes":
+        return x * np.exp(2 * rng.normal(size=(3000, 1)))
+    return np.where(np.arange(3000)[:, None] % 100 == 0, 5 + 0.02 * x, x)  # the queries lie apart, in less than a part of a leaf
+
+
+@pytest.mark.parametrize("kind", ["dense clusters", "far from the origin", "norms of all sizes", "queries apart"])
+@pytest.mark.parametrize("leaf", [8192, 200])
+def test_vectors_the_codes_hardly_tell_apart(spark, monkeypatch, kind, leaf):
+    monkeypatch.setattr(ann, "LEAF", leaf)
+    rows = [(i, v.tolist()) for i, v in enumerate(awkward(kind))]
+    want = brute(rows, 100)
+    near = {(q, v) for (q, _), (v, _) in want.items()}
+    found = ann.nearest(table(spark, rows)).collect()
+    assert len(found) == len(want)
+    assert np.mean([(r["query_id"], r["vec_id"]) in near for r in found]) >= 0.99
+
+
+def test_leaves_beyond_the_first_are_scanned_where_near_vectors_may_be():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2000, 4))
+    leaves = ann.Leaves.fit(x, 100 * ann.LEAF)
+    leaves.probes = 1
+    home = leaves.nearest(x, 1)[:, 0]
+    radii = np.array([np.linalg.norm(x[home == j] - leaves.centres[j], axis=1).max() for j in range(len(leaves.centres))])
+    distances = np.sqrt(np.square(x[:50, None] - x).sum(axis=2))
+    limits = np.sort(distances, axis=1)[:, 10]
+    rest = leaves.others(x[:50], limits, radii)
+    for i in range(50):
+        assert set(home[distances[i] <= limits[i]]) <= {home[i], *rest[i]}
+    assert max(map(len, rest)) < len(radii) - 1
