@@ -121,12 +121,13 @@ def event_matches(events: DataFrame, alerts: DataFrame, lead: int = 3, horizon:
     after, so an alert belongs to the earliest event that reaches it; of an
     event's alerts the nearest (then earliest, then highest) is the match and
     the others are duplicates. Each alert meets the lead + horizon + 1 bars
-    whose events reach it: an equi-join.
+    whose events reach it: an equi-join. Scores take no part in it: alerts
+    computed twice may differ in the last bit of a sum.
     """
-    reach = alerts.select("code", "bar", "score", F.explode(F.sequence(F.col("bar") - horizon, F.col("bar") + lead)).alias("onset"))
+    reach = alerts.select("code", "bar", F.explode(F.sequence(F.col("bar") - horizon, F.col("bar") + lead)).alias("onset"))
     onsets = events.select("code", F.col("bar").alias("onset")).distinct()
-    first = reach.join(onsets, ["code", "onset"]).groupBy("code", "bar", "score").agg(F.min("onset").alias("onset"))
-    found = alerts.join(first, ["code", "bar", "score"], "left")
+    first = reach.join(onsets, ["code", "onset"]).groupBy("code", "bar").agg(F.min("onset").alias("onset"))
+    found = alerts.join(first, ["code", "bar"], "left")
     order = Window.partitionBy("code", "onset").orderBy(F.abs(F.col("bar") - F.col("onset")), "bar", F.desc("score"))
     ranked = found.withColumn("n", F.when(F.col("onset").isNotNull(), F.row_number().over(order)))
     best = F.col("n") == 1

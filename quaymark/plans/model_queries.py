@@ -246,7 +246,8 @@ def kalman_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     final AS (SELECT code, bar, CASE WHEN n = 1 THEN onset END AS onset, CASE WHEN n = 1 THEN bar - onset END AS delay, CASE WHEN onset IS NULL THEN 'false_alarm' WHEN n = 1 THEN 'match' ELSE 'duplicate' END AS kind FROM rk)""",
 )
 def alert_event_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _scored(spark, sf_dir).withColumn("bar", w.bar_no())
+    # Written once: sums of prices come out of another run with other last bits, and both sides must see the same rows.
+    rows = cut_lineage(_scored(spark, sf_dir).withColumn("bar", w.bar_no()).select("code", "d", "bar", "label_up", "p"))
     events = rows.where("label_up").withColumn("gap", F.col("bar") - F.lag("bar").over(w.by_code())).where("gap is null or gap > 5").select(F.col("code").alias("code"), F.col("bar").alias("bar"))
     alerts = rows.where("p >= 0.9").select(F.col("code").alias("code"), F.col("bar").alias("bar"), F.col("p").alias("score"))
     return labels.event_matches(events, alerts)

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quaymark.operators import labels, machines
 
@@ -60,6 +63,14 @@ def test_event_matching_is_one_to_one(spark):
     assert found == {8: (None, "duplicate"), 10: (10, "match"), 21: (12, "match"), 30: (None, "false_alarm")}
 
 
+def test_event_matching_bears_scores_that_change_in_another_run(spark):
+    events = spark.createDataFrame([("a", 10), ("a", 12)], "code string, bar long")
+    shaken = F.udf(lambda x: x + random.random() * 1e-9, "double").asNondeterministic()
+    alerts = spark.createDataFrame([("a", 8, 0.5), ("a", 10, 0.6), ("a", 21, 0.7), ("a", 30, 0.9)], "code string, bar long, score double")
+    found = {r["bar"]: (r["onset"], r["kind"]) for r in labels.event_matches(events, alerts.withColumn("score", shaken("score"))).collect()}
+    assert found == {8: (None, "duplicate"), 10: (10, "match"), 21: (12, "match"), 30: (None, "false_alarm")}
+
+
 def test_guard_holds_range_until_its_last_bar_has_passed():
     close = np.array([10.0, 9, 9, 9, 11, 11, 11, 9.5, 11])
     mean = np.full(9, 10.0)
