@@ -11,6 +11,10 @@ Letter order decides: an edit at one place leaves the half of the word on the
 other side of it untouched. The half goes with the key, so anagrams of a key meet
 only if half of their letters stand at the same places; what is left is verified
 letter by letter. All of it is Spark expressions.
+
+Joins are merges by hint: Spark takes the size of the stored words for that of
+the rows exploded from them (some thirteen a word, each with its letters), and
+would broadcast those.
 """
 
 from __future__ import annotations
@@ -100,8 +104,8 @@ def near_words(words: DataFrame) -> DataFrame:
     meet = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("key", "size", "side", "half")]
     # Each pair of unlike letters once; the differing place lies in one half, so the other half brings the pair once.
     unlike = (F.col("a.letter") != F.col("b.letter")) & (F.col("a.word") < F.col("b.word"))
-    replaced = less.alias("a").join(less.alias("b"), [*meet, unlike]).where(_one_replaced(F.col("a.letters"), F.col("b.letters")))
-    missing = less.alias("a").join(whole.alias("b"), meet).where(_one_missing(F.col("a.letters"), F.col("b.letters")))
+    replaced = less.alias("a").join(less.alias("b").hint("merge"), [*meet, unlike]).where(_one_replaced(F.col("a.letters"), F.col("b.letters")))
+    missing = less.alias("a").join(whole.alias("b").hint("merge"), meet).where(_one_missing(F.col("a.letters"), F.col("b.letters")))
     # A letter missing from a run of equal ones may show on both sides.
     once = replaced.select(*columns).unionByName(missing.select(*columns).distinct())
     both = F.array(F.struct("word", "n", "other", "m"), F.struct(F.col("other").alias("word"), F.col("m").alias("n"), F.col("word").alias("other"), F.col("n").alias("m")))
@@ -117,7 +121,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     roots = forms.select("word", F.col("form").alias("root"))
     while True:
         after = roots.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        jumped = keep(roots.join(after, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        jumped = keep(roots.join(after.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         roots = jumped.drop("moved")
         if jumped.where("moved").isEmpty():
             return roots
@@ -139,7 +143,7 @@ def variants(docs: DataFrame) -> DataFrame:
     found = keep(near.select("word", "n_near", F.when(has, F.col("best.other")).alias("form"), F.when(has, -F.col("best.m")).alias("form_n")), "near")
     roots = _roots(found.where("form IS NOT NULL"))
     return (
-        words.join(found, "word", "left")
-        .join(roots, "word", "left")
+        words.join(found.hint("merge"), "word", "left")
+        .join(roots.hint("merge"), "word", "left")
         .select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "form_n")
     )

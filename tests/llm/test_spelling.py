@@ -89,6 +89,21 @@ def test_long_words_and_odd_rows(spark, odd_docs, no_docs):
     assert s.variants(no_docs).collect() == []
 
 
+def test_words_and_what_comes_of_them_are_never_broadcast(spark, monkeypatch):
+    ran, keep = [], s.keep
+
+    def run(df):
+        rows = df.collect()
+        ran.append(df._jdf.queryExecution().executedPlan().toString())
+        return rows
+
+    monkeypatch.setattr(s, "keep", lambda df, name: (run(df), keep(df, name))[1])
+    docs = make(spark, [(1, "lantern " * 130 + "lanterne " * 26 + "lanternes " * 5, "en", "s")])
+    assert sorted((r["word"], r["root"], r["n_near"]) for r in run(s.variants(docs))) == [("lantern", "lantern", 1), ("lanterne", "lantern", 2), ("lanternes", "lantern", 1)]
+    assert sum("SortMergeJoin" in plan for plan in ran) >= 4
+    assert not [plan for plan in ran if "Broadcast" in plan]
+
+
 def test_registered_query_equals_all_pairs(spark, sf_dir):
     from quaymark.llm.queries import QUERIES
 
